@@ -11,7 +11,7 @@ from pyspark.sql import Column, functions as F
 from threadloom.schemas import OPEN_DATE_TOKEN, SITE_BASE, TRANSIENT_TIMEOUT_PATTERN
 
 _EDGE_SPACE = r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$"
-_NUMBER_TEXT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+_NUMBER_TEXT = r"(?U)^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 _MAX_LONG = 9.2233720368547e18
 # First and one-past-last second of the years 1..9999.
 _MIN_EPOCH, _MAX_EPOCH = -62135596800, 253402300800
@@ -21,6 +21,15 @@ def _c(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def _let(value: Column | str, body) -> Column:
+    """``body(value)`` with ``value`` computed once.
+
+    For wordy rules over small tables (names, dates, headers): a column used
+    many times would otherwise be expanded at every use and swell the plan.
+    """
+    return F.get(F.transform(F.array(_c(value)), body), F.lit(0))
+
+
 # ---------------------------------------------------------------- text
 
 
@@ -56,7 +65,7 @@ def parent_kind(raw_parent: Column | str, parent_is_text: Column | None = None)
 
 def community_display(value: Column | str, strict: bool = False) -> Column:
     """Community name without an ``r/`` prefix; blank is null, or an error if strict."""
-    name = F.nullif(trim_ws(F.regexp_replace(trim_ws(value), "^[rR]/", "")), F.lit(""))
+    name = blank_to_null(F.regexp_replace(trim_ws(value), "^[rR]/", ""))
     if not strict:
         return name
     return F.coalesce(name, F.raise_error(F.lit("subreddit must be a non-empty string")).cast("string"))
@@ -87,12 +96,12 @@ def sanitize_name_part(text: Column | str, max_len: int = 64) -> Column:
     """Name part made of letters, digits, ``-`` and ``_`` only."""
     cleaned = _strip_marks(F.regexp_replace(trim_ws(text), "[^A-Za-z0-9-]+", "_"))
     cut = _strip_marks(F.left(cleaned, F.lit(max_len)))
-    return F.when(_c(text).isNotNull(), F.coalesce(F.nullif(cut, F.lit("")), F.lit("collection")))
+    return _let(cut, lambda part: F.when(part == "", "collection").otherwise(part))
 
 
 def sanitize_run_part(text: Column | str) -> Column:
     cleaned = _strip_marks(F.regexp_replace(F.lower(trim_ws(text)), "[^a-z0-9-]+", "_"))
-    return F.coalesce(F.nullif(cleaned, F.lit("")), F.lit("run"))
+    return _let(cleaned, lambda part: F.when((part != ""), part).otherwise("run"))
 
 
 def run_id_for(moment: Column, subreddit: Column | str) -> Column:
@@ -107,8 +116,8 @@ def run_id_for(moment: Column, subreddit: Column | str) -> Column:
 
 def number_from_text(text: Column | str) -> Column:
     """Decimal or exponent notation only; anything else is null."""
-    trimmed = trim_ws(text)
-    return F.when(trimmed.rlike(_NUMBER_TEXT), trimmed.try_cast("double"))
+    # The cast ignores outer whitespace, the pattern allows it.
+    return F.when(_c(text).rlike(_NUMBER_TEXT), trim_ws(text).try_cast("double"))
 
 
 def variant_type(value: Column | str) -> Column:
@@ -183,19 +192,23 @@ def date_token(value: Column | str, kind: Column | None = None) -> Column:
     ``kind`` is the JSON type name when the value came from JSON: a boolean
     bound is ``invalid``.  Numbers and numeric text are epoch seconds.
     """
-    text = trim_ws(_c(value).cast("string"))
-    prefix = F.regexp_extract(text, r"^(\d{4}-\d{2}-\d{2})", 1)
-    number = number_from_text(text)
-    in_range = (number >= _MIN_EPOCH) & (number < _MAX_EPOCH)
-    day = F.date_format(F.timestamp_seconds(F.floor(F.when(in_range, number))), "yyyy-MM-dd")
-    slug = sanitize_name_part(F.btrim(F.regexp_replace(text, "[^A-Za-z0-9]+", "-"), F.lit("-")), 32)
-    token = (
-        F.when(text.isNull() | (text == ""), OPEN_DATE_TOKEN)
-        .when(prefix != "", prefix)
-        .when(number.isNotNull() & in_range, day)
-        .when(number.isNotNull(), sanitize_name_part(_epoch_slug(number), 32))
-        .otherwise(slug)
-    )
+
+    def of_number(number: Column, text: Column) -> Column:
+        in_range = (number >= _MIN_EPOCH) & (number < _MAX_EPOCH)
+        day = F.date_format(F.timestamp_seconds(F.floor(F.when(in_range, number))), "yyyy-MM-dd")
+        slug = F.btrim(F.regexp_replace(text, "[^A-Za-z0-9]+", "-"), F.lit("-"))
+        odd = F.when(number.isNull(), slug).otherwise(_epoch_slug(number))
+        return F.when(in_range, day).otherwise(sanitize_name_part(odd, 32))
+
+    def of_text(text: Column) -> Column:
+        prefix = F.regexp_extract(text, r"^(\d{4}-\d{2}-\d{2})", 1)
+        return (
+            F.when(text.isNull() | (text == ""), OPEN_DATE_TOKEN)
+            .when(prefix != "", prefix)
+            .otherwise(_let(number_from_text(text), lambda number: of_number(number, text)))
+        )
+
+    token = _let(trim_ws(_c(value).cast("string")), of_text)
     if kind is None:
         return token
     return F.when(F.coalesce(kind == "BOOLEAN", F.lit(False)), "invalid").otherwise(token)
@@ -203,29 +216,39 @@ def date_token(value: Column | str, kind: Column | None = None) -> Column:
 
 def collection_name(subreddit: Column | str, after: Column, before: Column) -> Column:
     """``<Subreddit>-<after>-<before>`` from a community and two date tokens."""
-    name = F.concat_ws("-", sanitize_name_part(community_display(subreddit)), after, before)
-    cut = _strip_marks(F.left(name, F.lit(128)))
-    return F.when(
-        community_display(subreddit).isNotNull(), F.coalesce(F.nullif(cut, F.lit("")), F.lit("collection"))
-    )
+
+    def named(community: Column) -> Column:
+        name = F.concat_ws("-", sanitize_name_part(community), after, before)
+        return F.when(
+            community.isNotNull(),
+            _let(_strip_marks(F.left(name, F.lit(128))), lambda cut: F.when(cut == "", "collection").otherwise(cut)),
+        )
+
+    return _let(community_display(subreddit), named)
 
 
 def time_bound(value: Column | str, now: Column | None = None) -> Column:
     """Epoch seconds of a bound given as date, ISO datetime, epoch or ``2weeks``."""
-    text = trim_ws(_c(value).cast("string"))
     moment = now if now is not None else F.current_timestamp()
-    count = F.regexp_extract(text, r"(?i)^(\d+)\s*(second|minute|hour|day|week|month|year)s?$", 1)
-    unit = F.lower(F.regexp_extract(text, r"(?i)^(\d+)\s*(second|minute|hour|day|week|month|year)s?$", 2))
-    n = count.try_cast("int")
+    relative = r"(?i)^(\d+)\s*(second|minute|hour|day|week|month|year)s?$"
 
-    def of(name: str) -> Column:
-        return F.when(unit == name, n).otherwise(F.lit(0))
+    def of_text(text: Column) -> Column:
+        n = F.regexp_extract(text, relative, 1).try_cast("int")
+        unit = F.lower(F.regexp_extract(text, relative, 2))
 
-    span = F.make_interval(
-        of("year"), of("month"), of("week"), of("day"), of("hour"), of("minute"), of("second")
-    )
-    relative = F.when(unit != "", F.unix_micros(moment - span) / 1e6)
-    return F.coalesce(relative, number_from_text(text), F.unix_micros(text.try_cast("timestamp")) / 1e6)
+        def of(name: str) -> Column:
+            return F.when(unit == name, n).otherwise(F.lit(0))
+
+        span = F.make_interval(
+            of("year"), of("month"), of("week"), of("day"), of("hour"), of("minute"), of("second")
+        )
+        return F.coalesce(
+            F.when(n.isNotNull(), F.unix_micros(moment - span) / 1e6),
+            number_from_text(text),
+            F.unix_micros(text.try_cast("timestamp")) / 1e6,
+        )
+
+    return _let(trim_ws(_c(value).cast("string")), of_text)
 
 
 # ----------------------------------------------------------- permalinks
@@ -279,16 +302,20 @@ def header(headers: Column | str, name: str) -> Column:
 
 def server_wait(headers: Column | str, now: Column) -> Column:
     """Seconds the server asks to wait: ``Retry-After``, else ``X-RateLimit-Reset``."""
-    retry = trim_ws(header(headers, "Retry-After"))
-    stamp = F.regexp_extract(retry, r"(\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2})", 1)
-    at = F.try_to_timestamp(F.nullif(stamp, F.lit("")), F.lit("d MMM yyyy HH:mm:ss"))
-    until = (F.unix_micros(at) - F.unix_micros(now)) / 1e6
+
+    def of_retry(retry: Column) -> Column:
+        day = F.regexp_extract(retry, r"(\d{1,2}) [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2}", 1)
+        rest = F.regexp_extract(retry, r"\d{1,2} ([A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2})", 1)
+        at = F.try_to_timestamp(F.concat(F.lpad(day, 2, "0"), F.lit(" "), rest), F.lit("dd MMM yyyy HH:mm:ss"))
+        until = (F.unix_micros(at) - F.unix_micros(now)) / 1e6
+        return F.coalesce(
+            # greatest() skips nulls, so a missing number must be tested first.
+            _let(number_from_text(retry), lambda n: F.when(n.isNotNull(), F.greatest(F.lit(0.0), n))),
+            F.when(until.isNotNull(), F.greatest(F.lit(0.0), until)),
+        )
+
     reset = number_from_text(header(headers, "X-RateLimit-Reset"))
-    return F.coalesce(
-        F.greatest(F.lit(0.0), number_from_text(retry)),
-        F.when(at.isNotNull(), F.greatest(F.lit(0.0), until)),
-        F.when(reset >= 0, reset),
-    )
+    return F.coalesce(_let(header(headers, "Retry-After"), of_retry), _let(reset, lambda r: F.when(r >= 0, r)))
 
 
 def backoff_seconds(attempt: Column | str, wait: Column, base: float = 1.0, cap: float = 60.0) -> Column:

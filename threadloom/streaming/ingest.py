@@ -77,10 +77,14 @@ def page_stream(
         F.col("value").alias("payload"),
         F.col("_metadata.file_name").alias("page"),
         F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line"),
     )
 
 
+def with_lines(batch: DataFrame) -> DataFrame:
+    """Number the rows of a micro-batch so that a file keeps its line order."""
+    return batch.withColumn("line", F.monotonically_increasing_id())
+
+
 _PAGE_ORDER = ("page", "block", "line", "pos")
 
 
@@ -106,7 +110,7 @@ def ingest_posts(
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        items = with_post_key(explode_pages(batch))
+        items = with_post_key(explode_pages(with_lines(batch)))
         order = [F.col(c) for c in _PAGE_ORDER]
         fresh = unseen(first_seen(items, order), stored_keys(store, run_id, batch_id))
         if max_posts is not None:
@@ -136,16 +140,17 @@ def ingest_posts_stateful(
     Cost per batch follows the batch, not the stored total, so this is the way
     for very long runs.  Which of several copies inside one batch is kept is not
     defined; use it where copies are identical.  Posts without an id get a key
-    of their own, because null keys would all count as one.
+    of their own, because null keys would all count as one.  A replayed batch
+    draws new such keys, which is harmless: its rows replace the earlier ones.
     """
     items = with_post_key(explode_pages(page_stream(store.spark, landing, files_per_batch, page_per_line)))
-    own = F.concat_ws("\u0000", F.lit(""), *[F.col(c).cast("string") for c in _PAGE_ORDER])
+    own = F.concat(F.lit("\u0000"), F.uuid())
     keyed = items.withColumn("key", F.coalesce(dedup_key("id"), own)).dropDuplicates(["key"])
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         rows = batch.drop("key", "id").persist()
         try:
-            append_records(rows, store, "posts", run_id, batch_id, [F.col(c) for c in _PAGE_ORDER])
+            append_records(rows, store, "posts", run_id, batch_id, [F.col("page"), F.col("block"), F.col("pos")])
         finally:
             rows.unpersist()
 
@@ -218,12 +223,11 @@ def ingest_logs(store: Store, landing: str, run_id: str, checkpoint: str) -> Ing
         "value",
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row"),
     )
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        numbered = batch.withColumn("row", F.monotonically_increasing_id())
         seq = F.struct(F.lit(batch_id).cast("bigint").alias("batch"), "file", "block", "row").alias("seq")
-        lines = parse_log_lines(batch.select("value", seq))
-        store.write_batch("log_lines", lines, run_id, batch_id)
+        store.write_batch("log_lines", parse_log_lines(numbered.select("value", seq)), run_id, batch_id)
 
     return _drain(stream, handle, checkpoint, None)
