@@ -7,7 +7,7 @@ that needs its JSON type (numbers) is read as VARIANT; the others as text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 _OPTIONS = {"mode": "PERMISSIVE", "allowSingleQuotes": "false"}
 
@@ -40,3 +40,25 @@ def is_one_object(rows: Column) -> Column:
 def looks_like_object(text: Column) -> Column:
     """For an element cut out of parsed JSON: objects start with a brace."""
     return text.startswith("{")
+
+
+def with_object(df: DataFrame, text: str, fields: str, name: str, on_bad: str = "null", message: str = "") -> DataFrame:
+    """Add the object a line holds as struct ``name``.
+
+    A line that is not exactly one object gives null (``on_bad='null'``), is
+    dropped (``'drop'``) or fails with ``message`` (``'raise'``).
+
+    The parse sits in an explode on purpose: a filter on parsed fields cannot be
+    pushed below it, so each line is parsed once however often ``name`` is used.
+    """
+    failure = F.raise_error(F.concat(F.lit(message + ": "), F.left(F.col(text), F.lit(80)))).cast(
+        f"array<struct<{fields}>>"
+    )
+
+    def checked(rows: Column) -> Column:
+        good = F.when(is_one_object(rows), rows)
+        return good.otherwise(failure) if on_bad == "raise" else good
+
+    rows = F.get(F.transform(F.array(read_lines(text, fields)), checked), F.lit(0))
+    unpack = F.explode_outer if on_bad == "null" else F.explode
+    return df.select("*", unpack(rows).alias(name))

@@ -10,7 +10,11 @@ from pyspark.sql import Column, functions as F
 
 from threadloom.schemas import OPEN_DATE_TOKEN, SITE_BASE, TRANSIENT_TIMEOUT_PATTERN
 
-_EDGE_SPACE = r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$"
+# Every character Python's str.strip() removes.
+_WHITESPACE = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 _NUMBER_TEXT = r"(?U)^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 _MAX_LONG = 9.2233720368547e18
 # First and one-past-last second of the years 1..9999.
@@ -35,7 +39,7 @@ def _let(value: Column | str, body) -> Column:
 
 def trim_ws(text: Column | str) -> Column:
     """Strip every kind of whitespace from both ends, not only spaces."""
-    return F.regexp_replace(_c(text), _EDGE_SPACE, "")
+    return F.btrim(_c(text), F.lit(_WHITESPACE))
 
 
 def blank_to_null(text: Column | str) -> Column:
@@ -137,24 +141,34 @@ def _is_number(kind: Column) -> Column:
     return (kind == "BIGINT") | kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT")
 
 
-def strict_int(value: Column | str) -> Column:
-    """Whole JSON numbers only: no booleans, strings or fractions."""
-    kind = variant_type(value)
-    number = F.try_variant_get(_c(value), "$", "double")
+def variant_number(value: Column | str) -> Column:
+    return F.try_variant_get(_c(value), "$", "double")
+
+
+def strict_int(value: Column | str, kind: Column | None = None, number: Column | None = None) -> Column:
+    """Whole JSON numbers only: no booleans, strings or fractions.
+
+    On a hot path pass ``kind`` (:func:`variant_type`) and ``number``
+    (:func:`variant_number`) from an earlier projection; here and below.
+    """
+    kind = variant_type(value) if kind is None else kind
+    number = variant_number(value) if number is None else number
     return F.when(kind == "BIGINT", F.try_variant_get(_c(value), "$", "bigint")).when(
         _is_number(kind) & (F.floor(number) == number) & (F.abs(number) < _MAX_LONG),
         number.try_cast("bigint"),
     )
 
 
-def json_number(value: Column | str) -> Column:
+def json_number(value: Column | str, kind: Column | None = None, number: Column | None = None) -> Column:
     """JSON number as a double; booleans, strings and the rest are null."""
-    return F.when(_is_number(variant_type(value)), F.try_variant_get(_c(value), "$", "double"))
+    kind = variant_type(value) if kind is None else kind
+    return F.when(_is_number(kind), variant_number(value) if number is None else number)
 
 
-def cursor_ts(value: Column | str) -> Column:
+def cursor_ts(value: Column | str, kind: Column | None = None, number: Column | None = None) -> Column:
     """Time usable as a paging cursor: numbers and numeric strings."""
-    return F.coalesce(json_number(value), F.when(variant_is_text(value), number_from_text(variant_text(value))))
+    kind = variant_type(value) if kind is None else kind
+    return F.when(kind == "STRING", number_from_text(variant_text(value))).otherwise(json_number(value, kind, number))
 
 
 def clean_ts(seconds: Column | str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from threadloom.functions import scalars as S
-from threadloom.functions.jsonrows import is_one_object, read_lines, read_object
+from threadloom.functions.jsonrows import read_object, with_object
 from threadloom.schemas import COMMENT_FIELDS, POST_FIELDS, SITE_BASE
 
 _POST_JSON = (
@@ -19,7 +19,20 @@ _NODE_JSON = (
 
 
 def _text_only(value: Column) -> Column:
-    return F.when(S.variant_is_text(value), S.variant_text(value))
+    return F.when(S.variant_type(value) == "STRING", S.variant_text(value))
+
+
+def _with_types(parsed: DataFrame, record: str, names: tuple[str, ...]) -> DataFrame:
+    """Add type name and numeric value of some JSON fields, computed once per row."""
+    return parsed.select(
+        "*",
+        *[S.variant_type(F.col(f"{record}.{n}")).alias(f"__{n}_kind") for n in names],
+        *[S.variant_number(F.col(f"{record}.{n}")).alias(f"__{n}_number") for n in names],
+    )
+
+
+def _typed(record: str, name: str) -> tuple[Column, Column, Column]:
+    return F.col(f"{record}.{name}"), F.col(f"__{name}_kind"), F.col(f"__{name}_number")
 
 
 def normalize_posts(
@@ -33,15 +46,9 @@ def normalize_posts(
     """
     if on_error not in ("raise", "drop", "null"):
         raise ValueError(f"on_error must be raise, drop or null, got {on_error!r}")
-    parsed = raw.withColumn("__rows", read_lines(value, _POST_JSON))
-    ok = is_one_object(F.col("__rows"))
-    if on_error == "drop":
-        parsed = parsed.filter(ok)
-    elif on_error == "raise":
-        bad = F.raise_error(F.concat(F.lit("Cannot normalize post: expected an object, got "), F.left(value, F.lit(80))))
-        parsed = parsed.filter(F.when(ok, True).otherwise(bad.cast("boolean")))
-    p = F.when(ok, F.get("__rows", F.lit(0)))
-    parsed = parsed.withColumn("__p", p)
+    parsed = with_object(raw, value, _POST_JSON, "__p", on_error, "Cannot normalize post: expected an object, got")
+    parsed = _with_types(parsed, "__p", ("score", "num_comments", "created_utc"))
+    created = _typed("__p", "created_utc")
     f = {name: F.col(f"__p.{name}") for name in POST_FIELDS if name != "created_iso"}
     post = {
         "id": f["id"],
@@ -49,10 +56,10 @@ def normalize_posts(
         "title": f["title"],
         "selftext": f["selftext"],
         "author": f["author"],
-        "score": S.strict_int(f["score"]),
-        "num_comments": S.strict_int(f["num_comments"]),
-        "created_utc": S.cursor_ts(f["created_utc"]),
-        "created_iso": S.iso_utc(S.json_number(f["created_utc"])),
+        "score": S.strict_int(*_typed("__p", "score")),
+        "num_comments": S.strict_int(*_typed("__p", "num_comments")),
+        "created_utc": S.cursor_ts(*created),
+        "created_iso": S.iso_utc(S.json_number(*created)),
         "url": f["url"],
         "permalink": S.post_permalink(_text_only(f["permalink"]), f["subreddit"], f["id"], site_base),
     }
@@ -67,7 +74,10 @@ def normalize_comments(nodes: DataFrame, node: str = "node", site_base: str = SI
     made by ``tree.flatten_trees``.  A node without a ``data`` object cannot be
     normalized and is left out; :func:`unusable_nodes` returns those.
     """
-    parsed = nodes.withColumn("__n", read_object(node, _NODE_JSON)).filter(F.col("__n.data").isNotNull())
+    # Exploded for the same reason as in with_object: one parse per node.
+    parsed = nodes.select("*", F.explode(F.array(read_object(node, _NODE_JSON))).alias("__n")).filter("__n.data is not null")
+    parsed = _with_types(parsed.select("*", F.col("__n.data").alias("__d")), "__d", ("score", "created_utc"))
+    created = _typed("__d", "created_utc")
     d = {
         name: F.col(f"__n.data.{name}")
         for name in (
@@ -105,9 +115,9 @@ def normalize_comments(nodes: DataFrame, node: str = "node", site_base: str = SI
         "subreddit": d["subreddit"],
         "author": d["author"],
         "body": d["body"],
-        "score": S.strict_int(d["score"]),
-        "created_utc": S.cursor_ts(d["created_utc"]),
-        "created_iso": S.iso_utc(S.json_number(d["created_utc"])),
+        "score": S.strict_int(*_typed("__d", "score")),
+        "created_utc": S.cursor_ts(*created),
+        "created_iso": S.iso_utc(S.json_number(*created)),
         "permalink": S.comment_permalink(
             _text_only(d["permalink"]), d["subreddit"], F.col("post_id"), comment_id, kind, site_base
         ),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from threadloom.functions import scalars as S
-from threadloom.functions.jsonrows import is_one_object, read_lines
+from threadloom.functions.jsonrows import with_object
 from threadloom.operators.position import with_position
 
 
@@ -27,8 +27,7 @@ def audit_responses(
     and ``attempt``.  Only a 429 makes the server's own wait count.
     """
     moment = now if now is not None else F.current_timestamp()
-    rows = read_lines("body", "error variant, message variant")
-    parsed = responses.withColumn("__b", F.when(is_one_object(rows), F.get(rows, F.lit(0))))
+    parsed = with_object(responses, "body", "error variant, message variant", "__b")
     is_object = F.col("__b").isNotNull()
 
     def says_timeout(key: str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from threadloom.functions.jsonrows import is_one_object, read_lines
+from threadloom.functions.jsonrows import with_object
 from threadloom.functions.scalars import strict_int, variant_is_text, variant_text, variant_type, trim_ws
 from threadloom.schemas import DOCUMENT_VERSION, FILTER_KEYS
 
@@ -104,9 +104,7 @@ def _collection_rules(block: Column) -> list[Column]:
 
 def check_posts_documents(docs: DataFrame) -> DataFrame:
     """Parsed posts-progress documents with every violation in ``errors``."""
-    parsed = docs.withColumn("__rows", read_lines("value", _POSTS_DOC))
-    usable = is_one_object(F.col("__rows"))
-    parsed = parsed.withColumn("doc", F.when(usable, F.get("__rows", F.lit(0)))).drop("__rows")
+    parsed = with_object(docs, "value", _POSTS_DOC, "doc")
     d = {k: F.col(f"doc.{k}") for k in ("version", "run_id", "paginator", "collection")}
     pager = d["paginator"]
     cursor, total = _part(pager, "cursor"), _part(pager, "total_fetched")
@@ -138,9 +136,7 @@ def check_posts_documents(docs: DataFrame) -> DataFrame:
 
 def check_comments_documents(docs: DataFrame) -> DataFrame:
     """Parsed comments-progress documents with every violation in ``errors``."""
-    parsed = docs.withColumn("__rows", read_lines("value", _COMMENTS_DOC))
-    usable = is_one_object(F.col("__rows"))
-    parsed = parsed.withColumn("doc", F.when(usable, F.get("__rows", F.lit(0)))).drop("__rows")
+    parsed = with_object(docs, "value", _COMMENTS_DOC, "doc")
     d = {k: F.col(f"doc.{k}") for k in ("version", "run_id", "comments", "collection")}
     state = d["comments"]
     has_state = _is_object(state)
@@ -225,9 +221,8 @@ def completed_ids(checked: DataFrame) -> DataFrame:
 
 def read_manifests(docs: DataFrame) -> DataFrame:
     """Parameters of readable manifests; an unreadable one gives nulls, not an error."""
-    rows = read_lines("value", _MANIFEST)
     return (
-        docs.withColumn("__m", F.when(is_one_object(rows), F.get(rows, F.lit(0))))
+        with_object(docs, "value", _MANIFEST, "__m")
         .select(
             F.regexp_extract("folder", "([^/]+)$", 1).alias("run_id"),
             F.when(variant_is_text(F.col("__m.started_at")), variant_text(F.col("__m.started_at"))).alias("started_at"),
