@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from threadloom.functions import scalars as S
 from threadloom.operators.normalize import project_fields
@@ -53,6 +53,14 @@ def _contains(column: str, word: str) -> Column:
     return F.contains(F.lower(column), F.lit(word.lower()))
 
 
+def _bound_seconds(spark: SparkSession, value: str, side: str) -> float:
+    """The bound as a number, worked out first: a plain literal reaches the scan."""
+    seconds = spark.range(1).select(S.time_bound(F.lit(value))).first()[0]
+    if seconds is None:
+        raise ValueError(f"{side} must be a date, an epoch number or a span like '1year', got {value!r}")
+    return seconds
+
+
 def matching(posts: DataFrame, spec: Search) -> DataFrame:
     """Rows that pass every filter of ``spec``, unsorted."""
     community = _text(spec.subreddit)
@@ -73,7 +81,7 @@ def matching(posts: DataFrame, spec: Search) -> DataFrame:
         posts = posts.filter(F.col("author") == author.removeprefix("u/"))
     for value, side in ((_text(spec.after), "after"), (_text(spec.before), "before")):
         if value is not None:
-            bound = S.time_bound(F.lit(value))
+            bound = F.lit(_bound_seconds(posts.sparkSession, value, side))
             posts = posts.filter(F.col("created_utc") >= bound if side == "after" else F.col("created_utc") <= bound)
     return posts
 

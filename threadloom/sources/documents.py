@@ -29,9 +29,8 @@ def scan_documents(spark: SparkSession, root: str, names: tuple[str, ...]) -> Da
     """``folder``, ``file``, ``value`` of the preferred document in every folder under ``root``."""
     files = (
         spark.read.option("recursiveFileLookup", "true")
-        .option("wholetext", "true")
         .option("pathGlobFilter", "{" + ",".join(names) + "}")
-        .text(root)
+        .text(root, wholetext=True)
         .select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"))
     )
     return preferred_documents(
