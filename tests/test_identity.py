@@ -27,6 +27,7 @@ from threadloom.sources.documents import (
     read_posts_progress,
     scan_documents,
     seen_ids,
+    with_collection_name,
 )
 
 FILTERS = {"subreddit": "r/Philippines", "title": None, "query": None, "selftext": None, "author": None, "after": "2026-01-01", "before": None}
@@ -135,6 +136,9 @@ def test_documents_on_disk(spark, tmp_path):
     (c,) = read_comments_progress(comments).collect()
     assert (c.posts_completed, c.posts_skipped_empty, c.comments_collected) == (1, 0, 0)
     assert completed_ids(comments).count() == 2
+    (tmp_path / "checkpoint.json").write_text(json.dumps(posts_doc(None)))
+    named = with_collection_name(scan_documents(spark, str(tmp_path), POSTS_NAMES), str(tmp_path))
+    assert {r.name: r.legacy for r in named.collect()} == {"legacy": True, "a": False, "b": False, "c": False}
     picked = preferred_documents(spark.createDataFrame([("f", "b", "2"), ("f", "a", "1"), ("f", "z", "3")], "folder string, file string, value string"), ("a", "b"))
     assert [(r.file, r.value) for r in picked.collect()] == [("a", "1")]
 

@@ -67,7 +67,8 @@ def test_position_ranges_stay_small(spark, small_ranges):
     keyed = df.withColumn("__key", F.struct("g", "id"))
     bounds = position._range_bounds(keyed, "__key")
     kind = keyed.schema["__key"].dataType.simpleString()
-    sizes = keyed.groupBy(position._range_number("__key", bounds, kind)).count().collect()
+    keys = [("g", F.col("g")), ("id", F.col("id"))]
+    sizes = keyed.groupBy(position._range_number(keys, bounds, kind)).count().collect()
     assert len(bounds) == 15 and len(sizes) == 16
     assert max(r["count"] for r in sizes) < 1200
 

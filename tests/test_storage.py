@@ -4,12 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadloom.operators.integrity import deletion_guard, id_agreement, layer_agreement, lost_records
-from threadloom.operators.layout import chunk_inventory, chunk_report, manifest, over_limit, run_stream_counts, run_totals, tag_streams
+from threadloom.operators.layout import chunk_inventory, chunk_report, inventory_pages, manifest, over_limit, run_stream_counts, run_totals, tag_streams
 from threadloom.operators.normalize import normalize_posts
 from threadloom.operators.position import next_slot
 from threadloom.operators.progress import completed_posts, pending_posts, phase_summary, require_usable_posts
 from threadloom.sources.documents import discover_runs, read_manifests, scan_documents
-from threadloom.sources.lines import LINE_ORDER, corrupt_line_numbers, scan_log, scan_run_lines, split_corrupt, strict_lines
+from threadloom.sources.lines import LINE_ORDER, corrupt_line_numbers, scan_log, scan_processed_runs, scan_run_lines, split_corrupt, strict_lines
 from threadloom.sources.payloads import explode_pages
 from threadloom.sources.store import read_chunks, write_chunks
 
@@ -86,15 +86,18 @@ def streams(spark, **counts):
 def test_report(spark):
     tagged = streams(spark, raw_posts=12, processed_posts=12, raw_comments=3, processed_comments=3)
     (ok,) = chunk_report(chunk_inventory(tagged), 5).collect()
-    assert ok.ok and ok.posts_agree and ok.comments_agree and ok.raw_posts == 12 and ok.over_limit == []
+    assert ok.ok and ok.posts_agree and ok.comments_agree and ok.raw_posts == 12 and ok.over_limit == 0
     (bad,) = chunk_report(chunk_inventory(tagged), 4).collect()
-    assert not bad.ok and bad.over_limit == ["processed_posts/1", "processed_posts/2", "raw_posts/1", "raw_posts/2"]
-    assert over_limit(chunk_inventory(tagged), 4).count() == 4
+    assert not bad.ok and bad.over_limit == 4
+    assert sorted((r.stream, r.chunk_no) for r in over_limit(chunk_inventory(tagged), 4).collect()) == [
+        ("processed_posts", 1), ("processed_posts", 2), ("raw_posts", 1), ("raw_posts", 2)]
+    pages = inventory_pages(chunk_inventory(tagged), 2).filter("stream = 'raw_posts'").orderBy("page").collect()
+    assert [[(c.chunk_no, c.records) for c in p.chunks] for p in pages] == [[(1, 5)], [(2, 5), (3, 2)]]
     (off,) = chunk_report(chunk_inventory(streams(spark, raw_posts=2, processed_posts=1)), 5).collect()
     assert not off.ok and not off.posts_agree and off.comments_agree
     old = chunk_inventory(spark.range(9).select(F.lit("r").alias("run_id"), F.lit("raw_posts").alias("stream"), F.lit(0).alias("chunk_no")))
     (legacy,) = chunk_report(old, 5).collect()
-    assert legacy.over_limit == [] and legacy.legacy_over_limit == ["raw_posts/0"]
+    assert legacy.over_limit == 0 and legacy.legacy_over_limit == 1
     (wide,) = run_totals(run_stream_counts(tagged)).collect()
     assert wide.asDict() == {"run_id": "r", "raw_posts": 12, "processed_posts": 12, "raw_comments": 3, "processed_comments": 3}
 
@@ -103,8 +106,8 @@ def test_manifest_round_trip(spark, tmp_path):
     params = spark.createDataFrame([("r", "2026-01-01", "py", None)], "run_id string, started_at string, subreddit string, max_posts int")
     (row,) = manifest(chunk_inventory(streams(spark, raw_posts=7)), params, 5).collect()
     doc = json.loads(row.value)
-    assert doc["params"] == {"subreddit": "py", "max_posts": None} and doc["totals"] == {"raw_posts": 7}
-    assert [c["records"] for c in doc["chunks"]["raw_posts"]] == [5, 2]
+    assert doc["params"] == {"subreddit": "py", "max_posts": None} and doc["totals"]["raw_posts"] == 7
+    assert doc["chunks"] == {"raw_posts": 2, "processed_posts": 0, "raw_comments": 0, "processed_comments": 0}
     write(tmp_path / "r" / "manifest.json", json.dumps(doc, indent=2))
     write(tmp_path / "broken" / "manifest.json", "{")
     got = {m.run_id: m for m in read_manifests(scan_documents(spark, str(tmp_path), ("manifest.json",))).collect()}
@@ -154,3 +157,14 @@ def test_log_scan(spark, tmp_path):
     rows = scan_log(spark, str(tmp_path), "r").orderBy("seq").collect()
     assert [(r.level, r.logger, r.message) for r in rows] == [
         ("INFO", "app.paginator", "Page 1: 5 new posts (5/10 total)"), ("WARNING", "app.x", "a | b")]
+
+
+def test_processed_scan(spark, tmp_path):
+    post = {"id": "a", "score": 3, "num_comments": None, "created_utc": 5, "created_iso": "x", "title": "t"}
+    comment = {"comment_id": "c", "post_id": "a", "depth": 1, "path": ["r"], "collapsed_children": [], "collapsed_count": None}
+    write(tmp_path / "r" / "posts" / "posts_1.jsonl", json.dumps(post), "")
+    write(tmp_path / "r" / "comments.jsonl", json.dumps(comment))
+    p = scan_processed_runs(spark, str(tmp_path)).first()
+    assert (p.run_id, p.chunk_no, p.id, p.score, p.created_utc) == ("r", 1, "a", 3, 5.0)
+    c = scan_processed_runs(spark, str(tmp_path), "comments").first()
+    assert (c.chunk_no, c.comment_id, c.path, c.collapsed_children) == (0, "c", ["r"], [])

@@ -7,7 +7,8 @@ from threadloom.operators.integrity import layer_agreement
 from threadloom.operators.logs import log_progress
 from threadloom.operators.progress import pending_posts
 from threadloom.sources.store import Store
-from threadloom.streaming.collection import CollectionError, current, reset, resume, start
+from threadloom.operators.collections import migratable
+from threadloom.streaming.collection import CollectionError, copy_old_progress, current, reset, resume, start
 from threadloom.streaming.ingest import (
     ingest_batches,
     ingest_both,
@@ -251,3 +252,9 @@ def test_collection_life(site):
     assert again["run_id"] != one["run_id"] and resume(site.store, spec) == again
     assert reset(site.store, "Other-open-open") and not reset(site.store, "nothing")
     assert [r.name for r in current(site.store).collect()] == ["Philippines-2026-01-01-open"]
+    identity = json.dumps({k: spec.get(k) for k in ("subreddit", "title", "query", "selftext", "author", "after", "before")} | {"sort": "asc", "subreddit": "old"})
+    old = site.spark.createDataFrame(
+        [("old-2026-01-01-open", None, "oldrun", "oldrun", identity, 5), (one["name"], None, "x", "x", "{}", 5)],
+        "name string, mismatch string, posts_run string, comments_run string, identity string, max_posts int")
+    copy_old_progress(site.store, migratable(old, current(site.store)))
+    assert resume(site.store, {**spec, "subreddit": "old"})["run_id"] == "oldrun" and resume(site.store, spec) == again

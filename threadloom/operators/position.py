@@ -30,18 +30,38 @@ def _range_bounds(keyed: DataFrame, key: str) -> list[str]:
     return list(dict.fromkeys(picked))
 
 
-def _range_number(key: str, bounds: list[str], key_type: str) -> Column:
-    """How many bounds are <= the key, by binary search over a constant array."""
+def _at_most(edge: Column, keys: list[tuple[str, Column]]) -> Column:
+    """Whether ``edge`` sorts no later than the row's keys (nulls first).
+
+    Compares column by column, so that mostly the first one decides and no
+    struct has to be built per comparison.
+    """
+    result = F.lit(True)
+    for name, key in reversed(keys):
+        bound = edge[name]
+        result = (
+            F.when(bound < key, True)
+            .when(bound > key, False)
+            .when(bound.isNull() & key.isNotNull(), True)
+            .when(bound.isNotNull() & key.isNull(), False)
+            .otherwise(result)
+        )
+    return result
+
+
+def _range_number(keys: list[tuple[str, Column]], bounds: list[str], key_type: str) -> Column:
+    """How many bounds are <= the keys, by binary search over a constant array."""
     edges = F.from_json(F.lit("[" + ",".join(bounds) + "]"), f"array<{key_type}>")
     steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
     total = len(bounds)
 
     def step(found: Column, width: Column) -> Column:
         reached = found + width
-        inside = F.when(reached <= total, F.get(edges, reached - 1) <= F.col(key)).otherwise(F.lit(False))
+        inside = F.when(reached <= total, _at_most(F.get(edges, reached - 1), keys)).otherwise(F.lit(False))
         return F.when(inside, reached).otherwise(found)
 
-    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), step)
+    # Never null, so joins on it need no null filter that would compute it again.
+    return F.coalesce(F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), step), F.lit(0))
 
 
 def with_position(
@@ -59,6 +79,7 @@ def with_position(
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     parts = [F.col(c).alias(f"w{i}") for i, c in enumerate(within)]
     keys = [c.alias(f"k{i}") for i, c in enumerate(order_cols)]
+    named = [*[(f"w{i}", F.col(c)) for i, c in enumerate(within)], *[(f"k{i}", c) for i, c in enumerate(order_cols)]]
     keyed = df.withColumn("__key", F.struct(*parts, *keys))
     group = [F.col(c) for c in within]
     bounds = _range_bounds(keyed, "__key")
@@ -68,7 +89,7 @@ def with_position(
         return keyed.withColumn(name, F.row_number().over(window).cast("bigint") - 1).drop("__key")
 
     key_type = keyed.schema["__key"].dataType.simpleString()
-    ranged = keyed.withColumn("__range", _range_number("__key", bounds, key_type))
+    ranged = keyed.withColumn("__range", _range_number(named, bounds, key_type))
     counts = ranged.groupBy("__range", *group).agg(F.count(F.lit(1)).alias("__n"))
     # One row per range (and group), so this window is small by construction.
     before = Window.partitionBy(*(group or [F.lit(0)])).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)

@@ -24,7 +24,7 @@ def epoch(ts: str):
 
 def raw_event_posts(spark, sf_dir: str) -> DataFrame:
     """Events as raw JSON posts, with the type mix that loosely typed JSON has."""
-    e = table(spark, sf_dir, "events")
+    e = table(spark, sf_dir, "events", spread=True)
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     seconds = F.floor(micros / 1000000).cast("string")
     kind = F.col("event_type")
@@ -350,7 +350,7 @@ def search_page_items(spark, sf_dir):
         F.lit('{"data":[{"id":"a'), key, F.lit('","score":'), F.col("o_custkey").cast("string"),
         F.lit('},"junk",{"id":"b'), key, F.lit('"},null,[1]],"error_free":true}'),
     )
-    pages = table(spark, sf_dir, "orders").select("o_orderkey", payload.alias("payload"))
+    pages = table(spark, sf_dir, "orders", spread=True).select("o_orderkey", payload.alias("payload"))
     return normalize_posts(explode_pages(pages)).select("o_orderkey", "pos", "id", "score")
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from threadloom.session import configure
+from threadloom.sources.spread import spread_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,5 +30,7 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A table of the data set; ``spread`` for work that is heavy per row."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_scan(df) if spread else df

@@ -23,7 +23,8 @@ from threadloom.operators.integrity import deletion_guard, layer_agreement, lost
 from threadloom.operators.layout import (
     chunk_inventory,
     chunk_report,
-    inventory_document,
+    inventory_pages,
+    manifest,
     over_limit,
     run_stream_counts,
     run_totals,
@@ -50,8 +51,8 @@ from threadloom.sources.documents import (
     read_comments_progress,
     read_posts_progress,
 )
-from threadloom.sources.store import Store
-from threadloom.streaming.ingest import ingest_comments, ingest_posts, ingest_posts_stateful
+from threadloom.sources.store import Store, read_chunks, write_chunks
+from threadloom.streaming.ingest import ingest_comments, ingest_logs, ingest_posts, ingest_posts_stateful
 
 
 def _text(*parts) -> F.Column:
@@ -288,14 +289,33 @@ def large_chunks(spark, sf_dir):
 
 
 @query(
-    "inventory_document",
-    f"""WITH {_INVENTORY_SQL} SELECT run_id, stream, CAST(sum(records) AS BIGINT) AS total,
-         string_agg(chunk_no || ':' || records, ' ' ORDER BY chunk_no) AS chunks FROM i GROUP BY run_id, stream""",
+    "inventory_pages",
+    f"""WITH {_INVENTORY_SQL} SELECT run_id, stream, chunk_no // 7 AS page, CAST(sum(records) AS BIGINT) AS total,
+         string_agg(chunk_no || ':' || records, ' ' ORDER BY chunk_no) AS chunks FROM i GROUP BY run_id, stream, chunk_no // 7""",
 )
 def inventory_lists(spark, sf_dir):
-    docs = inventory_document(chunk_inventory(_streams(spark, sf_dir)))
+    pages = inventory_pages(chunk_inventory(_streams(spark, sf_dir)), 7)
     entry = F.transform("chunks", lambda c: F.concat_ws(":", c["chunk_no"].cast("string"), c["records"].cast("string")))
-    return docs.select("run_id", "stream", "total", F.array_join(entry, " ").alias("chunks"))
+    return pages.select("run_id", "stream", "page", "total", F.array_join(entry, " ").alias("chunks"))
+
+
+@query(
+    "run_manifest",
+    f"""WITH {_INVENTORY_SQL}, d AS (SELECT o_orderstatus AS run_id, min(o_orderdate) AS dt, max(o_custkey) AS cust FROM orders GROUP BY 1)
+        SELECT run_id, '{{"run_id":"' || run_id || '","started_at":"' || strftime(any_value(dt), '%Y-%m-%d') || '","chunk_size":600,"params":{{"limit":'
+          || any_value(cust) || ',"title":null}},"chunks":{{"raw_posts":' || count(*) FILTER (stream = 'raw_posts')
+          || ',"processed_posts":' || count(*) FILTER (stream = 'processed_posts') || ',"raw_comments":' || count(*) FILTER (stream = 'raw_comments')
+          || ',"processed_comments":' || count(*) FILTER (stream = 'processed_comments') || '}},"totals":{{"raw_posts":'
+          || coalesce(sum(records) FILTER (stream = 'raw_posts'), 0) || ',"processed_posts":' || coalesce(sum(records) FILTER (stream = 'processed_posts'), 0)
+          || ',"raw_comments":' || coalesce(sum(records) FILTER (stream = 'raw_comments'), 0) || ',"processed_comments":'
+          || coalesce(sum(records) FILTER (stream = 'processed_comments'), 0) || '}}}}' AS value FROM i JOIN d USING (run_id) GROUP BY run_id""",
+)
+def manifests(spark, sf_dir):
+    params = table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("run_id")).agg(
+        F.min("o_orderdate").cast("date").cast("string").alias("started_at"), F.max("o_custkey").alias("limit")
+    )
+    params = params.withColumn("title", F.lit(None).cast("string"))
+    return manifest(chunk_inventory(_streams(spark, sf_dir)), params, 600)
 
 
 @query(
@@ -305,16 +325,30 @@ def inventory_lists(spark, sf_dir):
             CAST(coalesce(sum(records) FILTER (stream = 'processed_posts'), 0) AS BIGINT) AS processed_posts,
             CAST(coalesce(sum(records) FILTER (stream = 'raw_comments'), 0) AS BIGINT) AS raw_comments,
             CAST(coalesce(sum(records) FILTER (stream = 'processed_comments'), 0) AS BIGINT) AS processed_comments,
-            count(*) FILTER (records > 600 AND NOT legacy) AS n_over,
-            count(*) FILTER (records > 600 AND legacy) AS n_legacy_over FROM i GROUP BY run_id)
+            count(*) FILTER (records > 600 AND NOT legacy) AS over_limit,
+            count(*) FILTER (records > 600 AND legacy) AS legacy_over_limit FROM i GROUP BY run_id)
         SELECT *, raw_posts = processed_posts AS posts_agree, raw_comments = processed_comments AS comments_agree,
-          raw_posts = processed_posts AND raw_comments = processed_comments AND n_over = 0 AS ok FROM t""",
+          raw_posts = processed_posts AND raw_comments = processed_comments AND over_limit = 0 AS ok FROM t""",
 )
 def report(spark, sf_dir):
-    r = chunk_report(chunk_inventory(_streams(spark, sf_dir)), 600)
-    return r.withColumn("n_over", F.size("over_limit").cast("bigint")).withColumn(
-        "n_legacy_over", F.size("legacy_over_limit").cast("bigint")
-    ).drop("over_limit", "legacy_over_limit")
+    return chunk_report(chunk_inventory(_streams(spark, sf_dir)), 600)
+
+
+@query(
+    "chunk_round_trip",
+    f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_linestatus ORDER BY {_LINE_ORDER_SQL}) - 1 AS pos FROM lineitem)
+        SELECT l_linestatus AS run_id, CAST(pos // 2000 + 1 AS BIGINT) AS chunk_no, count(*) AS records,
+          min('{{"k":' || lpad(CAST(l_orderkey AS VARCHAR), 12, '0') || '}}') AS first_line FROM r GROUP BY ALL""",
+)
+def chunk_round_trip(spark, sf_dir):
+    """Lines written as chunked text, read back and counted per chunk."""
+    line = F.concat(F.lit('{"k":'), F.lpad(F.col("l_orderkey").cast("string"), 12, "0"), F.lit("}"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("run_id"), line.alias("value"), *_LINE_ORDER)
+    path = f"{_landing(spark)}/chunks"
+    write_chunks(lines, path, _LINE_ORDER, 2000)
+    return read_chunks(spark, path).groupBy("run_id", "chunk_no").agg(
+        F.count(F.lit(1)).alias("records"), F.min("value").alias("first_line")
+    )
 
 
 # ---------------------------------------------------------------- identity
@@ -396,7 +430,7 @@ def identity_pairs(spark, sf_dir) -> DataFrame:
         F.when(nation.isin(6, 19), "2030-01-01").cast("string").alias("before"),
         F.when(nation.isin(7, 20), "desc").otherwise("asc").alias("sort"),
     )
-    docs = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", request.alias("request"), doc.alias("value"))
+    docs = table(spark, sf_dir, "customer", spread=True).select("c_custkey", "c_nationkey", request.alias("request"), doc.alias("value"))
     progress_rows = read_posts_progress(check_posts_documents(docs))
     stored = ["run_id", "total_fetched", "max_posts", "pager_version", "pager_sort", "filters", "collection"]
     return progress_rows.select("c_custkey", "request", F.struct(*stored).alias("stored"))
@@ -463,7 +497,7 @@ def binding(spark, sf_dir):
 
 
 def _catalog_inputs(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
+    c = table(spark, sf_dir, "customer", spread=True)
     key, nation = F.col("c_custkey"), F.col("c_nationkey")
     post_doc = F.when(
         nation == 0, _text('{"version":2,"run_id":" ","paginator":[]}')
@@ -596,7 +630,7 @@ def spec_checks(spark, sf_dir):
         )
         .otherwise(F.lit("[]"))
     )
-    specs = table(spark, sf_dir, "part").select("p_partkey", spec.alias("value"))
+    specs = table(spark, sf_dir, "part", spread=True).select("p_partkey", spec.alias("value"))
     return spec_violations(specs).select("p_partkey", F.array_join("errors", " | ").alias("errors"))
 
 
@@ -739,7 +773,7 @@ def _landing(spark) -> str:
 
 def _event_pages(spark, sf_dir, score) -> DataFrame:
     """Every event as a search page with one post; signups come without an id."""
-    return table(spark, sf_dir, "events").select(
+    return table(spark, sf_dir, "events", spread=True).select(
         "event_type",
         _text(
             '{"data":[{"id":"', F.when(F.col("event_type") == "signup", " ").otherwise(_text("e", F.col("event_id"))),
@@ -783,7 +817,7 @@ def stream_posts_stateful(spark, sf_dir):
        UNION ALL SELECT 'p' || event_id, 'd' || event_id, 1, NULL FROM events""",
 )
 def stream_comments(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
+    e = table(spark, sf_dir, "events", spread=True)
     key = F.col("event_id")
     payload = _text(
         '{"data":[{"kind":"t1","data":{"id":"c', key, '","score":', F.col("user_id"),
@@ -795,3 +829,24 @@ def stream_comments(spark, sf_dir):
     for _ in range(2):  # the second call finds nothing new
         ingest_comments(store, f"{landed}/trees", "run", f"{landed}/progress")
     return store.read("comments", "run").select("post_id", "comment_id", "depth", "score")
+
+
+@query(
+    "stream_log_progress",
+    """WITH s AS (SELECT max(event_id) FILTER (event_type = 'signup') AS saved FROM events)
+       SELECT 'run' AS run_id, max(event_id) FILTER (event_type = 'view') AS pages,
+         max(event_id) FILTER (event_type = 'view') * 5 AS posts,
+         count(*) FILTER (event_type = 'purchase') AS retry_waits, count(*) FILTER (event_type = 'error') AS errors,
+         max_by(event_type, event_id) FILTER (event_type <> 'error') = 'purchase' AS waiting_on_rate_limit, true AS in_comment_phase,
+         max(event_id) FILTER (event_type IN ('click', 'signup')) AS comment_posts_done,
+         CAST(max(saved) * 2 + coalesce(sum(event_id % 7) FILTER (event_type = 'click' AND event_id > saved), 0) AS BIGINT) AS comments_collected
+       FROM events, s""",
+)
+def stream_log_progress(spark, sf_dir):
+    """The event log landed as text, collected by a stream, and summed up."""
+    landed = _landing(spark)
+    store = Store(spark, f"{landed}/store")
+    line = F.concat_ws(" | ", F.date_format("logged_at", "yyyy-MM-dd HH:mm:ss"), F.rpad("level", 8, " "), "logger", "message")
+    event_log(spark, sf_dir).orderBy("seq").select(line.alias("value")).write.text(f"{landed}/log")
+    ingest_logs(store, f"{landed}/log", "run", f"{landed}/progress")
+    return log_progress(store.read("log_lines", "run")).drop("last_message")

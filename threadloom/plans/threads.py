@@ -46,7 +46,7 @@ def order_trees(spark, sf_dir: str) -> DataFrame:
     )
     good = _text('{"data":[', root, ',{"kind":"t1"},null,[]]}')
     payload = F.when(F.col("o_orderstatus") == "P", _text('{"data":', good, "}")).otherwise(good)
-    return table(spark, sf_dir, "orders").select(key.cast("string").alias("post_id"), payload.alias("payload"))
+    return table(spark, sf_dir, "orders", spread=True).select(key.cast("string").alias("post_id"), payload.alias("payload"))
 
 
 _COMMENT_SQL = """
@@ -104,7 +104,7 @@ def flatten_chains(spark, sf_dir):
 
     levels = F.reverse(F.sequence(F.lit(0), F.col("p_size") - 1))
     chain = F.aggregate(levels, F.lit('"end"'), wrap)
-    trees = table(spark, sf_dir, "part").select(
+    trees = table(spark, sf_dir, "part", spread=True).select(
         F.col("p_partkey").cast("string").alias("post_id"), _text('{"data":[', chain, "]}").alias("payload")
     )
     c = normalize_comments(tree_nodes(flatten_trees(trees)))

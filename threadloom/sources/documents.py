@@ -38,6 +38,13 @@ def scan_documents(spark: SparkSession, root: str, names: tuple[str, ...]) -> Da
     )
 
 
+def with_collection_name(docs: DataFrame, root: str) -> DataFrame:
+    """Name of the collection a document belongs to: its folder, or ``legacy`` for the root."""
+    last = F.regexp_extract("folder", "([^/]+)$", 1)
+    at_root = F.regexp_replace("folder", "^file:/+", "/") == F.regexp_replace(F.lit(root.rstrip("/")), "^file:/+", "/")
+    return docs.withColumn("legacy", at_root).withColumn("name", F.when(at_root, "legacy").otherwise(last))
+
+
 def preferred_documents(files: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """Per folder, the file whose name comes first in ``names``."""
     rank = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("file"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from threadloom.functions.jsonrows import is_blank, is_one_object, read_lines
+from threadloom.functions.jsonrows import is_blank, is_one_object, read_lines, with_object
 from threadloom.operators.position import with_position
+from threadloom.schemas import COMMENT, POST
 
 LINE_ORDER = ("src_rank", "chunk_no", "block_start", "line_seq")
 
@@ -80,6 +81,15 @@ def corrupt_line_numbers(lines: DataFrame) -> DataFrame:
     )
 
 
+def scan_processed_runs(spark: SparkSession, root: str, kind: str = "posts") -> DataFrame:
+    """Processed JSONL runs as typed rows, with the order columns of the raw scan."""
+    schema = POST if kind == "posts" else COMMENT
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
+    lines = strict_lines(scan_run_lines(spark, root, kind))
+    parsed = with_object(lines, "value", fields, "record", "raise", "Corrupt processed line")
+    return parsed.select("run_id", *LINE_ORDER, "record.*")
+
+
 LOG_LINE = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}) \| (\w+)\s* \| (\S+) \| ([\s\S]*)$"
 
 

@@ -10,6 +10,7 @@ import json
 
 from pyspark.sql import DataFrame, functions as F
 
+from threadloom.functions.scalars import run_id_for
 from threadloom.operators.collections import free_run_ids, with_identity
 from threadloom.schemas import FILTER_KEYS
 from threadloom.sources.store import Store
@@ -54,9 +55,7 @@ def start(store: Store, spec: dict, fresh: bool = False) -> dict:
     ``fresh`` resets this collection only.  Stored data is kept either way.
     """
     row = _spec_row(store, spec)
-    made = row.withColumn(
-        "run_id", F.concat(F.date_format(F.current_timestamp(), "yyyyMMdd'T'HHmmss'Z'"), F.lit("_"), "subreddit")
-    ).take(1)[0]
+    made = row.withColumn("run_id", run_id_for(F.current_timestamp(), "subreddit")).take(1)[0]
     if made["name"] is None:
         raise CollectionError("'subreddit' is required and must be a non-empty string")
     known = _state_of(store, made["name"])
