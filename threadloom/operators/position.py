@@ -16,17 +16,18 @@ def _ranges(spark) -> int:
 def _range_bounds(keyed: DataFrame, key: str) -> list[str]:
     """Upper edges of about equally filled key ranges, as JSON.
 
-    A uniform sample of fixed size is taken (bounded top-k per task, never the
-    data).  A sample that is not full means the input is small: no ranges.
+    They come from a uniform sample whose size depends on the number of ranges
+    only, so what reaches the driver does not grow with the data.  A table
+    smaller than the sample needs no ranges.
     """
     count = _ranges(keyed.sparkSession)
     size = max(_SAMPLE_FLOOR, count * _SAMPLE_PER_RANGE)
-    sample = keyed.select(key, F.rand(17).alias("__r")).orderBy("__r").limit(size)
-    rows = [r[0] for r in sample.orderBy(key).select(F.to_json(key)).collect()]
-    if len(rows) < size:
+    total = keyed.count()
+    if total <= size:
         return []
-    step = len(rows) / count
-    picked = [rows[int(i * step)] for i in range(1, count)]
+    sample = keyed.select(key).sample(fraction=min(1.0, size / total), seed=17)
+    rows = [r[0] for r in sample.orderBy(key).select(F.to_json(key)).collect()]
+    picked = [rows[i * len(rows) // count] for i in range(1, count)] if rows else []
     return list(dict.fromkeys(picked))
 
 
