@@ -94,11 +94,11 @@ def test_posts_document_checks(spark):
         posts_doc(version=2, run_id=" ", pager_filters=[], pager_sort=1, pager_cursor=True, pager_total_fetched=2.0, pager_seen_ids=["a", 1]),
         posts_doc(version="1", paginator=5), posts_doc({"name": " "}), posts_doc([1]), posts_doc(pager_total_fetched=-1, pager_seen_ids=None),
     )
-    assert got[0] == got[1] == [] and got[2] == got[3] == ["document is not a JSON object"]
+    assert got[0] == got[1] == [] and got[2] == got[3] == ["not a JSON object"]
     assert len(got[4]) == 7
-    assert got[5] == ["'version' must be 1", "'paginator' must be an object holding the paginator snapshot"]
-    assert got[6] == ["'collection.name' must be a non-empty string", "'collection.subreddit' must be a non-empty string"]
-    assert got[7] == ["'collection' must be an object holding the collection identity"]
+    assert got[5] == ["version: 1", "paginator: object"]
+    assert got[6] == ["collection.name: non-empty text", "collection.subreddit: non-empty text"]
+    assert got[7] == ["collection: object or null"]
     assert len(got[8]) == 2
 
 
@@ -112,8 +112,8 @@ def test_comments_document_checks(spark):
         {"version": 1, "run_id": None}, {**comments_doc(), "version": 3},
     )
     assert got[0] == [] and len(got[1]) == 3
-    assert got[2] == ["'run_id' must be a non-empty string", "'comments' must be an object holding comment progress"]
-    assert got[3] == ["'version' must be 1"]
+    assert got[2] == ["run_id: non-empty text", "comments: object"]
+    assert got[3] == ["version: 1"]
 
 
 def test_documents_on_disk(spark, tmp_path):
@@ -208,7 +208,7 @@ def test_spec_checks(spark):
 
     assert errors() == [] and errors(limit=100, sort="desc", max_posts=None, after=1577836800.5, before="2020-01-01T00:00:00", title="x") == []
     assert len(errors(subreddit=" ", limit=500, sort="new")) == 3
-    assert errors(subreddit="__none") == ["'subreddit' is required and must be a non-empty string"]
+    assert errors(subreddit="__none") == ["subreddit: non-empty text"]
     for bad in ({"limit": None}, {"limit": 0}, {"limit": 5.0}, {"sort": None}, {"max_posts": 0}, {"title": " "}, {"query": 5}, {"author": ""},
                 {"after": True}, {"before": " "}, {"after": []}, {"api": {"base_url": "ftp://x"}}, {"api": {"base_url": " "}},
                 {"output": {"raw_dir": 5}}, {"output": {"chunk_size": 0}}, {"collection": {"throttle_qps": True}}, {"collection": {"max_retries": -1}},

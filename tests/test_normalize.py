@@ -56,7 +56,7 @@ def test_unusable_lines(spark):
     assert [p["id"] for p in posts(spark, POST, *bad, on_error="drop")] == ["abc123"]
     assert len(posts(spark, POST, *bad, on_error="null")) == 7
     for line in bad:
-        with pytest.raises(Exception, match="Cannot normalize post"):
+        with pytest.raises(Exception, match="record is not one JSON object"):
             posts(spark, line)
 
 

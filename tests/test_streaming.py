@@ -139,7 +139,7 @@ def test_runs_do_not_share_known_ids(site):
 def test_page_that_is_no_page_fails_the_run(site):
     (site.root / "pages").mkdir()
     (site.root / "pages" / "bad.json").write_text('{"data": {}}')
-    with pytest.raises(Exception, match="not a list"):
+    with pytest.raises(Exception, match="no list under data"):
         site.ingest()
     assert site.ids() == []
 

@@ -72,7 +72,7 @@ def community_display(value: Column | str, strict: bool = False) -> Column:
     name = blank_to_null(F.regexp_replace(trim_ws(value), "^[rR]/", ""))
     if not strict:
         return name
-    return F.coalesce(name, F.raise_error(F.lit("subreddit must be a non-empty string")).cast("string"))
+    return F.coalesce(name, F.raise_error(F.lit("subreddit: non-empty text")).cast("string"))
 
 
 def community_key(value: Column | str, strict: bool = False) -> Column:

@@ -7,27 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from threadloom.functions import scalars as S
-from threadloom.schemas import DOCUMENT_VERSION, FILTER_KEYS
-
-_SAFE_FIELDS = (
-    "subreddit",
-    "title",
-    "query",
-    "selftext",
-    "after",
-    "before",
-    "limit",
-    "sort",
-    "max_posts",
-    "throttle_qps",
-    "chunk_size",
-    "output",
-)
-
-
-def _type_of(value: Column, is_variant: bool) -> Column | None:
-    return S.variant_type(value) if is_variant else None
-
+from threadloom.schemas import DOCUMENT_VERSION, FILTER_KEYS, LOG_LEVELS, MAX_PAGE_SIZE, MAX_TREE_LIMIT, SAFE_FIELDS
 
 def with_identity(specs: DataFrame) -> DataFrame:
     """Add name, display name, key and date tokens to request specifications.
@@ -46,7 +26,7 @@ def with_identity(specs: DataFrame) -> DataFrame:
 
 def safe_summary(specs: DataFrame) -> DataFrame:
     """Only the fields that may be shown; anything else never leaves this function."""
-    return specs.select(*[c for c in _SAFE_FIELDS if c in specs.columns])
+    return specs.select(*[c for c in SAFE_FIELDS if c in specs.columns])
 
 
 # ----------------------------------------------------------- compatibility
@@ -251,7 +231,6 @@ _SPEC_JSON = (
     "comments struct<tree_limit variant, max_comment_posts variant, skip_empty_posts variant>, "
     "logging struct<level variant, file variant>"
 )
-LOG_LEVELS = ("DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL")
 
 
 def spec_violations(specs: DataFrame, value: str = "value") -> DataFrame:
@@ -265,9 +244,6 @@ def spec_violations(specs: DataFrame, value: str = "value") -> DataFrame:
     def at(path: str) -> Column:
         return F.col(f"__s.{path}")
 
-    def missing(v: Column) -> Column:
-        return v.isNull()
-
     def null(v: Column) -> Column:
         return F.coalesce(S.variant_type(v) == "VOID", F.lit(False))
 
@@ -282,65 +258,53 @@ def spec_violations(specs: DataFrame, value: str = "value") -> DataFrame:
     def positive(v: Column) -> Column:
         return F.coalesce(S.json_number(v) > 0, F.lit(False))
 
-    def rule(v: Column, ok: Column, message: str, required: bool = False) -> Column:
-        broken = ~ok if required else ~(missing(v) | ok)
-        return F.when(F.coalesce(broken, F.lit(True)), message)
+    def is_level(v: Column) -> Column:
+        return F.coalesce(F.upper(S.variant_text(v)).isin(*LOG_LEVELS), F.lit(False))
+
+    def rule(path: str, ok, need: str, required: bool = False) -> Column:
+        """``path: need`` when the value at ``path`` is there (or required) and not ok."""
+        v = at(path)
+        broken = ~ok(v) if required else ~(v.isNull() | ok(v))
+        return F.when(F.coalesce(broken, F.lit(True)), f"{path}: {need}")
 
-    base_url = at("api.base_url")
+    filled_text, text_or_null = "non-empty text", "text or null"
+    base_url, sort = at("api.base_url"), at("sort")
     is_url = F.coalesce(F.lower(S.variant_text(base_url)).rlike("^https?://"), F.lit(False))
+    is_sort = S.variant_is_text(sort) & F.coalesce(S.variant_text(sort).isin("asc", "desc"), F.lit(False))
     rules = [
-        rule(base_url, filled(base_url), "'api.base_url' must be a non-empty string"),
-        rule(base_url, ~filled(base_url) | is_url, "'api.base_url' must start with http(s)://"),
-        rule(at("subreddit"), filled(at("subreddit")), "'subreddit' is required and must be a non-empty string", True),
-        rule(at("limit"), whole_in(at("limit"), 1, 100), "'limit' must be an integer 1-100"),
-        rule(
-            at("sort"),
-            S.variant_is_text(at("sort")) & F.coalesce(S.variant_text(at("sort")).isin("asc", "desc"), F.lit(False)),
-            "'sort' must be one of ['asc', 'desc']",
-        ),
-        rule(
-            at("max_posts"),
-            null(at("max_posts")) | whole_in(at("max_posts"), 1),
-            "'max_posts' must be a positive integer or null",
-        ),
+        rule("api.base_url", filled, filled_text),
+        rule("api.base_url", lambda v: ~filled(v) | is_url, "http(s) address"),
+        rule("subreddit", filled, filled_text, required=True),
+        rule("limit", lambda v: whole_in(v, 1, MAX_PAGE_SIZE), f"integer 1-{MAX_PAGE_SIZE}"),
+        rule("sort", lambda v: is_sort, "asc or desc"),
+        rule("max_posts", lambda v: null(v) | whole_in(v, 1), "positive integer or null"),
     ]
     for key in ("title", "query", "selftext", "author"):
-        v = at(key)
-        rules.append(rule(v, null(v) | S.variant_is_text(v), f"'{key}' must be a string or null"))
-        rules.append(rule(v, ~S.variant_is_text(v) | filled(v), f"'{key}' must be a non-empty string or null"))
+        rules.append(rule(key, lambda v: null(v) | S.variant_is_text(v), text_or_null))
+        rules.append(rule(key, lambda v: ~S.variant_is_text(v) | filled(v), f"{filled_text} or null"))
     for key in ("after", "before"):
-        v = at(key)
-        is_number = S.json_number(v).isNotNull()
         rules.append(
-            rule(v, null(v) | S.variant_is_text(v) | is_number, f"'{key}' must be a date string, epoch number or null")
+            rule(
+                key,
+                lambda v: null(v) | S.variant_is_text(v) | S.json_number(v).isNotNull(),
+                "date text, epoch number or null",
+            )
         )
-        rules.append(rule(v, ~S.variant_is_text(v) | filled(v), f"'{key}' must be a non-empty string or null"))
+        rules.append(rule(key, lambda v: ~S.variant_is_text(v) | filled(v), f"{filled_text} or null"))
     for key in ("raw_dir", "processed_dir", "checkpoint_dir"):
-        v = at(f"output.{key}")
-        rules.append(rule(v, filled(v), f"'output.{key}' must be a non-empty string"))
-    size = at("output.chunk_size")
-    rules.append(rule(size, null(size) | whole_in(size, 1), "'output.chunk_size' must be a positive integer"))
+        rules.append(rule(f"output.{key}", filled, filled_text))
+    rules.append(rule("output.chunk_size", lambda v: null(v) | whole_in(v, 1), "positive integer"))
     for key in ("throttle_qps", "timeout_secs", "backoff_base_secs", "backoff_max_secs"):
-        v = at(f"collection.{key}")
-        rules.append(rule(v, positive(v), f"'collection.{key}' must be a positive number"))
-    retries = at("collection.max_retries")
-    rules.append(rule(retries, whole_in(retries, 0), "'collection.max_retries' must be an integer >= 0"))
-    tree, cap, skip = at("comments.tree_limit"), at("comments.max_comment_posts"), at("comments.skip_empty_posts")
-    rules += [
-        rule(tree, whole_in(tree, 1, 25000), "'comments.tree_limit' must be an integer 1-25000"),
-        rule(cap, null(cap) | whole_in(cap, 1), "'comments.max_comment_posts' must be a positive integer or null"),
-        rule(skip, S.variant_type(skip) == "BOOLEAN", "'comments.skip_empty_posts' must be true or false"),
-    ]
-    level, file = at("logging.level"), at("logging.file")
+        rules.append(rule(f"collection.{key}", positive, "positive number"))
     rules += [
-        rule(
-            level,
-            F.coalesce(F.upper(S.variant_text(level)).isin(*LOG_LEVELS), F.lit(False)),
-            "'logging.level' must be one of " + str(sorted(LOG_LEVELS)),
-        ),
-        rule(file, filled(file), "'logging.file' must be a non-empty string"),
+        rule("collection.max_retries", lambda v: whole_in(v, 0), "integer >= 0"),
+        rule("comments.tree_limit", lambda v: whole_in(v, 1, MAX_TREE_LIMIT), f"integer 1-{MAX_TREE_LIMIT}"),
+        rule("comments.max_comment_posts", lambda v: null(v) | whole_in(v, 1), "positive integer or null"),
+        rule("comments.skip_empty_posts", lambda v: S.variant_type(v) == "BOOLEAN", "true or false"),
+        rule("logging.level", is_level, "one of " + ", ".join(LOG_LEVELS)),
+        rule("logging.file", filled, filled_text),
     ]
     errors = F.filter(F.array(*rules), lambda r: r.isNotNull())
-    unusable = F.array(F.lit("specification is not a JSON object"))
+    unusable = F.array(F.lit("not a JSON object"))
     is_object = F.ltrim(F.col(value)).startswith("{")
     return parsed.withColumn("errors", F.when(is_object, errors).otherwise(unusable)).drop("__s")

@@ -76,7 +76,7 @@ def posts_with_comments(
     by AQE when one post has most of the comments; the inner join can.
     """
     if how not in ("inner", "left"):
-        raise ValueError(f"how must be inner or left, got {how!r}")
+        raise ValueError(f"how: inner or left, not {how!r}")
     key = post_key if post_key is not None else dedup_key("id")
     right = comments.select([F.col(c).alias(f"c_{c}") for c in comments.columns])
     inner = posts.withColumn("__key", key).join(right, F.col("__key") == F.col("c_post_id")).drop("__key")

@@ -4,11 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-_PAGE = r"Page\s+(\d+):\s+(\d+)\s+new posts"
-_TOTAL = r"\((\d+)(?:/\d+)? total\)"
-_POST = r"Post \S+: (\d+) comments \((\d+) posts done\)"
-_SAVED = r"(\d+) posts done, (\d+) comments"
-
+from threadloom.schemas import LOG_PAGE_PATTERN, LOG_POST_PATTERN, LOG_SAVED_PATTERN, LOG_TOTAL_PATTERN
 
 def _number(text: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract(text, pattern, group).try_cast("bigint")
@@ -32,9 +28,9 @@ def classify_log(lines: DataFrame) -> DataFrame:
     )
     tagged = lines.withColumn("__source", source)
     on_page = F.col("__source") == "page"
-    post_line = (F.col("__source") == "collector") & message.rlike(_POST)
-    saved_line = (F.col("__source") == "saved") & message.rlike(_SAVED)
-    page_no = F.when(on_page, _number(message, _PAGE, 1))
+    post_line = (F.col("__source") == "collector") & message.rlike(LOG_POST_PATTERN)
+    saved_line = (F.col("__source") == "saved") & message.rlike(LOG_SAVED_PATTERN)
+    page_no = F.when(on_page, _number(message, LOG_PAGE_PATTERN, 1))
     return tagged.select(
         *lines.columns,
         F.when(F.col("__source") == "retry", "retry")
@@ -46,12 +42,12 @@ def classify_log(lines: DataFrame) -> DataFrame:
         F.col("level").isin("ERROR", "CRITICAL").alias("is_error"),
         F.when(F.col("__source").isNotNull(), F.col("__source") == "retry").alias("waiting"),
         page_no.alias("page_no"),
-        F.when(page_no.isNotNull(), _number(message, _TOTAL, 1)).alias("posts_total"),
-        F.when(post_line, _number(message, _POST, 1)).alias("comments_added"),
-        F.when(post_line, _number(message, _POST, 2))
-        .when(saved_line, _number(message, _SAVED, 1))
+        F.when(page_no.isNotNull(), _number(message, LOG_TOTAL_PATTERN, 1)).alias("posts_total"),
+        F.when(post_line, _number(message, LOG_POST_PATTERN, 1)).alias("comments_added"),
+        F.when(post_line, _number(message, LOG_POST_PATTERN, 2))
+        .when(saved_line, _number(message, LOG_SAVED_PATTERN, 1))
         .alias("comment_posts"),
-        F.when(saved_line, _number(message, _SAVED, 2)).alias("comments_saved"),
+        F.when(saved_line, _number(message, LOG_SAVED_PATTERN, 2)).alias("comments_saved"),
     )
 
 

@@ -45,8 +45,8 @@ def normalize_posts(
     all-null post (``'null'``).
     """
     if on_error not in ("raise", "drop", "null"):
-        raise ValueError(f"on_error must be raise, drop or null, got {on_error!r}")
-    parsed = with_object(raw, value, _POST_JSON, "__p", on_error, "Cannot normalize post: expected an object, got")
+        raise ValueError(f"on_error: raise, drop or null, not {on_error!r}")
+    parsed = with_object(raw, value, _POST_JSON, "__p", on_error, "record is not one JSON object")
     parsed = _with_types(parsed, "__p", ("score", "num_comments", "created_utc"))
     created = _typed("__p", "created_utc")
     f = {name: F.col(f"__p.{name}") for name in POST_FIELDS if name != "created_iso"}

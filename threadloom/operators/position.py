@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from threadloom.schemas import MAX_PAGE_SIZE
+
 _SAMPLE_FLOOR = 10_000
 _SAMPLE_PER_RANGE = 20
 _MAX_RANGES = 4_096
@@ -148,7 +150,7 @@ def assign_chunks(
 
 def check_chunk_size(value) -> int:
     if isinstance(value, bool) or not isinstance(value, int) or value < 1:
-        raise ValueError(f"chunk_size must be a positive integer, got {value!r}")
+        raise ValueError(f"chunk_size: positive integer, not {value!r}")
     return value
 
 
@@ -156,8 +158,8 @@ def check_chunk_size(value) -> int:
 
 
 def check_page_size(value) -> int:
-    if isinstance(value, bool) or not isinstance(value, int) or not 1 <= value <= 100:
-        raise ValueError(f"page_size must be an integer 1-100, got {value!r}")
+    if isinstance(value, bool) or not isinstance(value, int) or not 1 <= value <= MAX_PAGE_SIZE:
+        raise ValueError(f"page_size: integer 1-{MAX_PAGE_SIZE}, not {value!r}")
     return value
 
 

@@ -71,8 +71,8 @@ def phase_summary(posts: DataFrame, done: DataFrame, post_id: str = "id", done_i
 
 def require_usable_posts(summary: DataFrame) -> DataFrame:
     """Fail when a run has no posts, or none with a usable id; no comments is fine."""
-    message = F.when(F.col("posts_seen") == 0, "run has no processed posts: collect posts first").when(
-        F.col("posts_usable") == 0, "run has processed records but none with a usable post id"
+    message = F.when(F.col("posts_seen") == 0, "no posts are stored for this run").when(
+        F.col("posts_usable") == 0, "no stored post has a usable id"
     )
     return summary.filter(
         F.when(message.isNotNull(), F.raise_error(message).cast("boolean")).otherwise(F.lit(True))

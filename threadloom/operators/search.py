@@ -33,12 +33,12 @@ class Search:
 
     def __post_init__(self):
         if self.sort not in ("asc", "desc"):
-            raise ValueError(f"sort must be 'asc' or 'desc', got {self.sort!r}")
+            raise ValueError(f"sort: asc or desc, not {self.sort!r}")
         if self.limit is not None:
             check_page_size(self.limit)
         cap = self.max_posts
         if cap is not None and (isinstance(cap, bool) or not isinstance(cap, int) or cap < 1):
-            raise ValueError(f"max_posts must be a positive integer or None, got {cap!r}")
+            raise ValueError(f"max_posts: positive integer or None, not {cap!r}")
 
 
 def _text(value) -> str | None:
@@ -57,7 +57,7 @@ def _bound_seconds(spark: SparkSession, value: str, side: str) -> float:
     """The bound as a number, worked out first: a plain literal reaches the scan."""
     seconds = spark.range(1).select(S.time_bound(F.lit(value))).first()[0]
     if seconds is None:
-        raise ValueError(f"{side} must be a date, an epoch number or a span like '1year', got {value!r}")
+        raise ValueError(f"{side}: date, epoch number or a span like 1year, not {value!r}")
     return seconds
 
 

@@ -84,9 +84,9 @@ def _flatten_batches(keep_raw: bool):
                 try:
                     tree = json.loads(payload)
                     nodes = tree["data"] if isinstance(tree, dict) else None
-                    error = None if isinstance(nodes, list) else "expected {'data': [...]}"
+                    error = None if isinstance(nodes, list) else "no list under data"
                 except (TypeError, ValueError, KeyError, RecursionError) as exc:
-                    nodes, error = None, f"unusable comment tree: {type(exc).__name__}"
+                    nodes, error = None, f"not readable: {type(exc).__name__}"
                 if error:
                     rows.append((post_id, None, None, None, None, None, None, error))
                     continue
@@ -225,10 +225,10 @@ def subtree(
     A row whose ancestor was cut by the breadth limit is cut as well.
     """
     if limit is not None and (isinstance(limit, bool) or not isinstance(limit, int) or not 1 <= limit <= MAX_TREE_LIMIT):
-        raise ValueError(f"limit must be an integer 1-{MAX_TREE_LIMIT}, got {limit!r}")
+        raise ValueError(f"limit: integer 1-{MAX_TREE_LIMIT}, not {limit!r}")
     for name, value in (("max_depth", max_depth), ("max_breadth", max_breadth)):
         if value is not None and (isinstance(value, bool) or not isinstance(value, int) or value < 0):
-            raise ValueError(f"{name} must be an integer >= 0, got {value!r}")
+            raise ValueError(f"{name}: integer >= 0, not {value!r}")
     order = order or ["post_id", "depth", "comment_id"]
     own = bare_id("comment_id")
     found = comments

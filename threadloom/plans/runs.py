@@ -517,8 +517,7 @@ def _catalog_inputs(spark, sf_dir):
 
 @query(
     "posts_document_errors",
-    """SELECT c_name AS name, CASE WHEN c_nationkey = 0 THEN '''version'' must be 1 | ''run_id'' must be a non-empty string or null | '
-         || '''paginator'' must be an object holding the paginator snapshot' ELSE '' END AS errors
+    """SELECT c_name AS name, CASE WHEN c_nationkey = 0 THEN 'version: 1 | run_id: non-empty text or null | paginator: object' ELSE '' END AS errors
        FROM customer WHERE c_mktsegment <> 'BUILDING'""",
 )
 def posts_errors(spark, sf_dir):
@@ -527,8 +526,8 @@ def posts_errors(spark, sf_dir):
 
 @query(
     "comments_document_errors",
-    """SELECT c_name AS name, CASE WHEN c_nationkey = 24 THEN '''comments.completed_post_ids'' must be a list of post id strings | '
-         || '''comments.posts_completed'' must be an integer >= 0 | ''comments.comments_collected'' must be an integer >= 0'
+    """SELECT c_name AS name, CASE WHEN c_nationkey = 24 THEN 'comments.completed_post_ids: list of text | '
+         || 'comments.posts_completed: integer >= 0 | comments.comments_collected: integer >= 0'
          ELSE '' END AS errors
        FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')""",
 )
@@ -607,14 +606,13 @@ def run_ids(spark, sf_dir):
 @query(
     "spec_violations",
     """SELECT p_partkey, CASE p_type
-         WHEN 'ECONOMY' THEN CASE WHEN p_size * 4 > 100 THEN '''limit'' must be an integer 1-100' ELSE '' END
-         WHEN 'STANDARD' THEN '''subreddit'' is required and must be a non-empty string | ''limit'' must be an integer 1-100 | '
-           || '''sort'' must be one of [''asc'', ''desc'']'
-         WHEN 'LARGE' THEN '''max_posts'' must be a positive integer or null | ''title'' must be a non-empty string or null | '
-           || '''query'' must be a string or null | ''after'' must be a date string, epoch number or null'
-         WHEN 'SMALL' THEN CASE WHEN p_size > 25 THEN '''output.chunk_size'' must be a positive integer | ' ELSE '' END
-           || '''collection.throttle_qps'' must be a positive number | ''comments.skip_empty_posts'' must be true or false'
-         ELSE 'specification is not a JSON object' END AS errors FROM part""",
+         WHEN 'ECONOMY' THEN CASE WHEN p_size * 4 > 100 THEN 'limit: integer 1-100' ELSE '' END
+         WHEN 'STANDARD' THEN 'subreddit: non-empty text | limit: integer 1-100 | sort: asc or desc'
+         WHEN 'LARGE' THEN 'max_posts: positive integer or null | title: non-empty text or null | '
+           || 'query: text or null | after: date text, epoch number or null'
+         WHEN 'SMALL' THEN CASE WHEN p_size > 25 THEN 'output.chunk_size: positive integer | ' ELSE '' END
+           || 'collection.throttle_qps: positive number | comments.skip_empty_posts: true or false'
+         ELSE 'not a JSON object' END AS errors FROM part""",
 )
 def spec_checks(spark, sf_dir):
     size = F.col("p_size")

@@ -16,6 +16,29 @@ SENSITIVE_KEY_PATTERN = "key|token|secret|password|credential|auth"
 REDACTED = "***REDACTED***"
 TRANSIENT_TIMEOUT_PATTERN = r"timed?\s*-?\s*out|slow\s*down"
 SMOKE_POST_CAP = 5
+LOG_PAGE_PATTERN = r"Page\s+(\d+):\s+(\d+)\s+new posts"
+LOG_TOTAL_PATTERN = r"\((\d+)(?:/\d+)? total\)"
+LOG_POST_PATTERN = r"Post \S+: (\d+) comments \((\d+) posts done\)"
+LOG_SAVED_PATTERN = r"(\d+) posts done, (\d+) comments"
+LOG_LINE_PATTERN = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}) \| (\w+)\s* \| (\S+) \| ([\s\S]*)$"
+LOG_LEVELS = ("DEBUG", "INFO", "WARNING", "ERROR", "CRITICAL")
+POSTS_DOCUMENT_NAMES = ("posts-checkpoint.json", "checkpoint.json")
+COMMENTS_DOCUMENT_NAMES = ("comments-checkpoint.json",)
+MANIFEST_NAMES = ("manifest.json",)
+SAFE_FIELDS = (
+    "subreddit",
+    "title",
+    "query",
+    "selftext",
+    "after",
+    "before",
+    "limit",
+    "sort",
+    "max_posts",
+    "throttle_qps",
+    "chunk_size",
+    "output",
+)
 STREAMS = ("raw_posts", "processed_posts", "raw_comments", "processed_comments")
 FILTER_KEYS = ("subreddit", "title", "query", "selftext", "author", "after", "before")
 # ------------------------------------------------------------------------------

@@ -6,12 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from threadloom.functions.jsonrows import with_object
 from threadloom.functions.scalars import strict_int, variant_is_text, variant_text, variant_type, trim_ws
-from threadloom.schemas import DOCUMENT_VERSION, FILTER_KEYS
+from threadloom.schemas import COMMENTS_DOCUMENT_NAMES, DOCUMENT_VERSION, FILTER_KEYS, POSTS_DOCUMENT_NAMES
 
 # Names in order of preference; the first one present in a folder is read.
-POSTS_NAMES = ("posts-checkpoint.json", "checkpoint.json")
-COMMENTS_NAMES = ("comments-checkpoint.json",)
-MANIFEST_NAMES = ("manifest.json",)
+POSTS_NAMES = POSTS_DOCUMENT_NAMES
+COMMENTS_NAMES = COMMENTS_DOCUMENT_NAMES
 
 _COLLECTION = (
     "name variant, subreddit variant, subreddit_norm variant, after_token variant, before_token variant, "
@@ -99,11 +98,11 @@ def _collection_rules(block: Column) -> list[Column]:
     given = ~_absent(block)
     is_object = _is_object(block)
     return [
-        _rule(given & ~is_object, "'collection' must be an object holding the collection identity"),
-        _rule(given & is_object & ~_filled_text(_part(block, "name")), "'collection.name' must be a non-empty string"),
+        _rule(given & ~is_object, "collection: object or null"),
+        _rule(given & is_object & ~_filled_text(_part(block, "name")), "collection.name: non-empty text"),
         _rule(
             given & is_object & ~_filled_text(_part(block, "subreddit")),
-            "'collection.subreddit' must be a non-empty string",
+            "collection.subreddit: non-empty text",
         ),
     ]
 
@@ -122,21 +121,21 @@ def check_posts_documents(docs: DataFrame) -> DataFrame:
     version = F.try_variant_get(d["version"], "$", "double")
     version_ok = ~variant_is_text(d["version"]) & F.coalesce(version == DOCUMENT_VERSION, F.lit(False))
     errors = _violations(
-        _rule(~version_ok, f"'version' must be {DOCUMENT_VERSION}"),
-        _rule(~_absent(d["run_id"]) & ~_filled_text(d["run_id"]), "'run_id' must be a non-empty string or null"),
-        _rule(~has_pager, "'paginator' must be an object holding the paginator snapshot"),
-        _rule(has_pager & ~_is_object(_part(pager, "filters")), "'paginator.filters' must be an object"),
-        _rule(has_pager & ~variant_is_text(_part(pager, "sort")), "'paginator.sort' must be a string"),
-        _rule(has_pager & ~cursor_ok, "'paginator.cursor' must be a string, number or null"),
-        _rule(has_pager & ~_whole(total), "'paginator.total_fetched' must be an integer >= 0"),
+        _rule(~version_ok, f"version: {DOCUMENT_VERSION}"),
+        _rule(~_absent(d["run_id"]) & ~_filled_text(d["run_id"]), "run_id: non-empty text or null"),
+        _rule(~has_pager, "paginator: object"),
+        _rule(has_pager & ~_is_object(_part(pager, "filters")), "paginator.filters: object"),
+        _rule(has_pager & ~variant_is_text(_part(pager, "sort")), "paginator.sort: text"),
+        _rule(has_pager & ~cursor_ok, "paginator.cursor: text, number or null"),
+        _rule(has_pager & ~_whole(total), "paginator.total_fetched: integer >= 0"),
         _rule(
-            has_pager & ~_text_list(_part(pager, "seen_ids")), "'paginator.seen_ids' must be a list of post id strings"
+            has_pager & ~_text_list(_part(pager, "seen_ids")), "paginator.seen_ids: list of text"
         ),
         *[F.when(has_pager, r) for r in _collection_rules(d["collection"])],
     )
     return parsed.withColumn(
         "errors",
-        F.when(F.col("doc").isNull(), F.array(F.lit("document is not a JSON object"))).otherwise(errors),
+        F.when(F.col("doc").isNull(), F.array(F.lit("not a JSON object"))).otherwise(errors),
     )
 
 
@@ -151,24 +150,24 @@ def check_comments_documents(docs: DataFrame) -> DataFrame:
     counters = [
         _rule(
             has_state & _part(state, key).isNotNull() & ~_whole(_part(state, key)),
-            f"'comments.{key}' must be an integer >= 0",
+            f"comments.{key}: integer >= 0",
         )
         for key in ("posts_completed", "posts_skipped_empty", "comments_collected")
     ]
     errors = _violations(
-        _rule(~version_ok, f"'version' must be {DOCUMENT_VERSION}"),
-        _rule(~_filled_text(d["run_id"]), "'run_id' must be a non-empty string"),
-        _rule(~has_state, "'comments' must be an object holding comment progress"),
+        _rule(~version_ok, f"version: {DOCUMENT_VERSION}"),
+        _rule(~_filled_text(d["run_id"]), "run_id: non-empty text"),
+        _rule(~has_state, "comments: object"),
         _rule(
             has_state & ~_text_list(_part(state, "completed_post_ids")),
-            "'comments.completed_post_ids' must be a list of post id strings",
+            "comments.completed_post_ids: list of text",
         ),
         *counters,
         *[F.when(has_state, r) for r in _collection_rules(d["collection"])],
     )
     return parsed.withColumn(
         "errors",
-        F.when(F.col("doc").isNull(), F.array(F.lit("document is not a JSON object"))).otherwise(errors),
+        F.when(F.col("doc").isNull(), F.array(F.lit("not a JSON object"))).otherwise(errors),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from threadloom.functions.jsonrows import is_blank, is_one_object, read_lines, with_object
 from threadloom.operators.position import with_position
-from threadloom.schemas import COMMENT, POST
+from threadloom.schemas import COMMENT, LOG_LINE_PATTERN, POST
 
 LINE_ORDER = ("src_rank", "chunk_no", "block_start", "line_seq")
 
@@ -52,7 +52,7 @@ def strict_lines(lines: DataFrame) -> DataFrame:
     """Drop blank lines; fail the scan on a corrupt one, naming its file."""
     status = line_status("value")
     failure = F.raise_error(
-        F.concat(F.lit("Corrupt line in "), F.col("file"), F.lit(": "), F.left("value", F.lit(80)))
+        F.concat(F.lit("not one JSON object, in "), F.col("file"), F.lit(": "), F.left("value", F.lit(80)))
     ).cast("boolean")
     return lines.filter(F.when(status == "corrupt", failure).otherwise(status == "ok"))
 
@@ -86,24 +86,21 @@ def scan_processed_runs(spark: SparkSession, root: str, kind: str = "posts") ->
     schema = POST if kind == "posts" else COMMENT
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
     lines = strict_lines(scan_run_lines(spark, root, kind))
-    parsed = with_object(lines, "value", fields, "record", "raise", "Corrupt processed line")
+    parsed = with_object(lines, "value", fields, "record", "raise", "processed line is not one JSON object")
     return parsed.select("run_id", *LINE_ORDER, "record.*")
 
 
-LOG_LINE = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}) \| (\w+)\s* \| (\S+) \| ([\s\S]*)$"
-
-
 def parse_log_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     """``time | level | logger | message`` lines as columns; other lines are dropped.
 
     Works on a batch or a streaming text source.
     """
-    return lines.filter(F.col(value).rlike(LOG_LINE)).select(
+    return lines.filter(F.col(value).rlike(LOG_LINE_PATTERN)).select(
         *[c for c in lines.columns if c != value],
-        F.regexp_extract(value, LOG_LINE, 1).cast("timestamp").alias("logged_at"),
-        F.regexp_extract(value, LOG_LINE, 2).alias("level"),
-        F.regexp_extract(value, LOG_LINE, 3).alias("logger"),
-        F.regexp_extract(value, LOG_LINE, 4).alias("message"),
+        F.regexp_extract(value, LOG_LINE_PATTERN, 1).cast("timestamp").alias("logged_at"),
+        F.regexp_extract(value, LOG_LINE_PATTERN, 2).alias("level"),
+        F.regexp_extract(value, LOG_LINE_PATTERN, 3).alias("logger"),
+        F.regexp_extract(value, LOG_LINE_PATTERN, 4).alias("message"),
     )
 
 

@@ -19,7 +19,7 @@ def explode_pages(pages: DataFrame, payload: str = "payload") -> DataFrame:
         F.array_contains(F.json_object_keys(payload), "data"), F.lit(False)
     )
     wrong = is_null_data | ~F.coalesce(F.col("__data").startswith("["), F.lit(True))
-    failure = F.raise_error(F.lit("Unexpected search page: 'data' is not a list")).cast("array<string>")
+    failure = F.raise_error(F.lit("search page has no list under data")).cast("array<string>")
     items = F.when(wrong, failure).otherwise(F.from_json("__data", "array<string>"))
     return (
         parsed.select(*rest, F.posexplode(items).alias("pos", "value"))

@@ -97,7 +97,7 @@ def append_records(raw: DataFrame, store: Store, kind: str, run_id: str, batch_i
         clean = normalize_comments(raw).select(*COMMENT.fieldNames(), "pos")
         store.write_batch("comments", clean, run_id, batch_id)
     else:
-        raise ValueError(f"kind must be posts or comments, got {kind!r}")
+        raise ValueError(f"kind: posts or comments, not {kind!r}")
 
 
 def write_chunks(

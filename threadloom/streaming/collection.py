@@ -57,7 +57,7 @@ def start(store: Store, spec: dict, fresh: bool = False) -> dict:
     row = _spec_row(store, spec)
     made = row.withColumn("run_id", run_id_for(F.current_timestamp(), "subreddit")).take(1)[0]
     if made["name"] is None:
-        raise CollectionError("'subreddit' is required and must be a non-empty string")
+        raise CollectionError("subreddit: non-empty text")
     known = _state_of(store, made["name"])
     identity = {k: made[k] for k in _IDENTITY}
     if known and not fresh:
