@@ -54,8 +54,9 @@ def _drain(stream: DataFrame, handle, checkpoint: str, should_stop: Callable[[],
     )
     try:
         query.awaitTermination()
-    except Exception:
-        if not done["stop"]:
+    except Exception as exc:
+        # The query reports our own stop as a failed batch; anything else is real.
+        if not done["stop"] or _Stopped.__name__ not in str(exc):
             raise
     return IngestResult(done["batches"], done["stop"])
 
