@@ -16,10 +16,10 @@ def first_seen(df: DataFrame, order: list[Column | str], record_id: str = "id")
     """
     columns = df.columns
     rank = F.struct(*order)
-    key = dedup_key(record_id)
+    keyed = df.withColumn("__key", dedup_key(record_id))
     # Rows without an id get their own place in the order as the key.
-    alone = F.when(key.isNull(), rank)
-    picked = df.groupBy(key.alias("__key"), alone.alias("__alone")).agg(
+    alone = F.when(F.col("__key").isNull(), rank)
+    picked = keyed.groupBy("__key", alone.alias("__alone")).agg(
         F.min_by(F.struct(*[F.col(c) for c in columns]), rank).alias("__row")
     )
     return picked.select(*[F.col("__row")[c].alias(c) for c in columns])
