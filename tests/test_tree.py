@@ -1,8 +1,12 @@
 import json
 import random
+import subprocess
+import sys
 
 import pytest
+from pyspark import cloudpickle
 
+import threadloom.operators.tree as tree_module
 from threadloom.operators.integrity import comment_stats, posts_with_comments
 from threadloom.operators.normalize import normalize_comments
 from threadloom.operators.tree import (
@@ -148,3 +152,15 @@ def test_posts_with_comments(spark, thread):
     assert sorted(r.n for r in left.filter("c_depth is null").collect()) == [2, 3]
     stats = {r.n: (r.stored_comments, r.max_depth) for r in comment_stats(posts, thread).collect()}
     assert stats == {1: (8, 3), 2: (0, None), 3: (0, None)}
+
+
+def test_walk_runs_without_the_package(tmp_path):
+    """Workers of a cluster need not have this package installed."""
+    code = cloudpickle.dumps(tree_module._flatten_batches(True))
+    script = (
+        "import pickle, sys, pyarrow as pa; run = pickle.loads(sys.stdin.buffer.read());"
+        "b = pa.RecordBatch.from_pydict({'post_id': ['p'], 'payload': ['{\"data\":[{\"kind\":\"t1\",\"data\":{\"id\":\"a\"}}]}']});"
+        "print([r['depth'] for x in run(iter([b])) for r in x.to_pylist()], 'threadloom' in sys.modules)"
+    )
+    done = subprocess.run([sys.executable, "-c", script], input=code, capture_output=True, cwd=tmp_path, timeout=60)
+    assert done.stdout.decode().strip() == "[0] False", done.stderr.decode()

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from threadloom.functions.scalars import bare_id
@@ -13,6 +15,9 @@ from threadloom.operators.position import with_position
 from threadloom.schemas import MAX_TREE_LIMIT
 from threadloom.session import ensure_checkpoint_dir
 
+# The tree walk travels to the workers as code, so they need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _ROWS_PER_BATCH = 5_000
 _FLAT_SCHEMA = (
     "post_id string, pos int, depth int, path array<string>, ords array<int>, node string, raw string, error string"
