@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threadloom.llm import chat, quality, shards, url_rules
+from threadloom.llm import bpe, chat, html_text, quality, shards, url_rules
 from threadloom.llm.common import Scratch, shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,13 @@ def op2_typed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op5_ratio_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages).select("page_id", "url", "text", "n_chars")
+
+
 @query
 def op6_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
@@ -70,3 +77,16 @@ def op9_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's URL judged by the rules."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_rules.judge_urls(pages, spark.createDataFrame(URL_RULES, url_rules.RULES))
+
+
+#: Rank file of the tokenizer, as named in the installed package of public vocabularies.
+RANK_FILE = "byte_bpe_50k.tiktoken"
+
+
+@query
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document and the bytes that they decode to, as digests."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.token_digests(docs, public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)
