@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threadloom.llm import bpe, chat, html_text, quality, shards, url_rules
+from threadloom.llm import bpe, chat, html_text, mixture, quality, shards, url_rules
 from threadloom.llm.common import Scratch, shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,13 @@ def op2_typed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op3_block_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and the words of it that the mix takes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixture.Mix(docs).taken().select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query
 def op5_ratio_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
