@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threadloom.llm import bpe, chat, html_text, mixture, quality, shards, url_rules
+from threadloom.llm import bpe, chat, html_text, mixture, order_minhash, quality, shards, url_rules
 from threadloom.llm.common import Scratch, shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,13 @@ def query(build):
     return build
 
 
+@query
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the class of its near copies."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return order_minhash.near_classes(docs).select("doc_id", "class_id", "class_rows")
+
+
 @query
 def op2_typed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation formatted, then read back."""
