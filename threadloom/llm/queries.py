@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threadloom.llm import bpe, chat, html_text, mixture, order_minhash, quality, shards, url_rules
+from threadloom.llm import bpe, chat, html_text, mixture, nn_descent, order_minhash, quality, shards, url_rules
 from threadloom.llm.common import Scratch, shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +82,12 @@ def op7_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op8_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every 20th one."""
+    return nn_descent.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 #: The rules of the query: fixed values.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
