@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threadloom.llm import bpe, chat, html_text, mixture, nn_descent, order_minhash, quality, shards, url_rules
+from threadloom.llm import bpe, chat, html_text, mixture, nn_descent, order_minhash, quality, secret_scan, shards, url_rules
 from threadloom.llm.common import Scratch, shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,19 @@ def op3_block_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.Mix(docs).taken().select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op4_forest_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate secret of every document, with the forest's verdict."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    found = secret_scan.scan(docs, secret_scan.fitted(docs)).withColumn("f", F.explode("findings"))
+    value = F.substring(F.col("text"), F.col("f.start") + 1, F.col("f.end") - F.col("f.start"))
+    return found.select(
+        "doc_id", F.col("f.start").cast("long").alias("start"), F.length(value).cast("long").alias("length"),
+        F.sha2(value, 256).alias("value_sha256"), (F.col("f.score") >= secret_scan.THRESHOLD).alias("is_secret"),
+        F.round("f.score", 3).alias("score"),
+    )
+
+
 @query
 def op5_ratio_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
