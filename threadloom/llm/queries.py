@@ -18,6 +18,10 @@ def query(build):
     return build
 
 
+def sql(name: str, text: str) -> None:
+    ORACLES[name] = text
+
+
 @query
 def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the class of its near copies."""
@@ -48,6 +52,32 @@ def op2_typed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _escaped_sql(text: str) -> str:
+    text = f"replace({text}, chr(92), chr(92) || chr(92))"
+    for c in chat.CONTROL:
+        text = f"replace({text}, '{c}', '{c[0]}' || chr(92) || '{c[1:]}')"
+    return text
+
+
+sql(
+    "op2_typed_parts",
+    f"""
+    WITH t AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -7, n, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(n, r)
+    ), learned AS (
+      SELECT conv_id, coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS l,
+             string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS a, count(*) AS n_turns,
+             sum({len(chat.TURN) + 1 + len(chat.END)} + length(role) + length({_escaped_sql("text")})) AS formatted_chars
+      FROM t GROUP BY conv_id
+    )
+    SELECT conv_id, n_turns, sha256(a) AS turns_sha256, length(l) AS loss_chars, sha256(l) AS loss_sha256,
+           CAST(formatted_chars AS BIGINT) AS formatted_chars
+    FROM learned
+    """,
+)
+
+
 @query
 def op3_block_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and the words of it that the mix takes."""
@@ -85,6 +115,65 @@ def op6_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _quality_sql(limits: quality.Limits = quality.Limits()) -> str:
+    listed = " ".join(f"WHEN '{g}' THEN {ws!r}" for g, ws in quality.COMMON_WORDS.items())
+    steps = []
+    for k, pattern in enumerate(quality.CHARACTER_CLASSES.values(), 1):
+        quoted = pattern.replace("'", "''")
+        steps.append(f"SELECT *, regexp_replace(x{k - 1}, '{quoted}', '', 'g') AS x{k} FROM s{k - 1}")
+    chain = "".join(f", s{k} AS ({step})" for k, step in enumerate(steps, 1))
+    n = len(steps)
+    sizes = ", ".join(["length(t) - length(x0)", *(f"length(x{k - 1}) - length(x{k})" for k in range(1, n + 1)), f"length(x{n})"])
+
+    def distances(refs: str) -> str:
+        return f"""
+          SELECT rid, kind, sqrt(greatest(sum(
+              (CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2), 0)) AS d
+          FROM (SELECT h.rid, h.kind, h.c / nullif(sum(h.c) OVER (PARTITION BY h.rid, h.kind), 0) AS p,
+                       r.c / nullif(sum(r.c) OVER (PARTITION BY h.rid, h.kind), 0) AS q
+                FROM hist h JOIN {refs} r USING (lang, kind, i))
+          WHERE p IS NOT NULL AND q IS NOT NULL GROUP BY rid, kind"""
+
+    def verdicts(distance: str) -> str:
+        return f"""
+          SELECT b.*, NOT base_failed AND NOT (cd > {limits.max_char_distance} OR (cd > {limits.joint_char_distance} AND wd > {limits.joint_word_distance})) AS kept
+          FROM (SELECT f.*, CASE WHEN length(t) >= {limits.min_chars} THEN coalesce(c.d, 0) ELSE 0 END AS cd,
+                       CASE WHEN n_words >= {limits.min_joint_words} THEN coalesce(w.d, 0) ELSE 0 END AS wd,
+                       n_words < {limits.min_words} OR 100 * n_repeat_words > {limits.max_repeat_percent} * n_words AS base_failed
+                FROM figures f LEFT JOIN {distance} c ON c.rid = f.rid AND c.kind = 'chars' LEFT JOIN {distance} w ON w.rid = f.rid AND w.kind = 'words') b"""
+
+    return rf"""
+    WITH a AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t,
+                      regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS ws FROM documents),
+    s0 AS (SELECT *, array_to_string(ws, '') AS x0 FROM a){chain},
+    wins AS (SELECT rid, i, ws[i:i + 4] AS k FROM a, UNNEST(range(1, len(ws) - 3)) u(i) WHERE len(ws) >= 5),
+    twice AS (SELECT rid, i FROM (SELECT *, count(*) OVER (PARTITION BY rid, k) AS c FROM wins) WHERE c > 1),
+    covered AS (SELECT rid, count(DISTINCT i + d) AS n FROM twice, UNNEST(range(0, 5)) v(d) GROUP BY rid),
+    lines AS (SELECT rid, count(*) - count(DISTINCT l) AS n FROM a, UNNEST(string_split(t, chr(10))) v(l)
+              WHERE regexp_matches(l, '[^ 	-]') GROUP BY rid),
+    figures AS (SELECT rid, doc_id, lang, t, ws, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(x0) AS BIGINT) AS word_chars,
+                       CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+                       CAST(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words,
+                       [{sizes}] AS chars
+                FROM s{n} LEFT JOIN covered USING (rid) LEFT JOIN lines USING (rid)),
+    found AS (SELECT *, list_transform(CASE lang {listed} END, lambda c: len(list_filter(ws, lambda y: y = c))) AS hits
+              FROM figures WHERE lang IN {tuple(quality.COMMON_WORDS)}),
+    hist AS (SELECT rid, lang, 'chars' AS kind, generate_subscripts(chars, 1) AS i, unnest(chars) AS c FROM found
+             UNION ALL SELECT rid, lang, 'words', generate_subscripts(l, 1), unnest(l)
+             FROM (SELECT rid, lang, list_append(hits, len(ws) - list_sum(hits)) AS l FROM found)),
+    refs1 AS (SELECT lang, kind, i, sum(c) AS c FROM hist GROUP BY ALL),
+    d1 AS ({distances("refs1")}),
+    v1 AS ({verdicts("d1")}),
+    refs2 AS (SELECT h.lang, kind, i, sum(c) AS c FROM hist h JOIN v1 USING (rid) WHERE kept GROUP BY ALL),
+    d2 AS ({distances("refs2")}),
+    v2 AS ({verdicts("d2")})
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM v2
+    """
+
+
+sql("op6_distribution_divergence", _quality_sql())
+
+
 @query
 def op7_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in one of 16 shards of near equal bytes."""
@@ -112,6 +201,23 @@ def op9_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(pages, spark.createDataFrame(URL_RULES, url_rules.RULES))
 
 
+def _url_sql() -> str:
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+    return rf"""
+    WITH r(rh, rp, v) AS (VALUES {rules}),
+    u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    h AS (SELECT page_id, row_number() OVER () AS rid, regexp_extract(rest, '^[^/?#]*') AS host0, rest FROM u),
+    p AS (SELECT page_id, rid, translate(host0, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                 regexp_extract(substring(rest, length(host0) + 1), '^[^?#]*') AS path FROM h),
+    f AS (SELECT rid, arg_max(rh || rp, length(rh || rp) * 1000 + length(rh)) AS rule, arg_max(v, length(rh || rp) * 1000 + length(rh)) AS v
+          FROM p JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY rid)
+    SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN f USING (rid)
+    """
+
+
+sql("op9_range_join", _url_sql())
+
+
 #: Rank file of the tokenizer, as named in the installed package of public vocabularies.
 RANK_FILE = "byte_bpe_50k.tiktoken"
 
