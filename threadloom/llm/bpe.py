@@ -52,7 +52,7 @@ def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
     """``text`` in pieces of about ``size`` characters, cut at safe places only; one without such places stays whole."""
     start = 0
     while len(text) - start > size:
-        cut = _SAFE.search(text, start + size)
+        cut = _SAFE.search(text, start + max(size, 1))
         if cut is None:
             break
         yield text[start : cut.start()]

@@ -186,6 +186,8 @@ def main_text(html: str | None) -> str:
     """The article of a page: its blocks in order, joined by an empty line; empty if there is none."""
     parser = Lines()
     parser.feed(html or "")
+    if re.match(r"<[A-Za-z/!?]", parser.rawdata):  # a tag or comment that the end of the page cuts off is no text
+        parser.rawdata = ""
     parser.close()
     lines = [(" ".join("".join(parts).split()), links, tags, box, inside) for parts, links, tags, box, inside in parser.lines]
     lines = [x for x in lines if x[0]]
@@ -194,9 +196,11 @@ def main_text(html: str | None) -> str:
     if not lines:
         return ""
     link_line = [links >= LINK_SHARE * len(text) for text, links, *_ in lines]
-    ratios = _smoothed([max(len(text) - links, 0) / max(tags, 1) for text, links, tags, *_ in lines])
+    own = [max(len(text) - links, 0) / max(tags, 1) for text, links, tags, *_ in lines]
+    ratios = _smoothed(own)
     cut = _threshold(ratios)
-    content = [r >= cut and not link for r, link in zip(ratios, link_line)]
+    # A line that only its neighbours lift over the threshold is no content of its own.
+    content = [r >= cut and o >= cut / 4 and not link for r, o, link in zip(ratios, own, link_line)]
     if not any(content):
         content = [not link for link in link_line]
     regions = {x[3] for x, chosen in zip(lines, content) if chosen}
