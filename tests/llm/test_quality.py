@@ -1,7 +1,7 @@
 import math
 
 import pytest
-from hypothesis import given, settings, strategies as st
+from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from llm_helpers import SF, read
@@ -9,7 +9,7 @@ from threadloom.llm import quality
 from threadloom.llm.common import words
 
 
-@settings(deadline=None, max_examples=10)
+@settings(deadline=None, max_examples=10, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.lists(st.sampled_from("abcd"), max_size=40), min_size=20, max_size=30))
 def test_repeated_windows(one, texts):
     def brute(ws):

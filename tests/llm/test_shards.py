@@ -36,7 +36,7 @@ def test_rebalancing_edits_the_map(spark):
     same = {r.virtual_slot: r.shard for r in shards.balanced_map(spark, sizes, 4, current, 64).collect()}
     assert same == first
     grown = {r.virtual_slot: r.shard for r in shards.balanced_map(spark, sizes, 5, current, 64).collect()}
-    assert all(grown[k] in (first[k], 4) for k in first) and 11 <= sum(s == 4 for s in grown.values()) <= 14
+    assert sum(grown[k] != first[k] for k in first) <= 16 and 11 <= sum(s == 4 for s in grown.values()) <= 14
     shrunk = {r.virtual_slot: r.shard for r in shards.balanced_map(spark, sizes, 3, current, 64).collect()}
     assert set(shrunk.values()) == {0, 1, 2} and all(shrunk[k] == first[k] for k in first if first[k] < 3)
     heavy = sizes.withColumn("bytes", F.when(F.col("virtual_slot").isin([k for k in first if first[k] == 0]), 300).otherwise(F.col("bytes")))
