@@ -10,7 +10,7 @@ from threadloom.operators.position import next_slot
 from threadloom.operators.progress import completed_posts, pending_posts, phase_summary, require_usable_posts
 from threadloom.sources.documents import discover_runs, read_manifests, scan_documents
 from threadloom.sources.lines import LINE_ORDER, corrupt_line_numbers, scan_log, scan_processed_runs, scan_run_lines, split_corrupt, strict_lines
-from threadloom.sources.payloads import explode_pages
+from threadloom.sources.payloads import explode_pages, page_errors
 from threadloom.sources.store import read_chunks, write_chunks
 
 
@@ -70,10 +70,14 @@ def test_search_pages(spark):
         df = spark.createDataFrame(list(enumerate(payloads)), "page int, payload string")
         return [(r.page, r.pos, r.value) for r in explode_pages(df).orderBy("page", "pos").collect()]
 
-    assert items('{"data":[{"id":"a"},"x",{"id":"b"}]}', '{"data":[]}', "{}") == [(0, 0, '{"id":"a"}'), (0, 2, '{"id":"b"}')]
-    for bad in ('{"data":{}}', '{"data":null}', '{"data":"x"}'):
-        with pytest.raises(Exception, match="no list under data"):
+    assert items('{"data":[{"id":"a"},"x",{"id":"b"},"{x"]}', '{"data":[]}', "{}") == [(0, 0, '{"id":"a"}'), (0, 2, '{"id":"b"}')]
+    no_list = ['{"data":{}}', '{"data":null}', '{"data":"x"}']
+    no_object = ['{"data":[{"id":"b"},{"id":"c"', "<html>", "", '[{"data":[]}]', '{"data":[]} junk', '{"data":[]}{}', "5", "null"]
+    for bad in no_list + no_object:
+        with pytest.raises(Exception, match="no list under data" if bad in no_list else "not exactly one JSON object"):
             items(bad)
+    pages = spark.createDataFrame([(p,) for p in [*no_list, *no_object, "{}", '{"data":[{"id":1}]}']], "payload string")
+    assert sorted(r.payload for r in page_errors(pages).collect()) == sorted(no_list + no_object)
 
 
 def streams(spark, **counts):

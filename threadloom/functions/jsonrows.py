@@ -37,11 +37,6 @@ def is_one_object(rows: Column) -> Column:
     return F.coalesce((F.size(rows) == 1) & F.get(rows, F.lit(0)).isNotNull(), F.lit(False))
 
 
-def looks_like_object(text: Column) -> Column:
-    """For an element cut out of parsed JSON: objects start with a brace."""
-    return text.startswith("{")
-
-
 def with_object(df: DataFrame, text: str, fields: str, name: str, on_bad: str = "null", message: str = "") -> DataFrame:
     """Add the object a line holds as struct ``name``.
 

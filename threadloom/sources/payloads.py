@@ -2,26 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from threadloom.functions.jsonrows import looks_like_object, read_object
+from threadloom.functions.jsonrows import read_object
+from threadloom.functions.scalars import variant_type
+
+
+def _is(value: Column, kind: str) -> Column:
+    return F.coalesce(variant_type(value).startswith(kind), F.lit(False))
+
+
+def with_page_error(pages: DataFrame, payload: str = "payload") -> DataFrame:
+    """Add ``page_error``: why a search page cannot be used, or null.
+
+    A page is exactly one JSON object whose ``data`` is a list or missing.  Torn
+    text, text after the object, an empty file and any other value are errors.
+    """
+    # Inside brackets a second value or trailing text is no longer a readable list of one.
+    whole = F.try_parse_json(F.concat(F.lit("["), payload, F.lit("]")))
+    first, second = (F.try_variant_get(whole, f"$[{k}]", "variant") for k in (0, 1))
+    data = F.try_variant_get(first, "$.data", "variant")
+    error = F.when(~(_is(first, "OBJECT") & second.isNull()), "not exactly one JSON object").when(
+        data.isNotNull() & ~_is(data, "ARRAY"), "no list under data"
+    )
+    return pages.withColumn("page_error", error)
+
+
+def page_errors(pages: DataFrame, payload: str = "payload") -> DataFrame:
+    """The pages that cannot be used, with payload and ``page_error``."""
+    return with_page_error(pages, payload).filter("page_error is not null")
 
 
 def explode_pages(pages: DataFrame, payload: str = "payload") -> DataFrame:
     """One row per post object of a search page: ``pos`` and verbatim ``value``.
 
-    A page whose ``data`` is present but not a list is an error; a page without
-    ``data`` is empty; items that are not objects are dropped.
+    An unusable page (see :func:`with_page_error`) fails the read; a page without
+    ``data`` is empty; items that are not objects are dropped, also strings that
+    look like one.
     """
-    rest = [c for c in pages.columns if c != payload]
-    parsed = pages.withColumn("__data", read_object(payload, "data string")["data"])
-    is_null_data = F.col("__data").isNull() & F.coalesce(
-        F.array_contains(F.json_object_keys(payload), "data"), F.lit(False)
-    )
-    wrong = is_null_data | ~F.coalesce(F.col("__data").startswith("["), F.lit(True))
-    failure = F.raise_error(F.lit("search page has no list under data")).cast("array<string>")
-    items = F.when(wrong, failure).otherwise(F.from_json("__data", "array<string>"))
+    rest = [c for c in pages.columns if c not in (payload, "page_error")]
+    checked = pages if "page_error" in pages.columns else with_page_error(pages, payload)
+    typed = F.try_variant_get(F.try_parse_json(payload), "$.data", "array<variant>")
+    verbatim = F.from_json(read_object(payload, "data string")["data"], "array<string>")
+    failure = F.raise_error(F.concat(F.lit("search page: "), "page_error")).cast("array<struct<value:string,kind:variant>>")
+    items = F.when(F.col("page_error").isNotNull(), failure).otherwise(F.arrays_zip(verbatim.alias("value"), typed.alias("kind")))
     return (
-        parsed.select(*rest, F.posexplode(items).alias("pos", "value"))
-        .filter(looks_like_object(F.col("value")))
+        checked.select(*rest, F.posexplode(items).alias("pos", "item"))
+        .filter(_is(F.col("item.kind"), "OBJECT"))
+        .select(*rest, "pos", F.col("item.value").alias("value"))
     )

@@ -21,6 +21,8 @@ _SCHEMAS = {
     "comments": None,
     "done_posts": f"post_id string, {_KEYS}",
     "tree_errors": f"post_id string, error string, {_KEYS}",
+    "page_errors": f"page string, payload string, page_error string, {_KEYS}",
+    "line_errors": f"file string, value string, error string, {_KEYS}",
     "log_lines": "logged_at timestamp, level string, logger string, message string, "
     "seq struct<batch bigint, file string, block bigint, row bigint>, run_id string, batch_id bigint",
     "journal": "name string, run_id string, event string, at timestamp, identity string, max_posts bigint",

@@ -13,11 +13,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from threadloom.functions.scalars import dedup_key
+from threadloom.functions.jsonrows import with_object
 from threadloom.operators.dedup import first_seen, unseen
 from threadloom.operators.tree import flatten_trees, tree_errors, tree_nodes
 from threadloom.operators.progress import done_ids
 from threadloom.sources.lines import parse_log_lines
-from threadloom.sources.payloads import explode_pages
+from threadloom.sources.payloads import explode_pages, with_page_error
 from threadloom.sources.store import Store, append_records, stored_keys
 
 
@@ -74,11 +75,12 @@ def page_stream(
     reader = spark.readStream.format("text").option("wholetext", str(not page_per_line).lower())
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.load(landing).select(
+    pages = reader.load(landing).select(
         F.col("value").alias("payload"),
         F.col("_metadata.file_name").alias("page"),
         F.col("_metadata.file_block_start").alias("block"),
     )
+    return pages.filter(F.trim("payload") != "") if page_per_line else pages
 
 
 def with_lines(batch: DataFrame) -> DataFrame:
@@ -106,12 +108,16 @@ def ingest_posts(
 ) -> IngestResult:
     """Store the new posts of every landed page, first seen first, up to ``max_posts``.
 
-    Running it again with the same ``checkpoint`` and ``run_id`` resumes.
-    ``after_raw`` is called between reading a batch and writing it (for tests).
+    Running it again with the same ``checkpoint`` and ``run_id`` resumes.  Pages
+    that cannot be used go to ``page_errors``.  ``after_raw`` is called between reading a batch and writing it (for tests).
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        items = with_post_key(explode_pages(with_lines(batch)))
+        checked = with_page_error(with_lines(batch))
+        # Unusable pages are kept with their text: the file counts as read from now on.
+        bad = checked.filter("page_error is not null").select("page", "payload", "page_error")
+        store.write_batch("page_errors", bad, run_id, batch_id)
+        items = with_post_key(explode_pages(checked.filter("page_error is null")))
         order = [F.col(c) for c in _PAGE_ORDER]
         fresh = unseen(first_seen(items, order), stored_keys(store, run_id, batch_id))
         if max_posts is not None:
@@ -181,16 +187,22 @@ def ingest_comments(
 
     Landed files are JSON lines ``{"post_id", "payload"}``.  Posts already done
     are skipped; ``wanted`` (a column ``id``) limits the posts.  An unusable
-    payload goes to ``tree_errors`` and leaves its post open.
+    payload goes to ``tree_errors`` and leaves its post open.  A line that is not
+    such an object, or names no post, goes to ``line_errors`` with its text.
     """
-    reader = store.spark.readStream.schema("post_id string, payload string")
+    reader = store.spark.readStream.format("text")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    stream = reader.json(landing).withColumn("file", F.col("_metadata.file_name"))
+    stream = reader.load(landing).select("value", F.col("_metadata.file_name").alias("file"))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         done = store.read("done_posts", run_id).filter(F.col("batch_id") != batch_id)
-        trees = first_seen(batch.withColumn("post_id", dedup_key("post_id")), [F.col("file"), F.col("payload")], "post_id")
+        lines = with_object(batch.filter(F.trim("value") != ""), "value", "post_id string, payload string", "line")
+        lines = lines.withColumn("post_id", dedup_key("line.post_id")).withColumn("payload", F.col("line.payload"))
+        unusable = F.col("post_id").isNull() | F.col("payload").isNull()
+        reason = F.when(F.col("line").isNull(), "not one JSON object").otherwise("no post id or no payload")
+        store.write_batch("line_errors", lines.filter(unusable).select("file", "value", reason.alias("error")), run_id, batch_id)
+        trees = first_seen(lines.filter(~unusable).select("post_id", "payload", "file"), [F.col("file"), F.col("payload")], "post_id")
         trees = trees.join(done_ids(done), F.col("post_id") == F.col("__done"), "left_anti")
         if wanted is not None:
             asked = wanted.select(dedup_key("id").alias("__want")).distinct()
@@ -200,7 +212,7 @@ def ingest_comments(
             failed = tree_errors(flat)
             append_records(tree_nodes(flat), store, "comments", run_id, batch_id, [F.col("post_id"), F.col("pos")])
             store.write_batch("tree_errors", failed, run_id, batch_id)
-            usable = trees.select("post_id").join(failed.select("post_id"), "post_id", "left_anti")
+            usable = trees.select("post_id").join(failed.select("post_id"), "post_id", "left_anti").filter("post_id is not null")
             # Last: a post counts as done only once its comments are stored.
             store.write_batch("done_posts", usable, run_id, batch_id)
         finally:
