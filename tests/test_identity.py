@@ -198,6 +198,9 @@ def test_identity_columns(spark):
     r = with_identity(specs).first()
     assert r.name == "Philippines-2026-01-01-2026-06-30" and r.subreddit_norm == "philippines"
     assert safe_summary(specs).columns == ["subreddit", "after", "before"]
+    wide = specs.select("subreddit", F.struct(F.lit("r").alias("raw_dir"), F.lit("s").alias("api_key")).alias("output"))
+    assert safe_summary(wide).first().asDict(recursive=True)["output"] == {"raw_dir": "r"}
+    assert safe_summary(specs.select("subreddit", F.lit("text").alias("output"))).columns == ["subreddit"]
 
 
 def test_spec_checks(spark):

@@ -95,3 +95,10 @@ def test_redaction(spark):
     assert redact_columns(df, "^api").first().author == "me"
     text = spark.createDataFrame([('{"a":"1","my_token":"2"}',)], "v string").select(redact_json_map("v")).first()[0]
     assert json.loads(text) == {"a": "1", "my_token": hidden}
+    nested = '{"k":5,"n":{"token":"S","x":1.5},"l":[{"password":"p"},true],"secrets":["a",{"b":null}],"é":"\\u00e9"}'
+    values = [nested, None, "[1]", "{broken", '{"token":{"a":1}}']
+    got = [r[0] and json.loads(r[0]) for r in spark.createDataFrame([(v,) for v in values], "v string").coalesce(1).select(redact_json_map("v")).collect()]
+    assert got == [
+        {"k": 5, "n": {"token": hidden, "x": 1.5}, "l": [{"password": hidden}, True], "secrets": [hidden, {"b": None}], "é": "é"},
+        None, None, None, {"token": {"a": 1}},
+    ]

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from threadloom.functions import scalars as S
-from threadloom.schemas import DOCUMENT_VERSION, FILTER_KEYS, LOG_LEVELS, MAX_PAGE_SIZE, MAX_TREE_LIMIT, SAFE_FIELDS
+from threadloom.schemas import DOCUMENT_VERSION, FILTER_KEYS, LOG_LEVELS, MAX_PAGE_SIZE, MAX_TREE_LIMIT, SAFE_FIELDS, SAFE_OUTPUT_FIELDS
 
 def with_identity(specs: DataFrame) -> DataFrame:
     """Add name, display name, key and date tokens to request specifications.
@@ -25,8 +25,16 @@ def with_identity(specs: DataFrame) -> DataFrame:
 
 
 def safe_summary(specs: DataFrame) -> DataFrame:
-    """Only the fields that may be shown; anything else never leaves this function."""
-    return specs.select(*[c for c in SAFE_FIELDS if c in specs.columns])
+    """Only the fields that may be shown; anything else never leaves this function.
+
+    Of an ``output`` struct only ``SAFE_OUTPUT_FIELDS`` go out.
+    """
+    shown = specs.select(*[c for c in SAFE_FIELDS if c in specs.columns])
+    kind = shown.schema["output"].dataType if "output" in shown.columns else None
+    if kind is None:
+        return shown
+    inner = [F.col("output")[f].alias(f) for f in SAFE_OUTPUT_FIELDS if isinstance(kind, T.StructType) and f in kind.fieldNames()]
+    return shown.withColumn("output", F.when(F.col("output").isNotNull(), F.struct(*inner))) if inner else shown.drop("output")
 
 
 # ----------------------------------------------------------- compatibility

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import re
+import sys
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from threadloom.schemas import REDACTED, SENSITIVE_KEY_PATTERN
 
+# The workers get this module as code, so they need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _masked(value: Column, kind: T.DataType, hide: Column | bool, pattern: re.Pattern) -> Column:
     """``hide``: whether the key above says so, known now or (map keys) per row."""
@@ -38,10 +45,37 @@ def redact_columns(df: DataFrame, pattern: str = SENSITIVE_KEY_PATTERN) -> DataF
     return df.select(*[_masked(F.col(f"`{f.name}`"), f.dataType, bool(compiled.search(f.name)), compiled).alias(f.name) for f in df.schema.fields])
 
 
+def _masker(pattern: str):
+    sensitive = re.compile(pattern, re.IGNORECASE)
+
+    def masked(value, hide: bool):
+        if isinstance(value, dict):
+            return {k: masked(v, bool(sensitive.search(k))) for k, v in value.items()}
+        if isinstance(value, list):
+            return [masked(v, hide) for v in value]
+        return REDACTED if hide else value
+
+    def one(text: str | None) -> str | None:
+        try:
+            value = json.loads(text) if text is not None else None
+        except (ValueError, RecursionError):
+            return None
+        return json.dumps(masked(value, False), ensure_ascii=False, separators=(",", ":")) if isinstance(value, dict) else None
+
+    return one
+
+
 def redact_json_map(value: Column | str, pattern: str = SENSITIVE_KEY_PATTERN) -> Column:
-    """Masked copy of a flat JSON object held as text."""
-    entries = F.from_json(value, "map<string,string>")
-    masked = F.transform_values(
-        entries, lambda k, v: F.when(k.rlike("(?i)" + pattern), F.lit(REDACTED)).otherwise(v)
-    )
-    return F.to_json(masked)
+    """Masked copy of a JSON object held as text, nested objects and lists included.
+
+    The rules are those of :func:`redact_columns`; values that are not masked keep
+    their types.  Anything but one object gives null: what cannot be read cannot be
+    shown.  JSON of unknown depth has no built-in walk, hence Python over Arrow batches.
+    """
+    one = _masker(pattern)
+
+    @F.pandas_udf("string")
+    def masked(texts: pd.Series) -> pd.Series:
+        return texts.map(one, na_action="ignore")
+
+    return masked(value)

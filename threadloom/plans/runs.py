@@ -397,11 +397,21 @@ def names(spark, sf_dir):
     )
 
 
-@query("safe_summary", "SELECT c_mktsegment AS title, count(*) AS n FROM customer GROUP BY 1")
+@query(
+    "safe_summary",
+    """SELECT ' r/' || lower(c_mktsegment) || ' & ' || c_name || ' ' AS subreddit, c_mktsegment AS title,
+         CASE c_mktsegment WHEN 'BUILDING' THEN NULL WHEN 'MACHINERY' THEN CAST(c_custkey * 86400 AS VARCHAR)
+           WHEN 'HOUSEHOLD' THEN ' 2020-02-03T04:05:06 ' WHEN 'FURNITURE' THEN '1 year!' || c_custkey
+           ELSE '1e1' || (c_custkey % 3 + 1) END AS after,
+         CASE c_mktsegment WHEN 'BUILDING' THEN '2021-12-31' ELSE '  ' END AS before,
+         '{"raw_dir":"raw' || c_custkey || '","chunk_size":' || c_custkey || '}' AS output
+       FROM customer""",
+)
 def summaries(spark, sf_dir):
-    shown = safe_summary(customer_specs(spark, sf_dir))
-    assert "api_key" not in shown.columns
-    return shown.groupBy("title").agg(F.count(F.lit(1)).alias("n"))
+    """Every column that comes out of specifications with secrets beside and inside ``output``."""
+    output = F.struct(_text("raw", F.col("c_custkey")).alias("raw_dir"), F.lit("secret").alias("api_key"), F.col("c_custkey").alias("chunk_size"))
+    shown = safe_summary(customer_specs(spark, sf_dir).withColumn("output", output))
+    return shown.withColumn("output", F.to_json("output"))
 
 
 def identity_pairs(spark, sf_dir) -> DataFrame:
@@ -660,12 +670,23 @@ def masked(spark, sf_dir):
     )
 
 
-@query("redact_props", """SELECT event_id, '{"k":"' || regexp_extract(props, '[0-9]+') || '","password":"***REDACTED***"}' AS props FROM events""")
+@query("redact_props", """SELECT event_id, '{"k":' || regexp_extract(props, '[0-9]+') || ',"password":"***REDACTED***"}' AS props FROM events""")
 def masked_props(spark, sf_dir):
     props = F.regexp_replace("props", r"\}$", ',"password":"x"}')
     return table(spark, sf_dir, "events").select("event_id", redact_json_map(props).alias("props"))
 
 
+@query(
+    "redact_nested",
+    """SELECT event_id, '{"n":{"token":"***REDACTED***","k":' || regexp_extract(props, '[0-9]+') || '},"l":[{"password":"***REDACTED***"},'
+      || event_id || '],"secrets":["***REDACTED***",{"id":true}]}' AS props FROM events""",
+)
+def masked_nested(spark, sf_dir):
+    number = F.regexp_extract("props", "[0-9]+", 0)
+    text = _text('{"n":{"token":"S","k":', number, '},"l":[{"password":"p"},', F.col("event_id"), '],"secrets":["a",{"id":true}]}')
+    return table(spark, sf_dir, "events").select("event_id", redact_json_map(text).alias("props"))
+
+
 def event_log(spark, sf_dir) -> DataFrame:
     """Log lines of one run per user, in event order."""
     kind, key = F.col("event_type"), F.col("event_id")

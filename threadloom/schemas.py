@@ -39,6 +39,7 @@ SAFE_FIELDS = (
     "chunk_size",
     "output",
 )
+SAFE_OUTPUT_FIELDS = ("raw_dir", "processed_dir", "checkpoint_dir", "chunk_size")
 STREAMS = ("raw_posts", "processed_posts", "raw_comments", "processed_comments")
 FILTER_KEYS = ("subreddit", "title", "query", "selftext", "author", "after", "before")
 # ------------------------------------------------------------------------------
