@@ -5,6 +5,7 @@ import sys
 
 import pytest
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
 import threadloom.operators.tree as tree_module
 from threadloom.operators.integrity import comment_stats, posts_with_comments
@@ -164,3 +165,14 @@ def test_walk_runs_without_the_package(tmp_path):
     )
     done = subprocess.run([sys.executable, "-c", script], input=code, capture_output=True, cwd=tmp_path, timeout=60)
     assert done.stdout.decode().strip() == "[0] False", done.stderr.decode()
+
+
+def test_half_surrogates_and_any_depth(spark):
+    depth = 3_000
+    deep = '{"data":[' + '{"kind":"t1","data":{"id":"a","replies":{"data":{"children":[' * depth + "]}}}}" * depth + "]}"
+    odd = '{"data":[{"kind":"t1","data":{"id":"x\\ud83d","body":"half \\ud83d emoji"}}]}'
+    trees = spark.createDataFrame([("deep", deep), ("odd", odd), ("bad", deep[:-1])], "post_id string, payload string")
+    flat = flatten_trees(trees)
+    got = {r.post_id: r for r in flat.groupBy("post_id").agg(F.count("*").alias("n"), F.max("depth").alias("depth"), F.max("error").alias("error"), F.max("node").alias("node")).collect()}
+    assert got["deep"].n == depth and got["deep"].depth == depth - 1 and got["deep"].error is None
+    assert got["odd"].error is None and "half ? emoji" in got["odd"].node and got["bad"].error is not None

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import re
 import sys
 from collections.abc import Iterator
+from json.decoder import scanstring
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -18,7 +20,7 @@ from threadloom.session import ensure_checkpoint_dir
 # The tree walk travels to the workers as code, so they need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_ROWS_PER_BATCH = 5_000
+_ROWS_PER_BATCH, _CHARS_PER_BATCH = 5_000, 64_000_000
 _FLAT_SCHEMA = (
     "post_id string, pos int, depth int, path array<string>, ords array<int>, node string, raw string, error string"
 )
@@ -75,19 +77,98 @@ def _without_replies(node: dict) -> dict:
     return {**node, "data": {k: v for k, v in data.items() if k != "replies"}}
 
 
+def _raw(node: dict) -> str | None:
+    """The node with its replies, or null where these are too deep to be written by the library."""
+    try:
+        return _storable(json.dumps(node, ensure_ascii=False))
+    except RecursionError:
+        return None
+
+
+def _storable(text: str) -> str:
+    """Half a surrogate pair is legal in JSON but not in UTF-8: it becomes a question mark."""
+    return text if text.isascii() else text.encode("utf-8", "replace").decode()
+
+
 def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(column, type=field.type) for column, field in zip(zip(*rows), _FLAT_ARROW)], schema=_FLAT_ARROW
     )
 
 
+_TOKEN = re.compile(r"[\x20\t\n\r]*(?:([\[\]{},:])|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?)|(true|false|null)|(\"))")
+
+
+def _parse_deep(text: str):
+    """A JSON value of any depth, with an explicit stack; raises ValueError for anything else.
+
+    Only for texts that are too deep for the library's own parser.
+    """
+    root: list = []
+    stack: list = [root]  # open lists and objects; an object has its waiting key on ``keys``
+    keys: list = [None]
+    at, expect = 0, "value"  # value, key, colon, comma (or an end), first (a value or an end)
+    while True:
+        token = _TOKEN.match(text, at)
+        if token is None:
+            if len(stack) == 1 and len(root) == 1 and not text[at:].strip(" \t\n\r"):
+                return root[0]
+            raise ValueError(f"no JSON at {at}")
+        at = token.end()
+        mark, number, word, quote = token.groups()
+        top = stack[-1]
+        if len(stack) == 1 and root:
+            raise ValueError("text after the value")
+        if mark and mark in "]}" and len(stack) > 1 and expect in ("first", "comma") and (mark == "]") == isinstance(top, list):
+            stack.pop()
+            keys.pop()
+            expect = "comma"
+        elif mark == "," and expect == "comma":
+            expect = "key" if isinstance(top, dict) else "value"
+        elif mark == ":" and expect == "colon":
+            expect = "value"
+        elif isinstance(top, dict) and expect in ("key", "first") and quote:
+            keys[-1], at = scanstring(text, at, True)
+            expect = "colon"
+        elif expect == "value" or (expect == "first" and isinstance(top, list)):
+            if quote:
+                value, at = scanstring(text, at, True)
+            elif mark in ("[", "{"):
+                value = [] if mark == "[" else {}
+            elif number:
+                value = json.loads(number)
+            elif word:
+                value = json.loads(word)
+            else:
+                raise ValueError(f"no value at {at}")
+            if isinstance(top, dict):
+                top[keys[-1]] = value
+            else:
+                top.append(value)
+            expect = "comma"
+            if mark:
+                stack.append(value)
+                keys.append(None)
+                expect = "first"
+        else:
+            raise ValueError(f"unexpected text at {at}")
+
+
+def _parse(text: str):
+    try:
+        return json.loads(text)
+    except RecursionError:
+        return _parse_deep(text)
+
+
 def _flatten_batches(keep_raw: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
+            size = 0
             for post_id, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
-                    tree = json.loads(payload)
+                    tree = _parse(payload)
                     nodes = tree["data"] if isinstance(tree, dict) else None
                     error = None if isinstance(nodes, list) else "no list under data"
                 except (TypeError, ValueError, KeyError, RecursionError) as exc:
@@ -96,12 +177,13 @@ def _flatten_batches(keep_raw: bool):
                     rows.append((post_id, None, None, None, None, None, None, error))
                     continue
                 for pos, (node, depth, path, ords) in enumerate(_walk(nodes)):
-                    raw = json.dumps(node, ensure_ascii=False) if keep_raw else None
-                    text = json.dumps(_without_replies(node), ensure_ascii=False)
-                    rows.append((post_id, pos, depth, path, ords, text, raw, None))
-                    if len(rows) >= _ROWS_PER_BATCH:
+                    raw = _raw(node) if keep_raw else None
+                    text = _storable(json.dumps(_without_replies(node), ensure_ascii=False))
+                    rows.append((post_id, pos, depth, tuple(map(_storable, path)), ords, text, raw, None))
+                    size += len(text) + len(raw or "") + 16 * depth
+                    if len(rows) >= _ROWS_PER_BATCH or size >= _CHARS_PER_BATCH:
                         yield _as_batch(rows)
-                        rows = []
+                        rows, size = [], 0
             if rows:
                 yield _as_batch(rows)
 
@@ -140,7 +222,7 @@ def tree_order(df: DataFrame) -> DataFrame:
 
 
 def rebuild_paths(
-    comments: DataFrame, thread: str = "post_id", node: str = "comment_id", parent: str = "parent_id", max_rounds: int = 64
+    comments: DataFrame, thread: str = "post_id", node: str = "comment_id", parent: str = "parent_id"
 ) -> DataFrame:
     """Depth and ancestor path from parent links alone.
 
@@ -171,9 +253,7 @@ def rebuild_paths(
     finished = state.filter("up is null or broken")
     opened = state.filter("up is not null and not broken")
     lookup = state
-    for _ in range(max_rounds):
-        if opened.isEmpty():
-            break
+    while not opened.isEmpty():
         above = lookup.select(
             "t",
             F.col("n").alias("up"),

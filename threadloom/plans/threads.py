@@ -65,6 +65,17 @@ _ORDERS_SQL = """WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS k, o_custkey A
                            FROM orders WHERE o_orderstatus <> 'P')"""
 
 
+@query("flatten_deep", "SELECT r_regionkey AS post_id, 2300 + 10 * r_regionkey AS nodes, 2299 + 10 * r_regionkey AS deepest FROM region")
+def flatten_deep(spark, sf_dir):
+    """One chain of replies per region, each deeper than the parser of the standard library goes."""
+    depth = (2300 + 10 * F.col("r_regionkey")).cast("int")
+    opening = '{"kind":"t1","data":{"id":"a","replies":{"data":{"children":['
+    payload = F.concat(F.lit('{"data":['), F.repeat(F.lit(opening), depth), F.repeat(F.lit("]}}}}"), depth), F.lit("]}"))
+    trees = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("string").alias("post_id"), payload.alias("payload"))
+    flat = tree_nodes(flatten_trees(trees)).groupBy("post_id")
+    return flat.agg(F.count("*").cast("int").alias("nodes"), F.max("depth").alias("deepest")).withColumn("post_id", F.col("post_id").cast("int"))
+
+
 @query("flatten_threads", f"{_ORDERS_SQL} {_COMMENT_SQL}")
 def flatten_threads(spark, sf_dir):
     """Flatten and normalize one tree per order."""
