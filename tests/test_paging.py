@@ -3,17 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.operators import position
 from threadloom.operators.dedup import all_known_ids, first_seen, reconcile_stored, unseen
 from threadloom.operators.position import assign_chunks, next_slot, page_cursors, page_plan, stall_audit, with_position
-from threadloom.operators.search import Search, search_posts
-
-
-@pytest.fixture
-def small_ranges(monkeypatch):
-    """Make the range path run on small tables."""
-    monkeypatch.setattr(position, "_SAMPLE_FLOOR", 200)
-    monkeypatch.setattr(position, "_SAMPLE_PER_RANGE", 5)
+from threadloom.operators.search import Search, search_posts, time_order
 
 
 def arrivals(spark, *pages):
@@ -48,7 +40,7 @@ def test_unseen_and_reconcile(spark):
 
 
 @pytest.mark.parametrize("within", [(), ("g",)])
-def test_position_against_brute_force(spark, small_ranges, within):
+def test_position_against_brute_force(spark, within):
     rng = random.Random(3)
     rows = [("hot" if rng.random() < 0.5 else rng.choice(["x", "y", None]), rng.choice([None, rng.randint(0, 40)]), i) for i in range(4000)]
     df = spark.createDataFrame(rows, "g string, ts int, id int").repartition(7)
@@ -61,16 +53,21 @@ def test_position_against_brute_force(spark, small_ranges, within):
     assert {r.id: r.pos for r in got} == want
 
 
-def test_position_ranges_stay_small(spark, small_ranges):
-    """One group with nearly all rows is still cut into ranges."""
-    df = spark.range(5000).select(F.lit("hot").alias("g"), "id")
-    keyed = df.withColumn("__key", F.struct("g", "id"))
-    bounds = position._range_bounds(keyed, "__key")
-    kind = keyed.schema["__key"].dataType.simpleString()
-    keys = [("g", F.col("g")), ("id", F.col("id"))]
-    sizes = keyed.groupBy(position._range_number(keys, bounds, kind)).count().collect()
-    assert len(bounds) == 15 and len(sizes) == 16
-    assert max(r["count"] for r in sizes) < 1200
+def test_position_orders_with_direction_and_nulls(spark):
+    rows = [(i, None if i % 7 == 0 else float(i % 10)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, created_utc double").repartition(5)
+    for order, key in (
+        (time_order("desc"), lambda r: (r[1] is None, -(r[1] or 0), r[0])),
+        ([F.col("created_utc").asc_nulls_last(), "id"], lambda r: (r[1] is None, r[1] or 0, r[0])),
+        ([F.col("created_utc").desc_nulls_first(), F.col("id").desc()], lambda r: (r[1] is not None, -(r[1] or 0), -r[0])),
+    ):
+        want = {r[0]: i // 20 + 1 for i, r in enumerate(sorted(rows, key=key))}
+        assert {r.id: r.page_no for r in page_plan(df, order, 20).collect()} == want
+
+
+def test_first_seen_keeps_all_rows_without_id_under_ties(spark):
+    df = spark.createDataFrame([(None, 1), (None, 1), (" ", 1), ("a", 1), ("a", 1), ("a", 2)], "id string, seq int")
+    assert sorted(str(r.id) for r in first_seen(df, [F.col("seq")]).collect()) == [" ", "None", "None", "a"]
 
 
 def test_page_plan_and_cursors(spark):
@@ -137,7 +134,7 @@ def test_search_plan_is_a_bounded_top_k(spark, tmp_path):
 
 
 @pytest.mark.parametrize("rows,size,want", [(3, 50000, [3]), (500, 500, [500]), (501, 500, [500, 1]), (1200, 500, [500, 500, 200])])
-def test_chunk_sizes(spark, small_ranges, rows, size, want):
+def test_chunk_sizes(spark, rows, size, want):
     got = assign_chunks(spark.range(rows).toDF("id"), ["id"], size).groupBy("chunk_no").count().orderBy("chunk_no").collect()
     assert [(r.chunk_no, r["count"]) for r in got] == list(enumerate(want, 1))
 

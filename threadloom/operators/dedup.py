@@ -17,9 +17,9 @@ def first_seen(df: DataFrame, order: list[Column | str], record_id: str = "id")
     columns = df.columns
     rank = F.struct(*order)
     keyed = df.withColumn("__key", dedup_key(record_id))
-    # Rows without an id get their own place in the order as the key.
-    alone = F.when(F.col("__key").isNull(), rank)
-    picked = keyed.groupBy("__key", alone.alias("__alone")).agg(
+    # A row without an id is a group of its own, whatever its place in the order.
+    keyed = keyed.withColumn("__alone", F.when(F.col("__key").isNull(), F.monotonically_increasing_id()))
+    picked = keyed.groupBy("__key", "__alone").agg(
         F.min_by(F.struct(*[F.col(c) for c in columns]), rank).alias("__row")
     )
     return picked.select(*[F.col("__row")[c].alias(c) for c in columns])

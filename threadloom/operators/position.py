@@ -5,66 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from threadloom.schemas import MAX_PAGE_SIZE
-
-_SAMPLE_FLOOR = 10_000
-_SAMPLE_PER_RANGE = 20
-_MAX_RANGES = 4_096
-
-
-def _ranges(spark) -> int:
-    return max(2, min(_MAX_RANGES, 2 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
-
-
-def _range_bounds(keyed: DataFrame, key: str) -> list[str]:
-    """Upper edges of about equally filled key ranges, as JSON.
-
-    They come from a uniform sample whose size depends on the number of ranges
-    only, so what reaches the driver does not grow with the data.  A table
-    smaller than the sample needs no ranges.
-    """
-    count = _ranges(keyed.sparkSession)
-    size = max(_SAMPLE_FLOOR, count * _SAMPLE_PER_RANGE)
-    total = keyed.count()
-    if total <= size:
-        return []
-    sample = keyed.select(key).sample(fraction=min(1.0, size / total), seed=17)
-    rows = [r[0] for r in sample.orderBy(key).select(F.to_json(key)).collect()]
-    picked = [rows[i * len(rows) // count] for i in range(1, count)] if rows else []
-    return list(dict.fromkeys(picked))
-
-
-def _at_most(edge: Column, keys: list[tuple[str, Column]]) -> Column:
-    """Whether ``edge`` sorts no later than the row's keys (nulls first).
-
-    Compares column by column, so that mostly the first one decides and no
-    struct has to be built per comparison.
-    """
-    result = F.lit(True)
-    for name, key in reversed(keys):
-        bound = edge[name]
-        result = (
-            F.when(bound < key, True)
-            .when(bound > key, False)
-            .when(bound.isNull() & key.isNotNull(), True)
-            .when(bound.isNotNull() & key.isNull(), False)
-            .otherwise(result)
-        )
-    return result
-
-
-def _range_number(keys: list[tuple[str, Column]], bounds: list[str], key_type: str) -> Column:
-    """How many bounds are <= the keys, by binary search over a constant array."""
-    edges = F.from_json(F.lit("[" + ",".join(bounds) + "]"), f"array<{key_type}>")
-    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
-    total = len(bounds)
-
-    def step(found: Column, width: Column) -> Column:
-        reached = found + width
-        inside = F.when(reached <= total, _at_most(F.get(edges, reached - 1), keys)).otherwise(F.lit(False))
-        return F.when(inside, reached).otherwise(found)
-
-    # Never null, so joins on it need no null filter that would compute it again.
-    return F.coalesce(F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), step), F.lit(0))
+from threadloom.session import ensure_checkpoint_dir
 
 
 def with_position(
@@ -72,28 +13,22 @@ def with_position(
 ) -> DataFrame:
     """Add the 0-based position of each row in ``order``, per ``within`` group.
 
-    The rows are cut into key ranges of similar size over (group, order), each
-    range is numbered on its own, and the counts of earlier ranges are added.
-    So no task holds more than about one range, even when one group has most
-    of the rows.  The range edges are constants of the plan, which keeps the
-    count and the numbering consistent when a lost executor forces a rerun.
-    ``order`` must tell rows apart for a repeatable result.
+    The rows are dealt into sorted ranges over (group, order) and written to the
+    checkpoint folder once.  Each range is numbered on its own, and the counts of
+    earlier ranges are added, so no task holds more than one range even when one
+    group has most of the rows.  Spark sizes the ranges: as many as
+    ``spark.sql.shuffle.partitions`` at most, fewer for little data.  Written
+    rows keep counts and numbers consistent when a lost executor forces a rerun.
+
+    ``order`` takes columns, ascending or descending, with either place for
+    nulls.  It must tell rows apart for a repeatable result; rows that are equal in
+    it share a range.
     """
+    ensure_checkpoint_dir(df.sparkSession)
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    parts = [F.col(c).alias(f"w{i}") for i, c in enumerate(within)]
-    keys = [c.alias(f"k{i}") for i, c in enumerate(order_cols)]
-    named = [*[(f"w{i}", F.col(c)) for i, c in enumerate(within)], *[(f"k{i}", c) for i, c in enumerate(order_cols)]]
-    keyed = df.withColumn("__key", F.struct(*parts, *keys))
     group = [F.col(c) for c in within]
-    bounds = _range_bounds(keyed, "__key")
-
-    if not bounds:
-        window = Window.partitionBy(*(group or [F.lit(0)])).orderBy("__key")
-        return keyed.withColumn(name, F.row_number().over(window).cast("bigint") - 1).drop("__key")
-
-    key_type = keyed.schema["__key"].dataType.simpleString()
-    ranged = keyed.withColumn("__range", _range_number(named, bounds, key_type))
-    counts = ranged.groupBy("__range", *group).agg(F.count(F.lit(1)).alias("__n"))
+    dealt = df.repartitionByRange(*group, *order_cols).withColumn("__range", F.spark_partition_id()).checkpoint()
+    counts = dealt.groupBy("__range", *group).agg(F.count(F.lit(1)).alias("__n"))
     # One row per range (and group), so this window is small by construction.
     before = Window.partitionBy(*(group or [F.lit(0)])).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(
@@ -104,12 +39,12 @@ def with_position(
     same = F.col("__range") == F.col("__r")
     for i, c in enumerate(within):
         same = same & F.col(c).eqNullSafe(F.col(f"__g{i}"))
-    inner = Window.partitionBy("__range", *group).orderBy("__key")
-    numbered = ranged.withColumn("__rn", F.row_number().over(inner) - 1)
+    inner = Window.partitionBy("__range", *group).orderBy(*order_cols)
+    numbered = dealt.withColumn("__rn", F.row_number().over(inner) - 1)
     return (
         numbered.join(starts, same)
         .withColumn(name, F.col("__start") + F.col("__rn"))
-        .drop("__key", "__range", "__rn", "__r", "__start", *[f"__g{i}" for i in range(len(within))])
+        .drop("__range", "__rn", "__r", "__start", *[f"__g{i}" for i in range(len(within))])
     )
 
 

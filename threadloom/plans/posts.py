@@ -12,10 +12,10 @@ from threadloom.functions import scalars as S
 from threadloom.operators.dedup import all_known_ids, first_seen, reconcile_stored, unseen
 from threadloom.operators.normalize import normalize_posts
 from threadloom.operators.position import page_cursors, page_plan, stall_audit
-from threadloom.operators.search import Search, matching, search_posts
+from threadloom.operators.search import Search, matching, search_posts, time_order
 from threadloom.plans.registry import query, table
 from threadloom.sources.lines import line_status, strict_lines
-from threadloom.sources.payloads import explode_pages
+from threadloom.sources.payloads import explode_pages, page_errors
 
 
 def epoch(ts: str):
@@ -266,6 +266,27 @@ def lineitem_pages(spark, sf_dir):
     )
 
 
+@query(
+    "page_plan_desc",
+    """SELECT event_id, CAST(rn - 1 AS BIGINT) AS pos, CAST((rn - 1) // 25 + 1 AS BIGINT) AS page_no FROM (
+         SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id) AS rn FROM events)""",
+)
+def event_pages_newest_first(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id", "ts")
+    return page_plan(events, time_order("desc", "ts", "event_id"), 25).select("event_id", "pos", "page_no")
+
+
+@query(
+    "first_seen_ties",
+    """SELECT kind, CASE WHEN kind IS NULL THEN count(*) ELSE 1 END AS kept FROM (
+         SELECT CASE WHEN event_type <> 'view' THEN event_type END AS kind FROM events) GROUP BY kind""",
+)
+def first_seen_under_ties(spark, sf_dir):
+    """All rows share one place in the order; those without an id all stay."""
+    kinds = table(spark, sf_dir, "events").select(F.when(F.col("event_type") != "view", F.col("event_type")).alias("kind"))
+    return first_seen(kinds, [F.lit(1)], "kind").groupBy("kind").agg(F.count("*").alias("kept"))
+
+
 @query(
     "page_cursors",
     """SELECT page_no, page_rows, new_rows,
@@ -354,6 +375,21 @@ def search_page_items(spark, sf_dir):
     return normalize_posts(explode_pages(pages)).select("o_orderkey", "pos", "id", "score")
 
 
+_PAGE_FORMS = ('{"data":[K]}', '{"data":[K', "<html>K", '[{"data":[K]}]', '{"data":[K]} K', "", '{"data":{"a":K}}', "{}", '{"data":null}', '["data"]')
+
+
+@query(
+    "page_errors",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 10 IN (6, 8) THEN 'no list under data' ELSE 'not exactly one JSON object' END AS page_error
+       FROM orders WHERE o_orderkey % 10 NOT IN (0, 7)""",
+)
+def unusable_pages(spark, sf_dir):
+    """Torn, wrapped, doubled, empty and mistyped pages come out with their reason; good ones do not."""
+    form = F.element_at(F.array(*map(F.lit, _PAGE_FORMS)), (F.col("o_orderkey") % 10 + 1).cast("int"))
+    payload = F.replace(form, F.lit("K"), F.col("o_orderkey").cast("string"))
+    return page_errors(table(spark, sf_dir, "orders").select("o_orderkey", payload.alias("payload"))).select("o_orderkey", "page_error")
+
+
 @query(
     "time_bounds",
     """SELECT p_partkey, CASE p_type
