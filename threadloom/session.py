@@ -15,8 +15,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # One odd field nulls that field, not the record around it.
     "spark.sql.json.enablePartialResults": "true",
-    # Tree payloads are large strings; bound an Arrow batch by bytes too.
+    # Tree payloads are large strings: an Arrow batch is bounded by rows and by bytes.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "67108864",
 }
 
 
