@@ -29,7 +29,7 @@ def test_query_recall_and_scores(spark):
 def test_copies_ties_and_lengths(spark):
     """A third of the rows are one vector; norms differ, so the largest product is not the nearest direction."""
     r = np.random.default_rng(1)
-    rows = [(i, r.normal(size=6).tolist() if i % 3 else [2.0, 1, 0, 0, 0, 0]) for i in range(240)]
+    rows = [(i, r.normal(size=6).tolist() if i % 3 else [2.0, 1.0, 0.0, 0.0, 0.0, 0.0]) for i in range(240)]
     rows = [(i, [x * (1 + i % 4) for x in v] if i % 3 else v) for i, v in rows]
     got = {}
     for x in nn_descent.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():

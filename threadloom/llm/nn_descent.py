@@ -28,13 +28,15 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 @dataclass(frozen=True)
 class Settings:
-    """``neighbours`` kept per node (at least the number asked for), ``reverse`` ones sampled per round,
-    ``trees`` and ``leaf`` of the first graph, ``least_change`` of all edges at which rounds end, ``beam`` of the search."""
+    """``neighbours`` kept per node (at least the number asked for), ``reverse`` ones sampled per round, ``offers`` that
+    a local join makes to one node at most, ``trees`` and ``leaf`` of the first graph, ``least_change`` of all edges at
+    which rounds end, ``beam`` of the search."""
 
-    neighbours: int = 22
-    reverse: int = 10
+    neighbours: int = 40
+    reverse: int = 24
+    offers: int = 10
     trees: int = 3
-    leaf: int = 48
+    leaf: int = 64
     least_change: float = 0.01
     max_rounds: int = 12
     beam: int = 32
@@ -93,16 +95,24 @@ def _local_join(keep: int):
             fresh = flat.field("fresh").to_numpy(zero_copy_only=False)
             x = np.frombuffer(b"".join(flat.field("short").to_pylist()), np.float16).reshape(len(flat), -1).astype(np.float32)
             ends = np.concatenate([[0], np.cumsum([len(m) for m in lists])])
-            out: list[tuple] = []
+            out: list[tuple] = [(ids[:0], ids[:0], x[:0, 0])]
             for a, b in zip(ends[:-1], ends[1:]):
-                near = x[a:b] @ x[a:b].T
+                if not fresh[a:b].any():
+                    continue
+                # A neighbour in both directions comes twice: once is enough, fresh if either is.
+                own, first, place = np.unique(ids[a:b], return_index=True, return_inverse=True)
+                new = np.zeros(len(own), bool)
+                np.logical_or.at(new, place, fresh[a:b])
+                v, limit = x[a:b][first], least[a:b][first]
+                near = v @ v.T
                 np.fill_diagonal(near, -np.inf)
-                want = (near > least[a:b, None]) & (fresh[a:b, None] | fresh[None, a:b])
+                want = (near > limit[:, None]) & (new[:, None] | new[None, :])
                 np.fill_diagonal(want, False)
-                if b - a > keep:
-                    want &= near >= np.partition(near, -keep, axis=1)[:, -keep, None]
+                if len(own) > keep:
+                    best = np.where(want, near, -np.inf)
+                    want &= best >= np.partition(best, -keep, axis=1)[:, -keep, None]
                 i, j = np.nonzero(want)
-                out.append((ids[a:b][i], ids[a:b][j], near[i, j]))
+                out.append((own[i], own[j], near[i, j]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([o[k] for o in out]), kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float32()))],
                 ["node", "id", "near"],
@@ -116,7 +126,7 @@ def _merge(keep: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, ids, nears, found = (batch.column(batch.schema.get_field_index(c)) for c in ("node", "ids", "nears", "found"))
+            node, short, ids, nears, found = (batch.column(batch.schema.get_field_index(c)) for c in ("node", "short", "ids", "nears", "found"))
             rows: list[tuple] = []
             for have, near, more in zip(ids.to_pylist(), nears.to_pylist(), found.to_pylist()):
                 best = dict(zip(have or [], near or []))
@@ -127,20 +137,20 @@ def _merge(keep: int):
                 top = sorted(best.items(), key=lambda e: (-e[1], e[0]))[:keep]
                 rows.append(([i for i, _ in top], [s for _, s in top], [i not in known for i, _ in top]))
             columns = [pa.array([r[k] for r in rows], pa.list_(kind)) for k, kind in enumerate((pa.int64(), pa.float32(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([node, *columns], ["node", "ids", "nears", "fresh"])
+            yield pa.RecordBatch.from_arrays([node, short, *columns], ["node", "short", "ids", "nears", "fresh"])
 
     return run
 
 
-GRAPH = "node bigint, ids array<bigint>, nears array<float>, fresh array<boolean>"
+GRAPH = "node bigint, short binary, ids array<bigint>, nears array<float>, fresh array<boolean>"
 MEMBER = ("id", "short", "least", "fresh")
 
 
-def _improved(members: DataFrame, graph: DataFrame, keep: int) -> DataFrame:
+def _improved(members: DataFrame, graph: DataFrame, keep: int, offers: int) -> DataFrame:
     """One local join: ``members`` has a bounded list per row; the graph with what it finds."""
-    found = members.select("members").mapInArrow(_local_join(keep), "node bigint, id bigint, near float")
+    found = members.select("members").mapInArrow(_local_join(offers), "node bigint, id bigint, near float")
     found = found.groupBy("node").agg(F.collect_list(F.struct("id", "near")).alias("found"))
-    return graph.join(found, "node", "left").select("node", "ids", "nears", "found").mapInArrow(_merge(keep), GRAPH)
+    return graph.join(found, "node", "left").select("node", "short", "ids", "nears", "found").mapInArrow(_merge(keep), GRAPH)
 
 
 def _reverse(graph: DataFrame, most: int, salt: int) -> DataFrame:
@@ -151,7 +161,11 @@ def _reverse(graph: DataFrame, most: int, salt: int) -> DataFrame:
 
 
 def neighbour_graph(nodes: DataFrame, scratch: Scratch, s: Settings = Settings()) -> DataFrame:
-    """``(node, vector)`` with distinct nodes and vectors -> ``GRAPH``: the nearest neighbours found for each node."""
+    """``(node, vector)`` with distinct nodes and vectors -> ``GRAPH``: the nearest neighbours found for each node.
+
+    A node's row carries its vector in short floats; a local join looks at no more
+    than ``neighbours + reverse + 1`` of them.
+    """
     size = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
     figures = nodes.agg(F.count("*").alias("n"), F.max(size).alias("longest"), F.first(F.size("vector")).alias("d")).first()
     if not figures["n"]:
@@ -162,25 +176,22 @@ def neighbour_graph(nodes: DataFrame, scratch: Scratch, s: Settings = Settings()
         _leaves(depth, s, np.array(middle, float), figures["longest"]), "node bigint, short binary, tree int, code bigint, along double"
     )
     placed = scratch.write(placed, "placed")
-    shorts = placed.filter("tree = 0").select("node", "short")
     # A leaf of any size is cut into runs of ``leaf`` nodes along one more direction.
     along = Window.partitionBy("tree", "code").orderBy("along", "node")
     run = F.floor((F.row_number().over(along) - 1) / s.leaf)
     member = F.struct(F.col("node").alias("id"), "short", F.lit(float("-inf")).cast("float").alias("least"), F.lit(True).alias("fresh"))
     leaves = placed.withColumn("run", run).groupBy("tree", "code", "run").agg(F.collect_list(member).alias("members"))
-    empty = shorts.select("node", *(F.array().cast(f"array<{k}>").alias(c) for c, k in (("ids", "bigint"), ("nears", "float"))))
-    graph = scratch.write(_improved(leaves, empty, s.neighbours), "graph")
+    empty = placed.filter("tree = 0").select("node", "short", *(F.array().cast(f"array<{k}>").alias(c) for c, k in (("ids", "bigint"), ("nears", "float"))))
+    graph = scratch.write(_improved(leaves, empty, s.neighbours, s.neighbours), "graph")
     edges = figures["n"] * min(s.neighbours, figures["n"] - 1)
     for number in range(s.max_rounds):
         ahead = graph.select("node", F.explode(F.arrays_zip("ids", "fresh")).alias("e")).select("node", F.col("e.ids").alias("id"), F.col("e.fresh").alias("fresh"))
         itself = graph.select("node", F.col("node").alias("id"), F.lit(False).alias("fresh"))
         around = ahead.unionByName(_reverse(graph, s.reverse, number)).unionByName(itself)
-        lists = around.groupBy("node").agg(F.collect_list(F.struct("id", "fresh")).alias("around")).filter(F.exists("around", lambda e: e["fresh"]))
-        flat = lists.select("node", F.explode("around").alias("e")).groupBy("node", "e.id").agg(F.max("e.fresh").alias("fresh"))
         full = F.size("nears") >= s.neighbours
-        known = shorts.join(graph.select("node", F.when(full, F.array_min("nears")).otherwise(F.lit(float("-inf"))).cast("float").alias("least")), "node")
-        members = flat.join(known.withColumnRenamed("node", "id"), "id").groupBy("node").agg(F.collect_list(F.struct(*MEMBER)).alias("members"))
-        graph = scratch.write(_improved(members, graph, s.neighbours), "graph")
+        known = graph.select(F.col("node").alias("id"), "short", F.when(full, F.array_min("nears")).otherwise(F.lit(float("-inf"))).cast("float").alias("least"))
+        members = around.join(known, "id").groupBy("node").agg(F.collect_list(F.struct(*MEMBER)).alias("members"))
+        graph = scratch.write(_improved(members, graph, s.neighbours, s.offers), "graph")
         changed = graph.agg(F.sum(F.size(F.filter("fresh", lambda x: x)))).first()[0]
         if changed <= s.least_change * edges:
             break
@@ -188,43 +199,62 @@ def neighbour_graph(nodes: DataFrame, scratch: Scratch, s: Settings = Settings()
     return graph
 
 
+def _near_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A query's short vector and a list of nodes with theirs -> ``(query, node, near)``."""
+    for batch in batches:
+        queries, shorts, lists = (batch.column(batch.schema.get_field_index(c)) for c in ("query", "q", "reached"))
+        flat = lists.flatten()
+        if not len(flat):
+            continue
+        n = [len(x) for x in lists]
+        q = np.frombuffer(b"".join(shorts.to_pylist()), np.float16).reshape(len(n), -1).astype(np.float32)
+        v = np.frombuffer(b"".join(flat.field("short").to_pylist()), np.float16).reshape(len(flat), -1).astype(np.float32)
+        # The last component only levels lengths; against a query it must not count.
+        near = np.einsum("ij,ij->i", np.repeat(q[:, :-1], n, axis=0), v[:, :-1])
+        ids = np.repeat(queries.to_numpy(zero_copy_only=False), n)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), flat.field("node"), pa.array(near, pa.float32())], ["query", "node", "near"])
+
+
 def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
         q, v = (batch.column(batch.schema.get_field_index(c)).flatten().to_numpy(zero_copy_only=False).reshape(n, -1) for c in ("q", "v"))
-        score = pa.array(np.einsum("ij,ij->i", q, v), pa.float64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), score], ["query", "node", "score"])
+        query, node = (batch.column(batch.schema.get_field_index(c)) for c in ("query", "node"))
+        yield pa.RecordBatch.from_arrays([query, node, pa.array(np.einsum("ij,ij->i", q, v), pa.float64())], ["query", "node", "score"])
 
 
-def greedy_search(entries: DataFrame, queries: DataFrame, nodes: DataFrame, graph: DataFrame, scratch: Scratch, s: Settings = Settings()) -> DataFrame:
-    """``(query, node, score)`` of every node that a query met on its walk.
+def greedy_search(entries: DataFrame, queries: DataFrame, nodes: DataFrame, graph: DataFrame, scratch: Scratch, most: int, s: Settings = Settings()) -> DataFrame:
+    """``(query, node, score)``: the ``most`` best nodes that each query met on its walk, with exact scores.
 
-    ``queries``: ``(query, q)``; ``entries``: ``(query, node)`` to start from.  A round
-    expands, for each query, all nodes among its best ``beam`` that it has not
-    expanded; the walk ends when there is none.
+    ``queries``: ``(query, q)`` with nodes of the graph; ``entries``: ``(query, node)`` to
+    start from.  A round expands, for each query, all nodes among its best ``beam``
+    that it has not expanded; the walk ends when there is none.  It goes by short
+    vectors; twice as many as asked for are then scored exactly.
     """
-    back = _reverse(graph, s.reverse, -1).groupBy("node").agg(F.collect_list("id").alias("back"))
-    edges = scratch.write(
-        graph.join(back, "node", "left").select("node", F.array_union("ids", F.coalesce("back", F.array().cast("array<bigint>"))).alias("next")), "edges"
-    )
+    shorts = graph.select("node", "short")
+    asked = scratch.write(queries.select("query").join(shorts.select(F.col("node").alias("query"), F.col("short").alias("q")), "query"), "asked")
 
     def scored(pairs: DataFrame) -> DataFrame:
-        met = pairs.join(nodes.select("node", F.col("vector").alias("v")), "node").join(queries, "query")
-        return met.select("query", "node", "q", "v").mapInArrow(_scores, "query bigint, node bigint, score double")
+        reached = pairs.join(shorts, "node").groupBy("query").agg(F.collect_list(F.struct("node", "short")).alias("reached"))
+        return reached.join(asked, "query").select("query", "q", "reached").mapInArrow(_near_scores, "query bigint, node bigint, near float")
 
     met = scratch.write(scored(entries).withColumn("expanded", F.lit(False)), "met")
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "node")
+    best = Window.partitionBy("query").orderBy(F.desc("near"), "node")
     while True:
         ranked = met.withColumn("rank", F.row_number().over(best))
         now = ranked.filter((F.col("rank") <= s.beam) & ~F.col("expanded")).select("query", "node")
         if not now.limit(1).count():
-            return met.drop("expanded")
-        reached = now.join(edges, "node").select("query", F.explode("next").alias("node")).distinct()
+            break
+        reached = now.join(graph.select("node", "ids"), "node").select("query", F.explode("ids").alias("node")).distinct()
         fresh = scored(reached.join(met.select("query", "node"), ["query", "node"], "left_anti")).withColumn("expanded", F.lit(False))
         marked = ranked.withColumn("expanded", F.col("expanded") | (F.col("rank") <= s.beam)).drop("rank")
         met = scratch.write(marked.unionByName(fresh), "met")
+    near = met.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= 2 * most).select("query", "node")
+    exact = near.join(nodes.select("node", F.col("vector").alias("v")), "node").join(queries, "query")
+    exact = exact.select("query", "node", "q", "v").mapInArrow(_scores, "query bigint, node bigint, score double")
+    return exact.withColumn("place", F.rank().over(Window.partitionBy("query").orderBy(F.desc("score")))).filter(F.col("place") <= most).drop("place")
 
 
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, s: Settings = Settings()) -> DataFrame:
@@ -245,8 +275,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, s: Settings = Sett
     # Queries with equal vectors walk once, from their own node.
     starts = asked.select("query").distinct()
     queries = scratch.write(starts.join(nodes.withColumnRenamed("node", "query"), "query").select("query", F.col("vector").alias("q")), "queries")
-    met = greedy_search(starts.select("query", F.col("query").alias("node")), queries, nodes, graph, scratch, s)
-    near = met.withColumn("place", F.rank().over(Window.partitionBy("query").orderBy(F.desc("score")))).filter(F.col("place") <= k + 1).drop("place")
+    near = greedy_search(starts.select("query", F.col("query").alias("node")), queries, nodes, graph, scratch, k + 1, s)
     first = Window.partitionBy("node").orderBy("vec_id")
     copies = named.withColumn("copy", F.row_number().over(first)).filter(F.col("copy") <= k + 1).drop("copy")
     answers = asked.join(near, "query").join(copies, "node").filter("vec_id != query_id")
