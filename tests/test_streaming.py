@@ -136,12 +136,26 @@ def test_runs_do_not_share_known_ids(site):
     assert site.ids("one") == site.ids("two") == ["a"]
 
 
-def test_page_that_is_no_page_fails_the_run(site):
-    (site.root / "pages").mkdir()
-    (site.root / "pages" / "bad.json").write_text('{"data": {}}')
-    with pytest.raises(Exception, match="no list under data"):
-        site.ingest()
-    assert site.ids() == []
+def test_pages_that_are_no_pages_are_kept_apart(site):
+    """A consumed file is not read again, so its text must not be lost; the pages around it are stored."""
+    site.land("a")
+    bad = {"bad1.json": '{"data": {}}', "bad2.json": '{"data": [{"id": "x"}', "bad3.json": "<html>", "bad4.json": '{"data": []} more'}
+    for name, text in bad.items():
+        (site.root / "pages" / name).write_text(text)
+    site.land("b")
+    assert site.ingest().batches == 6 and site.ids() == ["a", "b"]
+    assert {r.page: r.payload for r in site.store.read("page_errors").collect()} == bad
+
+
+def test_tree_lines_that_are_no_lines_are_kept_apart(site):
+    (site.root / "trees").mkdir()
+    good = json.dumps({"post_id": "p", "payload": tree("c")})
+    lines = [good, good[:20], json.dumps({"payload": tree("d")}), json.dumps({"post_id": "q"}), "", "[1]"]
+    (site.root / "trees" / "t.json").write_text("\n".join(lines))
+    ingest_comments(site.store, str(site.root / "trees"), "r", str(site.root / "c"))
+    assert sorted(r.value for r in site.store.read("line_errors").collect()) == sorted([*lines[1:4], lines[5]])
+    assert [r.post_id for r in site.store.read("done_posts").collect()] == ["p"]
+    assert [r.comment_id for r in site.store.read("comments").collect()] == ["c"]
 
 
 def test_stateful_dedup(site):
