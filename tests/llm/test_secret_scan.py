@@ -21,8 +21,9 @@ def test_held_out_accuracy(spark, forest):
 
 
 def test_query_finds_what_is_planted(spark):
-    docs = dict(read(f"select doc_id, text from '{SF}/documents.parquet'"))
-    got = QUERIES["op4_forest_filter"](spark, SF).collect()
+    larger = SF.replace("0.001", "0.01")
+    docs = dict(read(f"select doc_id, text from '{larger}/documents.parquet'"))
+    got = QUERIES["op4_forest_filter"](spark, larger).collect()
     secrets = {(r.doc_id, r.start) for r in got if r.is_secret}
     planted = {(d, m.start(1)) for d, t in docs.items() for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', t or "")}
     assert planted and secrets == planted
