@@ -13,12 +13,13 @@ from __future__ import annotations
 import functools
 import hashlib
 import sys
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from threadloom.llm.common import Scratch
 
@@ -29,7 +30,7 @@ K = 5
 SIMILARITY = 0.8
 BANDS = 16
 SAMPLED = 3
-#: A bucket with at most so many texts left is finished in one round; a larger one takes a few leaders per round.
+#: A bucket with at most so many texts left is finished in one round; a larger one takes some leaders, twice as many each round.
 SMALL_BUCKET = 64
 LEADERS = 16
 
@@ -46,9 +47,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
 @functools.lru_cache(maxsize=2)
 def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, for texts of up to 2**bits bytes."""
-    with np.errstate(over="ignore"):
-        up = np.cumprod(np.concatenate([[1], np.full((1 << bits) - 1, _BASE, np.uint64)]).astype(np.uint64))
-        down = np.cumprod(np.concatenate([[1], np.full((1 << bits) - 1, pow(_BASE, -1, 2**64), np.uint64)]).astype(np.uint64))
+    up, down = (np.full(1 << bits, base, np.uint64) for base in (_BASE, pow(_BASE, -1, 2**64)))
+    up[0] = down[0] = 1
+    up, down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
     return up, down
 
 
@@ -58,6 +59,20 @@ def _word_bytes() -> np.ndarray:
     return np.array([chr(b).isalnum() or b >= 128 for b in range(256)])
 
 
+@functools.lru_cache(maxsize=1)
+def _blanked() -> bytes:
+    return bytes(b if inside else 32 for b, inside in enumerate(_word_bytes()))
+
+
+def packed(text: str) -> bytes:
+    """The words of a text, compressed: all that its k-mers need, in about a third of its bytes."""
+    return zlib.compress(b" ".join(text.lower().encode("utf-8", "replace").translate(_blanked()).split()), 6)
+
+
+def unpacked(words: bytes) -> str:
+    return zlib.decompress(words).decode("utf-8", "replace")
+
+
 def word_hashes(text: str) -> np.ndarray:
     raw = np.frombuffer(text.lower().encode("utf-8", "replace"), np.uint8)
     inside = _word_bytes()[raw]
@@ -153,39 +168,48 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
     return matched / (total - matched)
 
 
-def sketched(docs: DataFrame, *keep: str) -> DataFrame:
-    """``keep`` columns of ``docs`` with ``text_key`` and ``bands``."""
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), "text_key binary, bands array<bigint>"])
+_ADDED = {"n_kmers": ("int", pa.int32(), lambda seq, text: len(seq)), "bands": ("array<bigint>", pa.list_(pa.int64()), lambda seq, text: sketch(seq)), "packed": ("binary", pa.binary(), lambda seq, text: packed(text))}
+
+
+def keyed(docs: DataFrame, keep: list[str], *added: str) -> DataFrame:
+    """``keep`` columns of ``docs`` with ``text_key`` and what else is asked for: ``bands``, ``packed``."""
+    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
+    schema += ["text_key binary", *(f"{c} {_ADDED[c][0]}" for c in added)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, bands = [], []
-            for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
-                seq = kmers(text or "")
-                keys.append(text_key(seq, text or ""))
-                bands.append(sketch(seq))
+            texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            keys, more = [], [[] for _ in added]
+            for text in texts:
+                seq = kmers(text)
+                keys.append(text_key(seq, text))
+                for values, c in zip(more, added):
+                    values.append(_ADDED[c][2](seq, text))
             columns = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            columns += [pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, [*keep, "text_key", "bands"])
+            columns += [pa.array(keys, pa.binary()), *(pa.array(values, _ADDED[c][1]) for values, c in zip(more, added))]
+            yield pa.RecordBatch.from_arrays(columns, [*keep, "text_key", *added])
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, ", ".join(schema))
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b, left, right = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("a", "b", "a_text", "b_text"))
-        found, last, seq = [], None, None
+        a, b, left, right = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("a", "b", "a_packed", "b_packed"))
+        found = []
         for x, y, s, t in zip(a, b, left, right):
-            if x != last:
-                last, seq = x, kmers(s)
-            if similarity(seq, kmers(t)) >= SIMILARITY:
+            if similarity(kmers(unpacked(s)), kmers(unpacked(t))) >= SIMILARITY:
                 found.append((x, y))
         yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], ["a", "b"])
 
 
+def _alike(n: str, m: str) -> Column:
+    """Texts whose numbers of k-mers are further apart than this cannot be near: no need to look at them."""
+    return F.least(n, m) >= SIMILARITY * F.greatest(n, m)
+
+
 def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs ``(a, b)`` whose texts are near; ``texts`` has one row per ``text_key``."""
-    left, right = (texts.select(F.col("text_key").alias(c), F.col("text").alias(f"{c}_text")) for c in ("a", "b"))
+    left, right = (texts.select(F.col("text_key").alias(c), F.col("packed").alias(f"{c}_packed")) for c in ("a", "b"))
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(_near, "a binary, b binary")
 
 
@@ -215,36 +239,33 @@ def _labelled_members(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(own, "text_key", "left").withColumn("component", F.coalesce("component", "text_key"))
 
 
-def text_classes(keyed: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(node, component)`` for the texts of ``keyed`` that are near to another text.
+def text_classes(sketches: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(node, component)`` for the texts of ``sketches`` that are near to another text.
 
     Equal texts are one text here.  Every bucket first compares its texts with one
     leader, so a bucket of any size costs one comparison per text.  A bucket whose
     texts are then all in one component is done.  In the others, texts of different
     components are compared: all of them where at most ``SMALL_BUCKET`` are left,
-    else some leaders a round with all others; a leader is then done and leaves its
-    bucket.  Rounds go on until no bucket holds two components with a pair that was
+    else some leaders with all others, twice as many each round; a leader is then
+    done and leaves its bucket.  Rounds go on until no bucket holds two components with a pair that was
     not compared, so the classes are those of all pairs that share a band.
     """
-    distinct = keyed.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
-    in_buckets = distinct.select("text_key", F.explode(F.array_distinct("bands")).alias("bucket"))
-    shared = in_buckets.groupBy("bucket").agg(F.min("text_key").alias("leader"), F.count("*").alias("n")).filter("n > 1")
-    members = scratch.write(in_buckets.join(shared, "bucket").select("bucket", "text_key", "leader", "n"), "members")
-
-    wanted = members.select("text_key").distinct().join(distinct.select("text_key", "doc_id"), "text_key")
-    first_doc = keyed.select("text_key", "doc_id").join(wanted.select("text_key", F.col("doc_id").alias("first_id")), "text_key")
-    first_doc = first_doc.filter(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id").distinct()
-    rows = docs.select("doc_id", "text").join(first_doc, docs["doc_id"].eqNullSafe(first_doc["doc_id"]), "left_semi")
-    texts = scratch.write(
-        sketched(rows, "text").select("text_key", F.coalesce("text", F.lit("")).alias("text"))
-        .join(wanted.select("text_key"), "text_key", "left_semi").dropDuplicates(["text_key"]), "texts"
-    )
-
-    pairs = members.filter(F.col("text_key") != F.col("leader")).select(F.col("leader").alias("a"), F.col("text_key").alias("b")).distinct()
+    distinct = sketches.groupBy("text_key").agg(F.first("bands").alias("bands"), F.first("n_kmers").alias("n_kmers"))
+    in_buckets = distinct.select("text_key", "n_kmers", F.explode(F.array_distinct("bands")).alias("bucket"))
+    shared = in_buckets.groupBy("bucket").agg(F.min(F.struct("text_key", "n_kmers")).alias("lead"), F.count("*").alias("n")).filter("n > 1")
+    shared = shared.select("bucket", "n", F.col("lead.text_key").alias("leader"), F.col("lead.n_kmers").alias("leader_kmers"))
+    members = scratch.write(in_buckets.join(shared, "bucket"), "members")
+    wanted = members.select("text_key").distinct()
+    # Copies go before the shuffle; then texts lie by key, as the join with the wanted ones needs them.
+    texts = keyed(docs, [], "packed").dropDuplicates(["text_key"]).join(wanted, "text_key", "left_semi")
+    texts = scratch.write(texts, "texts")
+
+    others = members.filter(F.col("text_key") != F.col("leader"))
+    pairs = others.filter(_alike("n_kmers", "leader_kmers")).select(F.col("leader").alias("a"), F.col("text_key").alias("b")).distinct()
     tested = scratch.write(pairs, "tested0")
     links = scratch.write(linked(tested, texts), "links0")
     # Two texts in a bucket have met by now.
-    rest = scratch.write(members.filter("n > 2").filter(F.col("text_key") != F.col("leader")).select("bucket", "text_key"), "rest")
+    rest = scratch.write(others.filter("n > 2").select("bucket", "text_key", "n_kmers"), "rest")
     labels, number = components(links, scratch), 0
     while True:
         number += 1
@@ -257,20 +278,20 @@ def text_classes(keyed: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFra
             return labels
         # Leaders come from the smallest components of their bucket, because a component with nothing left beside it is done.
         rank = F.row_number().over(within.orderBy("of_component", "component", "text_key"))
-        leads = now.withColumn("rank", rank).filter((F.col("rank") <= LEADERS) | (F.col("left") <= SMALL_BUCKET))
-        leads = leads.select("bucket", F.col("text_key").alias("lead"), F.col("component").alias("lead_component"))
-        apart = now.join(leads, "bucket").filter(F.col("component") != F.col("lead_component"))
+        leads = now.withColumn("rank", rank).filter((F.col("rank") <= LEADERS << min(number - 1, 20)) | (F.col("left") <= SMALL_BUCKET))
+        leads = leads.select("bucket", F.col("text_key").alias("lead"), F.col("n_kmers").alias("lead_kmers"), F.col("component").alias("lead_component"))
+        apart = now.join(leads, "bucket").filter(F.col("component") != F.col("lead_component")).filter(_alike("n_kmers", "lead_kmers"))
         pairs = apart.select(F.least("lead", "text_key").alias("a"), F.greatest("lead", "text_key").alias("b")).distinct()
         fresh = scratch.write(pairs.join(tested, ["a", "b"], "left_anti"), f"tested{number}")
         links = links.unionByName(scratch.write(linked(fresh, texts), f"links{number}"))
         tested = tested.unionByName(fresh)
         done = leads.select("bucket", F.col("lead").alias("text_key"))
-        rest = scratch.write(now.select("bucket", "text_key").join(done, ["bucket", "text_key"], "left_anti"), "rest")
+        rest = scratch.write(now.select("bucket", "text_key", "n_kmers").join(done, ["bucket", "text_key"], "left_anti"), "rest")
         labels = components(links, scratch)
 
 
-def near_classes(docs: DataFrame, *keep: str) -> DataFrame:
-    """Every row of ``docs`` with its class: ``keep`` columns, ``class_key``, ``class_id``, ``class_rows``.
+def near_classes(docs: DataFrame) -> DataFrame:
+    """Every row of ``docs`` with its class: ``doc_id``, ``text_key``, ``class_key``, ``class_id``, ``class_rows``.
 
     ``docs`` needs ``doc_id`` and ``text``.  ``class_id`` is the smallest ``doc_id`` of the
     class (null if all are null) and ``class_rows`` its number of rows, copies
@@ -280,15 +301,21 @@ def near_classes(docs: DataFrame, *keep: str) -> DataFrame:
     or repeat.  An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "near")
-    keyed = scratch.write(sketched(docs, *dict.fromkeys(["doc_id", *keep])), "keyed")
-    labels = text_classes(keyed, docs, scratch)
-    rows = keyed.drop("bands").join(labels.withColumnRenamed("node", "text_key"), "text_key", "left")
-    rows = rows.withColumn("class_key", F.coalesce("component", "text_key")).drop("component", "text_key")
+    sketches = scratch.write(keyed(docs, ["doc_id"], "bands", "n_kmers"), "sketches")
+    labels = text_classes(sketches, docs, scratch)
+    rows = sketches.drop("bands", "n_kmers").join(labels.withColumnRenamed("node", "text_key"), "text_key", "left")
+    rows = rows.withColumn("class_key", F.coalesce("component", "text_key")).drop("component")
     classes = rows.groupBy("class_key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_rows"))
-    return rows.join(classes, "class_key").select(*dict.fromkeys(["doc_id", *keep]), "class_key", "class_id", "class_rows")
+    return rows.join(classes, "class_key").select("doc_id", "text_key", "class_key", "class_id", "class_rows")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each class, the one with its smallest ``doc_id``; all columns as they were."""
-    classed = near_classes(docs, *docs.columns).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    return classed.dropDuplicates(["class_key"]).select(*docs.columns)
+    """``docs`` with one row of each class, the one with its smallest ``doc_id``; all columns as they were.
+
+    Which rows stay is settled on ids and keys, so whole rows are shuffled once.
+    """
+    scratch = Scratch(docs.sparkSession, "one-of-each")
+    first = near_classes(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    chosen = scratch.write(first.groupBy("class_key").agg(F.min("text_key").alias("_key"), F.min("doc_id").alias("_id")).drop("class_key"), "chosen")
+    rows = keyed(docs, docs.columns).withColumnRenamed("text_key", "_key")
+    return rows.join(chosen, "_key").filter(F.col("doc_id").eqNullSafe(F.col("_id"))).dropDuplicates(["_key"]).select(*docs.columns)
