@@ -27,11 +27,13 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WEIGHTS = (5, 2, 1)
 MAX_PASSES = 3
-BLOCK_WORDS = 128
+BLOCK_WORDS = 64
 SLOTS_PER_SHARD = 65_536
 SEED = 17
 #: Buckets that the words of one source are summed in before positions are given.
 BUCKETS = 1024
+#: Slots that are expanded by one row at most, so that a source with most slots is not one task's work.
+RUN_SLOTS = 50_000
 #: Sources are a dimension: their list is kept on the driver and must not exceed this.
 MAX_SOURCES = 100_000
 
@@ -157,6 +159,11 @@ def draw_slots(plan: DataFrame, block_words: int, slots_per_shard: int = SLOTS_P
     before = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     drawn_counts = spark.range(n_shards).mapInPandas(counts, "shard bigint, source_no int, n bigint").filter("n > 0")
     runs = drawn_counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    starts = F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1, F.lit(RUN_SLOTS).cast("long")))
+    runs = runs.withColumn("start", starts).select(
+        "shard", "source_no", F.col("start").alias("first"), F.least(F.col("first") + F.col("n") - F.col("start"), F.lit(RUN_SLOTS)).alias("n")
+    )
+    runs = runs.repartition(max(8, math.ceil(wanted.sum() / (20 * RUN_SLOTS))), "shard", "source_no", "first")
 
     def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -169,7 +176,7 @@ def draw_slots(plan: DataFrame, block_words: int, slots_per_shard: int = SLOTS_P
                         at = permuted(own - p * blocks, blocks, (seed * 1_000_003 + run.source_no) * MAX_PASSES + p)
                         yield pd.DataFrame({"shard": run.shard, "source_no": run.source_no, "slot": own, "block": at, "pass": p})
 
-    return runs.select("shard", "source_no", "first", "n").mapInPandas(held, "shard bigint, source_no int, slot bigint, block bigint, pass int")
+    return runs.mapInPandas(held, "shard bigint, source_no int, slot bigint, block bigint, pass int")
 
 
 class Mix:
@@ -190,14 +197,15 @@ class Mix:
 
     def taken(self) -> DataFrame:
         """Every document with its source's figures and ``taken``: its words in the mix, repeats counted."""
-        times = self.slots.groupBy("source_no", "block").agg(F.count("*").alias("times"))
+        # The planner takes the few runs for all the slots that they expand to: no broadcast here.
+        times = self.slots.groupBy("source_no", "block").agg(F.count("*").alias("times")).hint("merge")
         words_taken = self.pieces.join(times, ["source_no", "block"]).groupBy("row").agg(
             F.sum((F.col("last_word") - F.col("first_word")) * F.col("times")).alias("taken")
         )
         plan = self.plan.withColumnRenamed("source", "_source")
         return (
             self.rows.join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-            .join(words_taken, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
+            .join(words_taken.hint("merge"), "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
         )
 
     def documents(self) -> DataFrame:
@@ -208,9 +216,9 @@ class Mix:
         ``text`` among the kept columns.
         """
         span = F.sort_array(F.collect_list(F.struct("first_word", "last_word")))
-        spans = self.pieces.join(self.slots.select("source_no", "block", "pass"), ["source_no", "block"])
+        spans = self.pieces.join(self.slots.select("source_no", "block", "pass").hint("merge"), ["source_no", "block"])
         spans = spans.groupBy("row", "pass").agg(span.alias("spans"))
-        joined = self.rows.join(spans, "row").drop("order_key", "row", "pass")
+        joined = self.rows.join(spans.hint("merge"), "row").drop("order_key", "row", "pass")
         return joined.withColumn("spans", F.when(F.size("spans") > 0, F.col("spans"))).mapInArrow(_cut, joined.schema).drop("spans", "size")
 
 
