@@ -43,6 +43,30 @@ def test_link_lists_in_an_article():
     assert "one" not in main_text(page) and main_text(page).count("\n\n") == 3
 
 
+def test_teaser_articles_beside_the_main_text():
+    """The text stands in a <div>; <article> holds cards, also when the page has a <main>."""
+    text = [f"Paragraph {i} of the main text, which says what there is to be said. " * 4 for i in range(6)]
+    body = "".join(f"<p>{x}</p>" for x in text)
+    want = "\n\n".join(x.strip() for x in text)
+    cards = "".join(f"<article><h3><a href=/{i}>Card number {i}</a></h3><p>Short teaser.</p></article>" for i in range(8))
+    for page in (f"<div>{body}</div><div>{cards}</div>", f"<div>{cards}</div><div>{body}</div>", f"<main><div>{body}</div><div>{cards}</div></main>"):
+        got = main_text(page)
+        assert got.count("main text") == 24 and want in got and "Card number 4" not in got and got.count("teaser") <= 2
+    # Cards as long as a paragraph are not told apart, but they must not cost the text.
+    dense = "".join(f"<article><p>{'Teaser ' * 40}</p></article>" for i in range(8))
+    assert want in main_text(f"<div>{dense}</div><div>{body}</div>")
+
+
+def test_article_with_the_page_s_text():
+    """A page's own article stays whole, short lines and cells included; short unmarked text outside goes."""
+    text = "Long text of the article, a whole line of it. " * 4
+    page = f"<div>Unmarked words of the site.</div><div>And more.</div><main><h1>Head</h1><article><p>{text}<p>{text}<div>Tiny.</div><table><tr><td>1<td>2</table><p>{text}</article></main>"
+    t = text.strip()
+    assert main_text(page) == "\n\n".join(["Head", t, t, "Tiny.", "1", "2", t])
+    short = "".join(f"<p>Line {i} of a poem" for i in range(60))
+    assert main_text(f"<div>{text}</div><article>{short}</article>").count("of a poem") == 60
+
+
 def test_broken_markup():
     assert main_text(None) == main_text("") == main_text("<p></p>") == main_text("<!-- x") == ""
     assert main_text("just text") == "just text" and main_text("<article>a</nav></p>b<p>c") != ""

@@ -4,7 +4,9 @@ The parser's events cut a page into lines, one per block element.  Each line has
 text-to-tag ratio: its characters outside links over its tags.  Ratios are
 smoothed with a Gaussian kernel, and a threshold splits the lines into clusters of
 content and of the rest.  A content cluster selects the region around it: all
-lines of the same container.  What the markup itself names as no content (menus,
+lines of the same container, where an <article> or <main> is one container with
+all that it holds and, if it has most of the page's text, counts for more.  What the
+markup itself names as no content (menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, comments) never
 becomes a line.
 """
@@ -27,6 +29,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SIGMA = 1.5
 #: A line whose characters are links to this share is a link line.
 LINK_SHARE = 0.8
+#: Weight of ratios inside an article, if the page's largest one has at least as much text as stands outside of all.
+PRIOR = 2.0
 
 # Element names, class words and roles: fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -70,7 +74,10 @@ def _named_away(tag: str, attributes: dict) -> bool:
 
 
 class Lines(HTMLParser):
-    """Collects ``lines`` of ``[text parts, link characters, tags, container, in article]`` from parser events."""
+    """Collects ``lines`` of ``[text parts, link characters, tags, container, article]`` from parser events.
+
+    The article is the outermost <article>, in none the innermost <main>, in neither 0; ``within`` has the one around each.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -79,10 +86,12 @@ class Lines(HTMLParser):
         self.dropped = self.links = self.articles = self.paragraphs = 0
         self.containers = [0]
         self.n_containers = 0
+        self.within = [0]
+        self.around = [0]  # the articles of the open <article> and <main> elements
         self.new_line()
 
     def new_line(self) -> None:
-        self.lines.append([[], 0, 0, self.containers[-1], self.articles > 0])
+        self.lines.append([[], 0, 0, self.containers[-1], self.around[-1]])
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCKS:
@@ -101,7 +110,13 @@ class Lines(HTMLParser):
         self.dropped += away
         self.links += tag == "a"
         self.paragraphs += tag == "p"
-        self.articles += tag in ("article", "main")
+        if tag in ("article", "main"):
+            if self.articles:  # an article in an article is part of it
+                self.around.append(self.around[-1])
+            else:
+                self.within.append(self.around[-1])
+                self.around.append(len(self.within) - 1)
+            self.articles += tag == "article"
         if tag in CONTAINERS:
             self.n_containers += 1
             self.containers.append(self.n_containers)
@@ -131,7 +146,9 @@ class Lines(HTMLParser):
             self.dropped -= away
             self.links -= tag == "a"
             self.paragraphs -= tag == "p"
-            self.articles -= tag in ("article", "main")
+            self.articles -= tag == "article"
+            if tag in ("article", "main"):
+                self.around.pop()
             if tag in CONTAINERS:
                 self.containers.pop()
             block |= tag in BLOCKS or away
@@ -168,7 +185,10 @@ def _smoothed(values: list[float]) -> list[float]:
 
 
 def _threshold(values: list[float]) -> float:
-    """Where two clusters of one-dimensional values part: the mean of their means, after a few rounds of 2-means."""
+    """Where two clusters of one-dimensional values part: the mean of their means, after a few rounds of 2-means.
+
+    Values whose clusters lie near each other are one cluster: none is below.
+    """
     low, high = min(values), max(values)
     for _ in range(20):
         cut = (low + high) / 2
@@ -179,7 +199,7 @@ def _threshold(values: list[float]) -> float:
         if moved == (low, high):
             break
         low, high = moved
-    return (low + high) / 2
+    return (low + high) / 2 if high >= 2 * low else min(values)
 
 
 def main_text(html: str | None) -> str:
@@ -189,25 +209,34 @@ def main_text(html: str | None) -> str:
     if re.match(r"<[A-Za-z/!?]", parser.rawdata):  # a tag or comment that the end of the page cuts off is no text
         parser.rawdata = ""
     parser.close()
-    lines = [(" ".join("".join(parts).split()), links, tags, box, inside) for parts, links, tags, box, inside in parser.lines]
+    lines = [(" ".join("".join(parts).split()), *rest) for parts, *rest in parser.lines]
     lines = [x for x in lines if x[0]]
-    if any(x[4] for x in lines):  # the page marks its article: the rest of it is no candidate
-        lines = [x for x in lines if x[4]]
     if not lines:
         return ""
     link_line = [links >= LINK_SHARE * len(text) for text, links, *_ in lines]
-    own = [max(len(text) - links, 0) / max(tags, 1) for text, links, tags, *_ in lines]
+    unlinked = [max(len(text) - links, 0) for text, links, *_ in lines]
+    places = [(article, 0 if article else box) for *_, box, article in lines]
+    held = dict.fromkeys(places, 0)  # text of each article, and of each container that stands in none
+    for place, n in zip(places, unlinked):
+        held[place] += n
+    outside = sum(n for (article, _), n in held.items() if not article)
+    trusted = max((n for (article, _), n in held.items() if article), default=-1) >= outside
+    own = [n / max(x[2], 1) * (PRIOR if trusted and x[4] else 1) for n, x in zip(unlinked, lines)]
     ratios = _smoothed(own)
     cut = _threshold(ratios)
     # A line that only its neighbours lift over the threshold is no content of its own.
     content = [r >= cut and o >= cut / 4 and not link for r, o, link in zip(ratios, own, link_line)]
     if not any(content):
         content = [not link for link in link_line]
-    regions = {x[3] for x, chosen in zip(lines, content) if chosen}
+    # The place with most of the text is a region whatever the ratios of its lines.
+    regions = {place for place, c in zip(places, content) if c} | {max((p for p in held if p[0] or not trusted), key=held.__getitem__)}
+    for article, _ in list(regions):  # a chosen article chooses what stands beside it in the same <main>
+        while article := parser.within[article]:
+            regions.add((article, 0))
     kept = []
-    for k, (text, _, _, box, inside) in enumerate(lines):
+    for k, (text, *_) in enumerate(lines):
         among_links = link_line[k] and not content[k] and any(link_line[j] for j in (k - 1, k + 1) if 0 <= j < len(lines))
-        if (inside or box in regions) and not among_links:
+        if places[k] in regions and not among_links:
             kept.append(text)
     return "\n\n".join(kept)
 
