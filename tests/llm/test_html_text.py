@@ -67,6 +67,25 @@ def test_article_with_the_page_s_text():
     assert main_text(f"<div>{text}</div><article>{short}</article>").count("of a poem") == 60
 
 
+def test_dropped_elements_without_an_end_tag():
+    """Text after a dropped element whose end tag is optional or missing."""
+    for before in (
+        "<select><option>A<option>B</select>", "<select><optgroup label=x><option>A<optgroup label=y><option>B</select>", "<datalist><option>A<option>B</datalist>",
+        "<form><select><option>A</form>", "<ul><li class='social'>x</ul>", "<ul><li>y<ul><li class='social'>x</ul></ul>", "<table><tr><td>y<td class='sidebar'>x</table>",
+        "<table><tr class='menu'><td>x</table>", "<div><nav>x</div>", "<div><aside>x<ul><li>y</div>", "<div><p>y<aside>x</div>", "<svg/>", "<svg><path/><g/></svg>", "<svg><g></svg>",
+        "<math/>", "<div><svg><path></div>", "<p>y<span class='share'>x</p>", "<dl><dt class='menu'>x<dd>y</dl>", "<p class='ad'>x<nav>x</nav>", "<h2 class='promo'>x</h3>",
+        "<div><h2 class='promo'>x<h2>y</h2></div>", "<b>y<span class='ad'>x</b>", "<div><button>x</div>", "<svg><path>",
+    ):
+        got = main_text(f"<body><article><div>{before}<p>The text.</p></div><p>And more.</p></article></body>").split("\n\n")
+        assert got[-2:] == ["The text.", "And more."] and set(got[:-2]) <= {"y"}, (before, got)
+        assert ("y" in got) == (">y" in before and "aside>x<ul>" not in before), (before, got)
+
+
+def test_stray_end_tags_in_dropped_parts():
+    for inner in ("<b>x</a></span>x", "<table><tr><td>x</div>x</td></tr></table>", "<ul></li><li>x</ul>x", "<button></p>x</button>", "<select><option>x</option></b>x</select>x"):
+        assert main_text(f"<a>t</a><div>a <b><li><span><nav>{inner}</nav>text</span></b></div>c").replace("\n\n", " ") == "t a text c", inner
+
+
 def test_broken_markup():
     assert main_text(None) == main_text("") == main_text("<p></p>") == main_text("<!-- x") == ""
     assert main_text("just text") == "just text" and main_text("<article>a</nav></p>b<p>c") != ""

@@ -46,6 +46,22 @@ CONTAINERS = frozenset("body main article section div td".split())
 #: A start tag closes an open element of its kind, up to the nearest of these.
 OTHER_BLOCKS = BLOCKS - {"p"}
 SAME_CLOSES = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "tr": "table", "td": "tr table", "th": "tr table"}
+OPTIONS = frozenset("select datalist".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose start closes an open paragraph, and whose end tag closes what was left open in them.
+CLOSING = BLOCKS | frozenset("nav header footer aside form menu dialog".split())
+CLOSED = CLOSING | DROPPED
+#: What an end tag inside a dropped part does not reach across.
+CELLS = frozenset("td th caption table template object".split())
+TABLE_PARTS = frozenset("table caption thead tbody tfoot tr td th".split())
+FOREIGN = frozenset("svg math".split())
+#: Inside svg and math these hold HTML again.
+FOREIGN_HTML = frozenset("foreignobject desc title annotation-xml".split())
+#: A start tag of these ends svg and math that were left open.
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li menu meta nobr ol p pre ruby s "
+    "small span strong strike sub sup table tt u ul var".split()
+)
 NEVER_BY_CLASS = frozenset("html body main article".split())
 NOT_CONTENT = re.compile(
     r"(ads?|advert\w*|sponsor\w*|promo\w*|banners?|side|sidebar\w*|aside|menus?|nav|navbar|navigation|breadcrumbs?|foot|footer|"
@@ -83,7 +99,7 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[list] = []
         self.open: list[tuple[str, bool]] = []  # element, and whether it starts a dropped part
-        self.dropped = self.links = self.articles = self.paragraphs = 0
+        self.dropped = self.links = self.articles = self.paragraphs = self.foreign = 0
         self.containers = [0]
         self.n_containers = 0
         self.within = [0]
@@ -94,12 +110,19 @@ class Lines(HTMLParser):
         self.lines.append([[], 0, 0, self.containers[-1], self.around[-1]])
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in BLOCKS:
+        if self.foreign and tag in BREAKOUT:
+            self.close_foreign()
+        if tag in ("option", "optgroup"):
+            for same in ("option", "optgroup") if tag == "optgroup" else ("option",):
+                self.close_to(same, OPTIONS)
+        if tag in CLOSING:
             if self.paragraphs:  # a block start closes an open paragraph
                 self.close_to("p", OTHER_BLOCKS)
             if tag in SAME_CLOSES:
                 for same in ("dt", "dd") if tag in ("dt", "dd") else ("td", "th") if tag in ("td", "th") else (tag,):
                     self.close_to(same, frozenset(SAME_CLOSES[tag].split()))
+            if tag in HEADINGS and self.open and self.open[-1][0] in HEADINGS:
+                self.pop_to(len(self.open) - 1)
         if tag in VOID:
             if not self.dropped:
                 self.lines[-1][2] += 1
@@ -110,6 +133,7 @@ class Lines(HTMLParser):
         self.dropped += away
         self.links += tag == "a"
         self.paragraphs += tag == "p"
+        self.foreign += tag in FOREIGN
         if tag in ("article", "main"):
             if self.articles:  # an article in an article is part of it
                 self.around.append(self.around[-1])
@@ -126,8 +150,9 @@ class Lines(HTMLParser):
             self.lines[-1][2] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
+        inside = self.foreign > 0
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and tag in ("script", "style", "iframe", "div", "span", "a", "p"):
+        if tag not in VOID and (tag in ("script", "style", "iframe", "div", "span", "a", "p") or tag in FOREIGN or (inside and self.foreign)):
             self.handle_endtag(tag)
 
     def close_to(self, tag: str, within: frozenset) -> None:
@@ -146,6 +171,7 @@ class Lines(HTMLParser):
             self.dropped -= away
             self.links -= tag == "a"
             self.paragraphs -= tag == "p"
+            self.foreign -= tag in FOREIGN
             self.articles -= tag == "article"
             if tag in ("article", "main"):
                 self.around.pop()
@@ -155,16 +181,43 @@ class Lines(HTMLParser):
         if block:
             self.new_line()
 
+    def close_foreign(self) -> None:
+        """Close an open svg or math, unless the place is one of those where it holds HTML."""
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k][0] in FOREIGN_HTML:
+                return
+            if self.open[k][0] in FOREIGN:
+                self.pop_to(k)
+                return
+
     def handle_endtag(self, tag: str) -> None:
+        """Close the innermost open element of the tag, and with it what was left open in it, dropped or not.
+
+        Inside a dropped part, what the end tag reaches across is what browsers let it;
+        a stray one does not end what is around it.
+        """
+        dropped = self.dropped
         for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
+            name, away = self.open[k]
+            if name == tag or (tag in HEADINGS and name in HEADINGS):
                 if not self.dropped:
                     self.lines[-1][2] += 1
                 self.pop_to(k)
                 return
-            # A stray end tag inside a dropped part or a table cell does not end what is around it.
-            if self.open[k][1] or (self.open[k][0] in ("td", "th", "table") and tag not in BLOCKS):
+            if dropped:
+                if tag in ("body", "html"):
+                    stops = False
+                elif tag in TABLE_PARTS:
+                    stops = name in ("table", "template")
+                elif tag not in CLOSED:
+                    stops = name in CLOSED and name not in ("option", "optgroup")
+                else:
+                    stops = name in CELLS or (tag == "li" and name in ("ul", "ol")) or (tag == "p" and name == "button")
+            else:  # a stray end tag inside a table cell does not end what is around it
+                stops = name in ("td", "th", "table") and tag not in BLOCKS
+            if stops:
                 return
+            dropped -= away
 
     def handle_data(self, data: str) -> None:
         if self.dropped:
