@@ -1,3 +1,4 @@
+import hashlib
 import json
 import random
 import subprocess
@@ -73,6 +74,21 @@ def test_very_deep_thread(spark):
     assert last.depth == 1499 and len(last.path) == 1499
 
 
+def test_very_deep_thread_keeps_its_raw_nodes(spark):
+    """Nodes whose replies are too deep for the library keep their text, with lists, escapes and numbers as they are."""
+    opening = '{"kind": "t1", "data": {"id": "n%d", "body": "\u00e9 \\"q\\"", "n": [1.0, null, true, {}], "replies": {"data": {"children": ['
+    levels = 3000
+    node_text = "".join(opening % i for i in range(levels)) + "]}}}}" * levels
+    starts = [0]
+    for i in range(levels - 1):
+        starts.append(starts[-1] + len(opening % i))
+    want = (node_text[s : len(node_text) - 5 * i] for i, s in enumerate(starts))
+    rows = tree_nodes(flat(spark, '{"data": [%s, {"kind": "t1", "data": {"id": "z"}}]}' % node_text, keep_raw=True))
+    got = rows.select("pos", F.length("raw").alias("n"), F.sha2("raw", 256).alias("h")).orderBy("pos").collect()
+    assert len(got) == levels + 1 and got[-1].n == len('{"kind": "t1", "data": {"id": "z"}}')
+    assert [(r.n, r.h) for r in got[:-1]] == [(len(w), hashlib.sha256(w.encode()).hexdigest()) for w in want]
+
+
 def random_tree(rng, size):
     """Nested payload and the flat rows it must give."""
     children = {None: []}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from json.decoder import scanstring
 
 import pyarrow as pa
@@ -41,7 +41,7 @@ _FLAT_ARROW = pa.schema(
 def _path_id(data: dict) -> str | None:
     """Ancestor id as it appears in a path: trimmed, without its kind prefix."""
     value = data.get("id")
-    text = value if isinstance(value, str) else None if value is None else json.dumps(value)
+    text = value if isinstance(value, str) else None if value is None else _dump(value, True)
     text = (text or "").strip()
     return (text[3:] if text[:3] in ("t1_", "t3_") else text) or None
 
@@ -77,12 +77,66 @@ def _without_replies(node: dict) -> dict:
     return {**node, "data": {k: v for k, v in data.items() if k != "replies"}}
 
 
-def _raw(node: dict) -> str | None:
-    """The node with its replies, or null where these are too deep to be written by the library."""
+def _dump(value, ascii_only: bool = False) -> str:
+    """JSON text of a value of any depth, as the library writes it."""
     try:
-        return _storable(json.dumps(node, ensure_ascii=False))
+        return json.dumps(value, ensure_ascii=ascii_only)
     except RecursionError:
-        return None
+        return _dump_deep(value, {}, ascii_only)
+
+
+def _dump_deep(value, places: dict[int, slice], ascii_only: bool = False) -> str:
+    """JSON text of a value with an explicit stack, for values too deep for the library's own writer.
+
+    ``places`` gets the part of the text that each object is, by its ``id``.
+    """
+    out: list[str] = []
+    at = 0
+    stack: list = [iter((("", value),))]  # per open list or object: what is left of it, each with the text before it
+    opened: list = [("", None, 0)]  # its end mark, itself, its start
+    while stack:
+        entry = next(stack[-1], None)
+        if entry is None:
+            stack.pop()
+            piece, whole, start = opened.pop()
+            if piece == "}":
+                places[id(whole)] = slice(start, at + 1)
+        else:
+            piece, item = entry
+            if isinstance(item, dict):
+                opened.append(("}", item, at + len(piece)))
+                piece += "{"
+                stack.append((f"{', ' if i else ''}{json.dumps(k, ensure_ascii=ascii_only)}: ", v) for i, (k, v) in enumerate(item.items()))
+            elif isinstance(item, list):
+                opened.append(("]", None, 0))
+                piece += "["
+                stack.append((", " if i else "", v) for i, v in enumerate(item))
+            else:
+                piece += json.dumps(item, ensure_ascii=ascii_only)
+        out.append(piece)
+        at += len(piece)
+    return "".join(out)
+
+
+def _raws() -> Callable[[dict, int], str]:
+    """A function of a tree's nodes and depths in pre-order that gives each node's text with its replies.
+
+    Where a node is too deep for the library, its top node is written once and the nodes below are parts of that text.
+    """
+    top, places = "", {}
+
+    def raw(node: dict, depth: int) -> str:
+        nonlocal top, places
+        if depth and top:
+            return _storable(top[places[id(node)]])
+        try:
+            top, places = "", {}
+            return _storable(json.dumps(node, ensure_ascii=False))
+        except RecursionError:
+            top = _dump_deep(node, places)
+            return _storable(top)
+
+    return raw
 
 
 def _storable(text: str) -> str:
@@ -176,9 +230,10 @@ def _flatten_batches(keep_raw: bool):
                 if error:
                     rows.append((post_id, None, None, None, None, None, None, error))
                     continue
+                raws = _raws()
                 for pos, (node, depth, path, ords) in enumerate(_walk(nodes)):
-                    raw = _raw(node) if keep_raw else None
-                    text = _storable(json.dumps(_without_replies(node), ensure_ascii=False))
+                    raw = raws(node, depth) if keep_raw else None
+                    text = _storable(_dump(_without_replies(node)))
                     rows.append((post_id, pos, depth, tuple(map(_storable, path)), ords, text, raw, None))
                     size += len(text) + len(raw or "") + 16 * depth
                     if len(rows) >= _ROWS_PER_BATCH or size >= _CHARS_PER_BATCH:
