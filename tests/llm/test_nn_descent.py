@@ -40,6 +40,21 @@ def test_copies_ties_and_lengths(spark):
     assert [got[0][k] for k in range(1, 21)] == want[0] or len(set(got[0].values()) & set(want[0])) >= 19
 
 
+def test_very_long_vectors(spark):
+    """A few very long vectors, and a few short ones, do not cost the others their neighbours."""
+    r = np.random.default_rng(3)
+    x = r.normal(size=(1600, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[[3, 7, 40]] *= [[1e4], [1e9], [1e4]]
+    x[800:850] *= 1e-3
+    rows = list(enumerate(x.tolist()))
+    got, want = {}, brute(rows)
+    for y in nn_descent.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(y.query_id, set()).add(y.vec_id)
+    hit = [len(got[q] & set(want[q])) / 20 for q in want]
+    assert sum(hit) >= 0.9 * len(want) and min(hit) >= 0.5
+
+
 def test_odd_rows(spark):
     rows = [
         (0, [1.0, 0.0], "a"), (1, [0.5, 0.5], "a"), (1, [0.5, 0.5], "a"), (2, None, "a"), (3, [0.0, 0.0], "a"), (4, [float("nan"), 1.0], "a"),

@@ -5,7 +5,9 @@ projections, and each round joins every node's neighbours, forward and reverse,
 with each other: neighbours of neighbours are likely neighbours.  Queries walk the
 graph from an entry, always expanding the best nodes that they have not expanded.
 Vectors are drawn out to one length with one more component, so that the largest
-inner product is the nearest vector and a neighbour graph is worth walking.
+inner product is the nearest vector and a neighbour graph is worth walking.  That
+length is one per band of norms: each band has a graph of its own and a query walks
+all of them, so a few very long vectors do not flatten the rest.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 class Settings:
     """``neighbours`` kept per node (at least the number asked for), ``reverse`` ones sampled per round, ``offers`` that
     a local join makes to one node at most, ``trees`` and ``leaf`` of the first graph, ``least_change`` of all edges at
-    which rounds end, ``beam`` of the search."""
+    which rounds end, ``beam`` of the search, ``entries`` of a query into a band of norms that it is not in."""
 
     neighbours: int = 40
     reverse: int = 24
@@ -40,6 +42,7 @@ class Settings:
     least_change: float = 0.01
     max_rounds: int = 12
     beam: int = 32
+    entries: int = 64
     seed: int = 5
 
 
@@ -56,27 +59,57 @@ def usable(vectors: DataFrame) -> DataFrame:
     return v.filter(F.size("vector") == (length["n"] if length else 0)).distinct()
 
 
-def _leaves(depth: int, s: Settings, mean: np.ndarray, longest: float):
-    """Arrow batches of ``(node, vector)`` -> ``(node, short, tree, code, along)``: one row per tree."""
+#: Norms of a band differ by less than this factor.
+BAND = 4.0
+
+
+def _norm() -> F.Column:
+    """The length of ``vector``, from components that are divided by the largest: squares neither overflow nor vanish."""
+    most = F.array_max(F.transform("vector", lambda x: F.abs(x)))
+    return most * F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + (x / most) * (x / most)))
+
+
+def banded(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with ``norm`` and ``band``, 0 for the longest."""
+    sized = nodes.withColumn("norm", _norm())
+    longest = sized.agg(F.max("norm")).first()[0] or 1.0
+    # A difference of logarithms: the quotient of two norms may be too large for a double.
+    return sized.withColumn("band", F.floor((F.lit(math.log(longest)) - F.log("norm")) / math.log(BAND) + 1e-9).cast("int"))
+
+
+@dataclass(frozen=True)
+class Band:
+    """What the first graph needs to know of a band: how often to halve it, its longest norm, its middle direction."""
+
+    depth: int
+    longest: float
+    middle: np.ndarray
+
+
+def _leaves(bands: dict[int, Band], s: Settings):
+    """Arrow batches of ``(node, vector, band)`` -> ``(node, short, band, tree, code, along)``: one row per tree."""
     rng = np.random.default_rng(s.seed)
-    planes = rng.standard_normal((s.trees, depth + 1, len(mean)))
+    planes = rng.standard_normal((s.trees, max(b.depth for b in bands.values()) + 1, len(next(iter(bands.values())).middle)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            if not n:
+            if not batch.num_rows:
                 continue
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, -1) / longest
-            extra = np.sqrt(np.maximum(1 - (x * x).sum(1), 0))
-            short = np.concatenate([x, extra[:, None]], 1).astype(np.float16)
-            for t in range(s.trees):
-                side = (x - mean) @ planes[t].T
-                code = (side[:, :depth] > 0) @ (1 << np.arange(depth, dtype=np.int64)) if depth else np.zeros(n, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([r.tobytes() for r in short], pa.binary()), pa.array([t] * n, pa.int32()),
-                     pa.array(code, pa.int64()), pa.array(side[:, depth], pa.float64())],
-                    ["node", "short", "tree", "code", "along"],
-                )
+            vectors = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            nodes, member = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
+            for number in np.unique(member):
+                band, rows = bands[int(number)], np.flatnonzero(member == number)
+                n, depth, x = len(rows), band.depth, vectors[rows] / band.longest
+                extra = np.sqrt(np.maximum(1 - (x * x).sum(1), 0))
+                short = np.concatenate([x, extra[:, None]], 1).astype(np.float16)
+                for t in range(s.trees):
+                    side = (x - band.middle) @ planes[t].T
+                    code = (side[:, :depth] > 0) @ (1 << np.arange(depth, dtype=np.int64)) if depth else np.zeros(n, np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(nodes[rows]), pa.array([r.tobytes() for r in short], pa.binary()), pa.array(member[rows], pa.int32()), pa.array([t] * n, pa.int32()),
+                         pa.array(code, pa.int64()), pa.array(side[:, depth], pa.float64())],
+                        ["node", "short", "band", "tree", "code", "along"],
+                    )
 
     return run
 
@@ -161,29 +194,28 @@ def _reverse(graph: DataFrame, most: int, salt: int) -> DataFrame:
 
 
 def neighbour_graph(nodes: DataFrame, scratch: Scratch, s: Settings = Settings()) -> DataFrame:
-    """``(node, vector)`` with distinct nodes and vectors -> ``GRAPH``: the nearest neighbours found for each node.
+    """``(node, vector, norm, band)`` with distinct nodes and vectors -> ``GRAPH``: the nearest neighbours found for each node in its band.
 
-    A node's row carries its vector in short floats; a local join looks at no more
+    A node's row carries its vector in short floats, in units of its band; a local join looks at no more
     than ``neighbours + reverse + 1`` of them.
     """
-    size = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
-    figures = nodes.agg(F.count("*").alias("n"), F.max(size).alias("longest"), F.first(F.size("vector")).alias("d")).first()
-    if not figures["n"]:
+    figures = nodes.groupBy("band").agg(F.count("*").alias("n"), F.max("norm").alias("longest"), F.first(F.size("vector")).alias("d")).collect()
+    if not figures:
         return nodes.sparkSession.createDataFrame([], GRAPH)
-    depth = max(0, math.ceil(math.log2(figures["n"] / s.leaf)))
-    middle = nodes.agg(*(F.avg(F.col("vector")[k] / figures["longest"]) for k in range(figures["d"]))).first()
-    placed = nodes.select("node", "vector").mapInArrow(
-        _leaves(depth, s, np.array(middle, float), figures["longest"]), "node bigint, short binary, tree int, code bigint, along double"
-    )
+    # In units of a vector's own length means neither overflow nor vanish.
+    means = nodes.groupBy("band").agg(*(F.avg(F.col("vector")[k] / F.col("norm")).alias(f"m{k}") for k in range(figures[0]["d"]))).collect()
+    middle = {m["band"]: np.array(m[1:], float) for m in means}
+    bands = {f["band"]: Band(max(0, math.ceil(math.log2(f["n"] / s.leaf))), f["longest"], middle[f["band"]]) for f in figures}
+    placed = nodes.select("node", "vector", "band").mapInArrow(_leaves(bands, s), "node bigint, short binary, band int, tree int, code bigint, along double")
     placed = scratch.write(placed, "placed")
     # A leaf of any size is cut into runs of ``leaf`` nodes along one more direction.
-    along = Window.partitionBy("tree", "code").orderBy("along", "node")
+    along = Window.partitionBy("band", "tree", "code").orderBy("along", "node")
     run = F.floor((F.row_number().over(along) - 1) / s.leaf)
     member = F.struct(F.col("node").alias("id"), "short", F.lit(float("-inf")).cast("float").alias("least"), F.lit(True).alias("fresh"))
-    leaves = placed.withColumn("run", run).groupBy("tree", "code", "run").agg(F.collect_list(member).alias("members"))
+    leaves = placed.withColumn("run", run).groupBy("band", "tree", "code", "run").agg(F.collect_list(member).alias("members"))
     empty = placed.filter("tree = 0").select("node", "short", *(F.array().cast(f"array<{k}>").alias(c) for c, k in (("ids", "bigint"), ("nears", "float"))))
     graph = scratch.write(_improved(leaves, empty, s.neighbours, s.neighbours), "graph")
-    edges = figures["n"] * min(s.neighbours, figures["n"] - 1)
+    edges = sum(f["n"] * min(s.neighbours, f["n"] - 1) for f in figures)
     for number in range(s.max_rounds):
         ahead = graph.select("node", F.explode(F.arrays_zip("ids", "fresh")).alias("e")).select("node", F.col("e.ids").alias("id"), F.col("e.fresh").alias("fresh"))
         itself = graph.select("node", F.col("node").alias("id"), F.lit(False).alias("fresh"))
@@ -200,9 +232,9 @@ def neighbour_graph(nodes: DataFrame, scratch: Scratch, s: Settings = Settings()
 
 
 def _near_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A query's short vector and a list of nodes with theirs -> ``(query, node, near)``."""
+    """A query's short vector and a list of nodes of one band with theirs -> ``(query, band, node, near)``."""
     for batch in batches:
-        queries, shorts, lists = (batch.column(batch.schema.get_field_index(c)) for c in ("query", "q", "reached"))
+        queries, bands, shorts, lists = (batch.column(batch.schema.get_field_index(c)) for c in ("query", "band", "q", "reached"))
         flat = lists.flatten()
         if not len(flat):
             continue
@@ -211,8 +243,8 @@ def _near_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = np.frombuffer(b"".join(flat.field("short").to_pylist()), np.float16).reshape(len(flat), -1).astype(np.float32)
         # The last component only levels lengths; against a query it must not count.
         near = np.einsum("ij,ij->i", np.repeat(q[:, :-1], n, axis=0), v[:, :-1])
-        ids = np.repeat(queries.to_numpy(zero_copy_only=False), n)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), flat.field("node"), pa.array(near, pa.float32())], ["query", "node", "near"])
+        ids, member = (pa.array(np.repeat(c.to_numpy(zero_copy_only=False), n)) for c in (queries, bands))
+        yield pa.RecordBatch.from_arrays([ids, member, flat.field("node"), pa.array(near, pa.float32())], ["query", "band", "node", "near"])
 
 
 def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,26 +260,26 @@ def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def greedy_search(entries: DataFrame, queries: DataFrame, nodes: DataFrame, graph: DataFrame, scratch: Scratch, most: int, s: Settings = Settings()) -> DataFrame:
     """``(query, node, score)``: the ``most`` best nodes that each query met on its walk, with exact scores.
 
-    ``queries``: ``(query, q)`` with nodes of the graph; ``entries``: ``(query, node)`` to
-    start from.  A round expands, for each query, all nodes among its best ``beam``
+    ``queries``: ``(query, q)`` with nodes of the graph; ``entries``: ``(query, band, node)`` to
+    start from.  A round expands, for each query and band, all nodes among its best ``beam``
     that it has not expanded; the walk ends when there is none.  It goes by short
-    vectors; twice as many as asked for are then scored exactly.
+    vectors; of each band twice as many as asked for are then scored exactly.
     """
     shorts = graph.select("node", "short")
     asked = scratch.write(queries.select("query").join(shorts.select(F.col("node").alias("query"), F.col("short").alias("q")), "query"), "asked")
 
     def scored(pairs: DataFrame) -> DataFrame:
-        reached = pairs.join(shorts, "node").groupBy("query").agg(F.collect_list(F.struct("node", "short")).alias("reached"))
-        return reached.join(asked, "query").select("query", "q", "reached").mapInArrow(_near_scores, "query bigint, node bigint, near float")
+        reached = pairs.join(shorts, "node").groupBy("query", "band").agg(F.collect_list(F.struct("node", "short")).alias("reached"))
+        return reached.join(asked, "query").select("query", "band", "q", "reached").mapInArrow(_near_scores, "query bigint, band int, node bigint, near float")
 
     met = scratch.write(scored(entries).withColumn("expanded", F.lit(False)), "met")
-    best = Window.partitionBy("query").orderBy(F.desc("near"), "node")
+    best = Window.partitionBy("query", "band").orderBy(F.desc("near"), "node")
     while True:
         ranked = met.withColumn("rank", F.row_number().over(best))
-        now = ranked.filter((F.col("rank") <= s.beam) & ~F.col("expanded")).select("query", "node")
+        now = ranked.filter((F.col("rank") <= s.beam) & ~F.col("expanded")).select("query", "band", "node")
         if not now.limit(1).count():
             break
-        reached = now.join(graph.select("node", "ids"), "node").select("query", F.explode("ids").alias("node")).distinct()
+        reached = now.join(graph.select("node", "ids"), "node").select("query", "band", F.explode("ids").alias("node")).distinct()
         fresh = scored(reached.join(met.select("query", "node"), ["query", "node"], "left_anti")).withColumn("expanded", F.lit(False))
         marked = ranked.withColumn("expanded", F.col("expanded") | (F.col("rank") <= s.beam)).drop("rank")
         met = scratch.write(marked.unionByName(fresh), "met")
@@ -257,6 +289,22 @@ def greedy_search(entries: DataFrame, queries: DataFrame, nodes: DataFrame, grap
     return exact.withColumn("place", F.rank().over(Window.partitionBy("query").orderBy(F.desc("score")))).filter(F.col("place") <= most).drop("place")
 
 
+def _entries(sample: list[tuple[int, int]]):
+    """Queries ``(query, band)`` -> ``(query, band, node)``: itself in its own band, the ``(band, node)`` of the sample in the others."""
+    bands, nodes = np.array(sample, np.int64).reshape(-1, 2).T
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            queries, own = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            columns = [(queries, own, queries)]
+            columns += [(np.full((bands != b).sum(), q), bands[bands != b], nodes[bands != b]) for q, b in zip(queries, own)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([c[k] for c in columns]), kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.int64()))], ["query", "band", "node"]
+            )
+
+    return run
+
+
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, s: Settings = Settings()) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` rows of largest inner product found for each query.
 
@@ -268,14 +316,17 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, s: Settings = Sett
     """
     scratch = Scratch(vectors.sparkSession, "neighbours")
     rows = scratch.write(usable(vectors), "rows")
-    nodes = scratch.write(rows.groupBy("vector").agg(F.min("vec_id").alias("node")), "nodes")
+    nodes = scratch.write(banded(scratch.write(rows.groupBy("vector").agg(F.min("vec_id").alias("node")), "distinct")), "nodes")
     named = scratch.write(rows.join(nodes, "vector").select("vec_id", "node"), "named")
     graph = neighbour_graph(nodes, scratch, s)
     asked = named.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.col("node").alias("query"))
     # Queries with equal vectors walk once, from their own node.
     starts = asked.select("query").distinct()
-    queries = scratch.write(starts.join(nodes.withColumnRenamed("node", "query"), "query").select("query", F.col("vector").alias("q")), "queries")
-    near = greedy_search(starts.select("query", F.col("query").alias("node")), queries, nodes, graph, scratch, k + 1, s)
+    queries = scratch.write(starts.join(nodes.withColumnRenamed("node", "query"), "query").select("query", F.col("vector").alias("q"), "band"), "queries")
+    some = Window.partitionBy("band").orderBy(F.xxhash64("node", F.lit(s.seed)))
+    sample = nodes.withColumn("rank", F.row_number().over(some)).filter(F.col("rank") <= s.entries).select("band", "node").collect()
+    entries = queries.select("query", "band").mapInArrow(_entries([tuple(r) for r in sample]), "query bigint, band int, node bigint")
+    near = greedy_search(entries, queries.select("query", "q"), nodes.select("node", "vector"), graph, scratch, k + 1, s)
     first = Window.partitionBy("node").orderBy("vec_id")
     copies = named.withColumn("copy", F.row_number().over(first)).filter(F.col("copy") <= k + 1).drop("copy")
     answers = asked.join(near, "query").join(copies, "node").filter("vec_id != query_id")
