@@ -43,6 +43,17 @@ def test_link_lists_in_an_article():
     assert "one" not in main_text(page) and main_text(page).count("\n\n") == 3
 
 
+def test_link_lists_that_belong_to_the_article():
+    """In the text, under a heading or after a colon; a menu before the text goes."""
+    text = "Long text of the article, a whole line. " * 3
+    links = "<ul><li><a>one</a><li><a>two</a><li><a>three</a></ul>"
+    t, listed = text.strip(), "one\n\ntwo\n\nthree"
+    assert main_text(f"<article><p>{text}</p>{links}<p>{text}</p></article>") == f"{t}\n\n{listed}\n\n{t}"
+    assert main_text(f"<article><p>{text}</p><p>{text}</p><h2>Sources</h2>{links}</article>") == f"{t}\n\n{t}\n\nSources\n\n{listed}"
+    assert main_text(f"<article><p>{text}</p><p>Read for this:</p>{links}</article>") == f"{t}\n\nRead for this:\n\n{listed}"
+    assert main_text(f"<article>{links}<p>{text}</p><p>{text}</p></article>") == f"{t}\n\n{t}"
+
+
 def test_teaser_articles_beside_the_main_text():
     """The text stands in a <div>; <article> holds cards, also when the page has a <main>."""
     text = [f"Paragraph {i} of the main text, which says what there is to be said. " * 4 for i in range(6)]

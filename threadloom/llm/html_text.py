@@ -13,6 +13,7 @@ becomes a line.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import sys
@@ -90,7 +91,7 @@ def _named_away(tag: str, attributes: dict) -> bool:
 
 
 class Lines(HTMLParser):
-    """Collects ``lines`` of ``[text parts, link characters, tags, container, article]`` from parser events.
+    """Collects ``lines`` of ``[text parts, link characters, tags, heading, container, article]`` from parser events.
 
     The article is the outermost <article>, in none the innermost <main>, in neither 0; ``within`` has the one around each.
     """
@@ -107,7 +108,8 @@ class Lines(HTMLParser):
         self.new_line()
 
     def new_line(self) -> None:
-        self.lines.append([[], 0, 0, self.containers[-1], self.around[-1]])
+        heading = bool(self.open) and self.open[-1][0] in HEADINGS
+        self.lines.append([[], 0, 0, heading, self.containers[-1], self.around[-1]])
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if self.foreign and tag in BREAKOUT:
@@ -286,11 +288,16 @@ def main_text(html: str | None) -> str:
     for article, _ in list(regions):  # a chosen article chooses what stands beside it in the same <main>
         while article := parser.within[article]:
             regions.add((article, 0))
-    kept = []
-    for k, (text, *_) in enumerate(lines):
-        among_links = link_line[k] and not content[k] and any(link_line[j] for j in (k - 1, k + 1) if 0 <= j < len(lines))
-        if places[k] in regions and not among_links:
-            kept.append(text)
+    inside = [k for k, place in enumerate(places) if place in regions]
+    kept: list[str] = []
+    for listed, run in itertools.groupby(inside, lambda k: link_line[k] and not content[k]):
+        run = list(run)
+        first, last = run[0] == inside[0], run[-1] == inside[-1]
+        named = not first and (lines[before][3] or lines[before][0].endswith(":"))
+        before = run[-1]
+        # Menus stand before the text and links to other pages after it; a list in the text or under a heading is part of it.
+        if not (listed and len(run) > 1 and (first or last) and not named):
+            kept += (lines[k][0] for k in run)
     return "\n\n".join(kept)
 
 
