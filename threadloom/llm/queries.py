@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threadloom.llm import bpe, chat, html_text, mixture, nn_descent, order_minhash, quality, secret_scan, shards, url_rules
+from threadloom.llm import (
+    bpe, chat, html_text, mixture, nn_descent, order_minhash, quality, repair, secret_scan, shards, toxicity, url_rules, whitening,
+)
 from threadloom.llm.common import Scratch, shared_folder, table
+from threadloom.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -144,13 +147,15 @@ def _quality_sql(limits: quality.Limits = quality.Limits()) -> str:
 
     return rf"""
     WITH a AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t,
-                      regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS ws FROM documents),
+                      regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS ws FROM documents),
     s0 AS (SELECT *, array_to_string(ws, '') AS x0 FROM a){chain},
     wins AS (SELECT rid, i, ws[i:i + 4] AS k FROM a, UNNEST(range(1, len(ws) - 3)) u(i) WHERE len(ws) >= 5),
     twice AS (SELECT rid, i FROM (SELECT *, count(*) OVER (PARTITION BY rid, k) AS c FROM wins) WHERE c > 1),
     covered AS (SELECT rid, count(DISTINCT i + d) AS n FROM twice, UNNEST(range(0, 5)) v(d) GROUP BY rid),
     lines AS (SELECT rid, count(*) - count(DISTINCT l) AS n FROM a, UNNEST(string_split(t, chr(10))) v(l)
-              WHERE regexp_matches(l, '[^ 	-]') GROUP BY rid),
+              WHERE regexp_matches(l, '[^ 	-
+]') GROUP BY rid),
     figures AS (SELECT rid, doc_id, lang, t, ws, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(x0) AS BIGINT) AS word_chars,
                        CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
                        CAST(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words,
@@ -229,3 +234,94 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.token_digests(docs, public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)
+
+
+@query
+def op11_levenshtein_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels that are not held out."""
+    docs = table(configure(spark), sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fitted(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+@query
+def op12_parallel_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged by the checksums of its rows, with its faults and cheapest repair."""
+    turns = table(configure(spark), sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.repair_rows(repair.in_order(repair.damage(turns)), turns)
+
+
+def _repair_sql() -> str:
+    crc = """xor(4294967295, list_reduce(list_transform(range(1, length(k) + 1), lambda i: CAST(ascii(substr(k, i, 1)) AS BIGINT)),
+        lambda c, b: list_reduce(range(0, 8), lambda d, i: xor(d >> 1, CASE WHEN d & 1 = 1 THEN 3988292384 ELSE 0 END), xor(c, b)),
+        CAST(4294967295 AS BIGINT)))"""
+
+    def path(state: str, cost: str, letter: str, line: str | None) -> str:
+        out = f"{state}.o" if line is None else f"list_append({state}.o, {line})"
+        return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 'o': {out}}}"
+
+    def best(*paths: str) -> str:
+        # Costs first, then audits; equal audits have equal lines.
+        return f"list_min([{', '.join(paths)}])"
+
+    def insert(state: str) -> str:
+        return path(state, "5", "I", "'user:'" if state != "s.u" else "'assistant:'")
+
+    # Rows are inserted first: a user row, then an assistant row behind a user row that may itself be inserted.
+    fill = f"""list_transform([s], lambda s: {{'n': s.n, 's': s.s, 'a': s.a, 'u': {best("s.u", *(insert(f"s.{x}") for x in "nsa"))}}})[1]"""
+    fill = f"""list_transform([{fill}], lambda s: {{'n': s.n, 's': s.s, 'u': s.u, 'a': {best("s.a", insert("s.u"))}}})[1]"""
+
+    def kept(state: str, initial: str) -> str:
+        free = f"CASE WHEN x.i = '{initial}' AND x.f NOT IN ('b', 'd') THEN 0 ELSE 1000000 END + CASE WHEN x.f = 't' THEN 5 ELSE 0 END"
+        return path(state, free, "K", "x.r || ':' || x.t")
+
+    def reroled(state: str, role: str) -> str:
+        free = "CASE WHEN x.f NOT IN ('b', 'd') THEN 1 ELSE 1000000 END + CASE WHEN x.f = 't' THEN 5 ELSE 0 END"
+        return path(state, free, "R", f"'{role}:' || x.t")
+
+    def deleted(state: str) -> str:
+        return path(state, "2", "D", None)
+
+    row = f"""list_transform([{fill}], lambda s: {{
+        'n': {deleted("s.n")}, 's': {best(deleted("s.s"), kept("s.n", "s"))},
+        'u': {best(deleted("s.u"), *(kept(f"s.{x}", "u") for x in "nsa"), *(reroled(f"s.{x}", "user") for x in "nsa"))},
+        'a': {best(deleted("s.a"), kept("s.u", "a"), reroled("s.u", "assistant"))}}})[1]"""
+    start = ", ".join(f"'{x}': {{'c': {0 if x == 'n' else 1000000}, 'a': '', 'o': CAST([] AS VARCHAR[])}}" for x in "nsua")
+    return rf"""
+    WITH k AS (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k,
+                      coalesce(role, ' ') AS r0, coalesce(text, ' ') AS t0 FROM conversations),
+    d AS (SELECT *, ({crc}) % 20 AS fault FROM k),
+    rows_ AS (SELECT conv_id, turn, r0, t0, copy, CASE WHEN fault = 4 THEN 'user' ELSE r0 END AS r,
+                     CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(t0, '[.!?]', '', 'g') ELSE t0 END AS t
+              FROM d, UNNEST(range(0, CASE WHEN fault = 3 THEN 2 ELSE 1 END)) v(copy) WHERE fault <> 0),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r0, t0, copy) AS pos,
+                      CASE WHEN substr(r, 1, 1) IN ('s', 'u', 'a') THEN substr(r, 1, 1) ELSE 'o' END AS i,
+                      regexp_extract(t, '([^ 	-
+])[ 	-
+]*$', 1) AS e FROM rows_),
+    marked AS (SELECT *, CASE WHEN e = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, r, t ORDER BY pos) > 1 THEN 'd'
+                              WHEN e NOT IN ('.', '!', '?') THEN 't' ELSE '.' END AS f,
+                      lag(i) OVER (PARTITION BY conv_id ORDER BY pos) AS earlier FROM placed),
+    convs AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 'b') AS blank,
+                     count(*) FILTER (f = 'd') AS duplicate, count(*) FILTER (f = 't') AS truncated,
+                     count(*) FILTER (earlier || i NOT IN ('su', 'ua', 'au')) AS illegal,
+                     list({{'i': i, 'f': f, 'r': r, 't': t}} ORDER BY pos) AS xs FROM marked GROUP BY conv_id),
+    reached AS (SELECT *, list_reduce(xs, lambda s, x: {row}, {{{start}}}) AS s FROM convs),
+    ended AS (SELECT *, list_min([s.n, ({fill}).a]) AS p FROM reached)
+    SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+           coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(p.c, 0) AS cost, coalesce(p.a, '') AS audit,
+           sha256(coalesce(array_to_string(p.o, chr(10)), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM i.conv_id
+    """
+
+
+sql("op12_parallel_viterbi", _repair_sql())
+
+
+@query
+def op13_bit_sliced_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the whitened components of the table."""
+    return whitening.whiten(table(configure(spark), sf_dir, "embeddings").select("vec_id", "embedding"))
