@@ -9,7 +9,9 @@ from threadloom.operators.progress import pending_posts
 from threadloom.sources.store import Store
 from threadloom.operators.collections import migratable
 from threadloom.streaming.collection import CollectionError, copy_old_progress, current, reset, resume, start
+from threadloom.streaming.arrival import known_arrivals
 from threadloom.streaming.ingest import (
+    IngestResult,
     ingest_batches,
     ingest_both,
     ingest_comments,
@@ -158,14 +160,99 @@ def test_tree_lines_that_are_no_lines_are_kept_apart(site):
     assert [r.comment_id for r in site.store.read("comments").collect()] == ["c"]
 
 
+def stateful(site, **kw):
+    return ingest_posts_stateful(site.store, str(site.root / "pages"), "r", str(site.root / "p"), **{"files_per_batch": 1, **kw})
+
+
 def test_stateful_dedup(site):
-    run = lambda: ingest_posts_stateful(site.store, str(site.root / "pages"), "r", str(site.root / "p"), files_per_batch=1)
     site.land("a", "b", None, None)
     site.land("b", "c", None)
-    run()
+    stateful(site)
     site.land("c", "a", "d")
-    run()
+    stateful(site)
     assert site.ids() == ["None"] * 3 + ["a", "b", "c", "d"]
+    check = site.agree()
+    assert check.counts_agree and check.ids_agree
+    known = known_arrivals(site.spark, str(site.root / "p")).collect()
+    assert {(r.id, r.page) for r in known} == {(i, f"page-{n:04d}.json") for i, n in (("a", 1), ("b", 1), ("c", 2), ("d", 3))}
+
+
+def kept(site):
+    rows = site.store.read("posts", "r").select("id", "page", "created_utc").collect()
+    return {r.id: (r.page, r.created_utc) for r in rows}
+
+
+def test_first_of_differing_copies_is_kept(site):
+    """Copies differ inside a page, inside a batch and between batches."""
+    site.land("a", "b", "a")
+    site.land("b", "c", "c")
+    site.land("c", "d")
+    stateful(site, files_per_batch=2)
+    site.land("d", "e")
+    stateful(site)
+    want = {"a": (1, 0), "b": (1, 1), "c": (2, 1), "d": (3, 1), "e": (4, 1)}
+    assert kept(site) == {i: (f"page-{n:04d}.json", float(t)) for i, (n, t) in want.items()}
+
+
+def test_pages_in_lines_keep_their_order(site):
+    page = lambda *posts: json.dumps({"data": [{"id": i, "created_utc": t} for i, t in posts]})
+    (site.root / "pages").mkdir()
+    lines = [page(("x", n), (f"y{n}", n)) for n in range(300)]
+    (site.root / "pages" / "b.json").write_text("\n".join(["no page", "", *lines]))
+    (site.root / "pages" / "a.json").write_text(page(("y7", -1)))
+    stateful(site, files_per_batch=None, page_per_line=True)
+    found = kept(site)
+    assert found["x"] == ("b.json", 0.0) and found["y7"] == ("a.json", -1.0) and len(found) == 301
+    bad = site.store.read("page_errors", "r").collect()
+    assert [(r.page, r.payload, r.page_error) for r in bad] == [("b.json", "no page", "not exactly one JSON object")]
+
+
+def test_stateful_cap_stop_and_raised_cap(site):
+    """The batch that goes beyond the cap stays open: with a higher cap, what was cut off comes without landing again."""
+    for ids in ("ab", "bcd", "ef"):
+        site.land(*ids)
+    assert stateful(site, should_stop=lambda: True) == IngestResult(1, True)
+    assert site.ids() == ["a", "b"]
+    assert stateful(site, max_posts=3) == IngestResult(0, False, True)
+    assert site.ids() == ["a", "b", "c"]
+    assert stateful(site, max_posts=3).capped and site.ids() == ["a", "b", "c"]
+    assert stateful(site, max_posts=5) == IngestResult(1, False, True)
+    assert site.ids() == ["a", "b", "c", "d", "e"]
+    assert stateful(site) == IngestResult(1, False)
+    assert site.ids() == list("abcdef") and site.agree().ids_unique
+
+
+def test_stateful_crash_after_the_writes(site, monkeypatch):
+    from threadloom.streaming import ingest as ingest_module
+
+    site.land("a", "b")
+    real = ingest_module.append_records
+
+    def dies(*args):
+        real(*args)
+        raise RuntimeError("driver gone")
+
+    monkeypatch.setattr(ingest_module, "append_records", dies)
+    with pytest.raises(Exception, match="driver gone"):
+        stateful(site)
+    monkeypatch.setattr(ingest_module, "append_records", real)
+    site.land("b", "c")
+    stateful(site)
+    assert site.ids() == ["a", "b", "c"] and site.agree().ids_unique
+
+
+def test_stateful_batches_read_nothing_that_is_stored(site, monkeypatch):
+    """So the cost of a batch does not follow the stored total."""
+    from threadloom.streaming.arrival import STATE_CONF
+
+    for n in range(12):
+        site.land(f"{n}", f"{n + 1}", f"own{n}")
+    reads, real = [], Store.read
+    monkeypatch.setattr(Store, "read", lambda self, *args: reads.append(args) or real(self, *args))
+    before = {k: site.spark.conf.get(k, None) for k in STATE_CONF}
+    assert stateful(site).batches == 12 and reads == []
+    assert stateful(site, max_posts=1).batches == 0 and {k: site.spark.conf.get(k, None) for k in STATE_CONF} == before
+    assert len(site.ids()) == 25
 
 
 def tree(*ids):

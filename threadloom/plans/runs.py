@@ -52,6 +52,7 @@ from threadloom.sources.documents import (
     read_posts_progress,
 )
 from threadloom.sources.store import Store, read_chunks, write_chunks
+from threadloom.streaming.arrival import known_arrivals
 from threadloom.streaming.ingest import ingest_comments, ingest_logs, ingest_posts, ingest_posts_stateful
 
 
@@ -820,16 +821,36 @@ def stream_posts(spark, sf_dir):
 
 @query("stream_ingest_stateful", _INGEST_SQL)
 def stream_posts_stateful(spark, sf_dir):
+    """Differing copies inside a page, between pages and between rounds: the first one stays.  The first round stops at a cap."""
     landed = _landing(spark)
     store = Store(spark, f"{landed}/store")
     pages = _event_pages(spark, sf_dir, F.col("user_id"))
-    for _ in range(2):  # every post with an id lands twice
-        pages.select("value").write.mode("append").text(f"{landed}/pages")
-        pages = pages.filter("event_type <> 'signup'")
-        ingest_posts_stateful(store, f"{landed}/pages", "run", f"{landed}/progress", page_per_line=True)
+    known = F.col("event_type") != "signup"
+    # The same post again in its own page, with another score, and a page that holds nothing.
+    twice = F.when(known, F.regexp_replace("value", r'(\{"id.*)\]\}$', r'$1,{"id":"QQ","score":-1}]}')).otherwise(F.col("value"))
+    doubled = pages.withColumn("value", F.replace(twice, F.lit("QQ"), F.regexp_extract("value", r'"id":"(e\d+)"', 1)))
+    again = _event_pages(spark, sf_dir, F.lit("-2")).filter(known)
+    for rows, cap in ((doubled, 100), (again, None)):
+        rows.select("value").write.mode("append").text(f"{landed}/pages")
+        ingest_posts_stateful(store, f"{landed}/pages", "run", f"{landed}/progress", max_posts=cap, page_per_line=True)
     return store.read("posts", "run").select("id", "subreddit", "score", "created_utc")
 
 
+@query(
+    "stream_first_arrivals",
+    """SELECT 'e' || event_id AS id, count(*) OVER () AS known FROM events WHERE event_type <> 'signup'""",
+)
+def stream_first_arrivals(spark, sf_dir):
+    """The ids that the state knows after two rounds, read from the checkpoint of the query."""
+    landed = _landing(spark)
+    store = Store(spark, f"{landed}/store")
+    for _ in range(2):
+        _event_pages(spark, sf_dir, F.col("user_id")).select("value").write.mode("append").text(f"{landed}/pages")
+        ingest_posts_stateful(store, f"{landed}/pages", "run", f"{landed}/progress", page_per_line=True)
+    arrivals = known_arrivals(spark, f"{landed}/progress")
+    return arrivals.join(arrivals.agg(F.count(F.lit(1)).alias("known"))).select("id", "known")
+
+
 @query(
     "stream_ingest_comments",
     """SELECT 'p' || event_id AS post_id, 'c' || event_id AS comment_id, 0 AS depth, CAST(user_id AS BIGINT) AS score FROM events

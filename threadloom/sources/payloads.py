@@ -33,21 +33,28 @@ def page_errors(pages: DataFrame, payload: str = "payload") -> DataFrame:
     return with_page_error(pages, payload).filter("page_error is not null")
 
 
-def explode_pages(pages: DataFrame, payload: str = "payload") -> DataFrame:
+def explode_pages(pages: DataFrame, payload: str = "payload", keep_errors: bool = False) -> DataFrame:
     """One row per post object of a search page: ``pos`` and verbatim ``value``.
 
-    An unusable page (see :func:`with_page_error`) fails the read; a page without
-    ``data`` is empty; items that are not objects are dropped, also strings that
-    look like one.
+    An unusable page (see :func:`with_page_error`) fails the read, or with
+    ``keep_errors`` gives one row with the payload as ``value`` and its
+    ``page_error``, which is null in other rows; a page without ``data`` is empty;
+    items that are not objects are dropped, also strings that look like one.
     """
     rest = [c for c in pages.columns if c not in (payload, "page_error")]
     checked = pages if "page_error" in pages.columns else with_page_error(pages, payload)
     typed = F.try_variant_get(F.try_parse_json(payload), "$.data", "array<variant>")
     verbatim = F.from_json(read_object(payload, "data string")["data"], "array<string>")
-    failure = F.raise_error(F.concat(F.lit("search page: "), "page_error")).cast("array<struct<value:string,kind:variant>>")
+    kind = "array<struct<value:string,kind:variant>>"
+    if keep_errors:
+        failure = F.array(F.struct(F.col(payload).alias("value"), F.lit(None).cast("variant").alias("kind"))).cast(kind)
+        rest, wanted = [*rest, "page_error"], F.col("page_error").isNotNull() | _is(F.col("item.kind"), "OBJECT")
+    else:
+        failure = F.raise_error(F.concat(F.lit("search page: "), "page_error")).cast(kind)
+        wanted = _is(F.col("item.kind"), "OBJECT")
     items = F.when(F.col("page_error").isNotNull(), failure).otherwise(F.arrays_zip(verbatim.alias("value"), typed.alias("kind")))
     return (
         checked.select(*rest, F.posexplode(items).alias("pos", "item"))
-        .filter(_is(F.col("item.kind"), "OBJECT"))
+        .filter(wanted)
         .select(*rest, "pos", F.col("item.value").alias("value"))
     )

@@ -20,12 +20,20 @@ from threadloom.operators.progress import done_ids
 from threadloom.sources.lines import parse_log_lines
 from threadloom.sources.payloads import explode_pages, with_page_error
 from threadloom.sources.store import Store, append_records, stored_keys
+from threadloom.streaming.arrival import STATE_CONF, first_arrivals
 
 
 @dataclass(frozen=True)
 class IngestResult:
+    """Batches that are done, whether the run was asked to stop, and whether it stopped at its cap."""
+
     batches: int
     stopped: bool
+    capped: bool = False
+
+
+#: What a handler returns when the cap cut its batch short: the batch stays open.
+_CAPPED = object()
 
 
 class _Stopped(Exception):
@@ -36,14 +44,17 @@ def _drain(stream: DataFrame, handle, checkpoint: str, should_stop: Callable[[],
     """Process everything that has landed, batch by batch, until done or asked to stop.
 
     A stop is honoured between batches: the finished batch is committed and the
-    next one is left untouched for a resume.
+    next one is left untouched for a resume.  A batch that a cap cuts short is not
+    committed: a resume reads it again, with the state from before it.
     """
-    done = {"batches": 0, "stop": False}
+    done = {"batches": 0, "stop": False, "capped": False}
 
     def run(batch: DataFrame, batch_id: int) -> None:
         if done["stop"]:
             raise _Stopped()
-        handle(batch, batch_id)
+        if handle(batch, batch_id) is _CAPPED:
+            done["stop"] = done["capped"] = True
+            raise _Stopped()
         done["batches"] += 1
         done["stop"] = bool(should_stop and should_stop())
 
@@ -59,7 +70,7 @@ def _drain(stream: DataFrame, handle, checkpoint: str, should_stop: Callable[[],
         # The query reports our own stop as a failed batch; anything else is real.
         if not done["stop"] or _Stopped.__name__ not in str(exc):
             raise
-    return IngestResult(done["batches"], done["stop"])
+    return IngestResult(done["batches"], done["stop"] and not done["capped"], done["capped"])
 
 
 # ------------------------------------------------------------------ posts
@@ -139,29 +150,54 @@ def ingest_posts_stateful(
     landing: str,
     run_id: str,
     checkpoint: str,
+    max_posts: int | None = None,
     files_per_batch: int | None = None,
     page_per_line: bool = False,
+    should_stop: Callable[[], bool] | None = None,
 ) -> IngestResult:
     """As :func:`ingest_posts`, with the known ids in the streaming state store.
 
-    Cost per batch follows the batch, not the stored total, so this is the way
-    for very long runs.  Which of several copies inside one batch is kept is not
-    defined; use it where copies are identical.  Posts without an id get a key
-    of their own, because null keys would all count as one.  A replayed batch
-    draws new such keys, which is harmless: its rows replace the earlier ones.
+    No stored row is read while it runs, so cost per batch follows the batch, not
+    the stored total: this is the way for long runs.  Of several copies, in one batch
+    or in many, the first by page, split and line is kept.  Posts without an id are
+    all kept.  Pages that cannot be used go to ``page_errors``.
+
+    At ``max_posts`` the run ends (``capped``): the batch that goes beyond keeps its
+    first posts and stays open, so with a higher cap the posts that were cut off are
+    taken up again, without landing again.
     """
-    items = with_post_key(explode_pages(page_stream(store.spark, landing, files_per_batch, page_per_line)))
-    own = F.concat(F.lit("\u0000"), F.uuid())
-    keyed = items.withColumn("key", F.coalesce(dedup_key("id"), own)).dropDuplicates(["key"])
+    pages = with_page_error(page_stream(store.spark, landing, files_per_batch, page_per_line))
+    arrived = first_arrivals(with_post_key(explode_pages(pages, keep_errors=True)).withColumn("id", F.when(F.col("page_error").isNull(), F.col("id"))))
+    order = [F.col("page"), F.col("block"), F.col("line")]
+    stored: dict[str, int] = {}
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.drop("key", "id").persist()
+    def handle(batch: DataFrame, batch_id: int):
+        rows = batch.persist()
         try:
-            append_records(rows, store, "posts", run_id, batch_id, [F.col("page"), F.col("block"), F.col("pos")])
+            bad = rows.filter("page_error is not null").select("page", F.col("value").alias("payload"), "page_error")
+            store.write_batch("page_errors", bad, run_id, batch_id)
+            fresh, capped = rows.filter("page_error is null").drop("id", "page_error"), False
+            if max_posts is not None:
+                if not stored:  # once per call; a batch that is read again does not count itself
+                    stored["n"] = store.read("posts", run_id).filter(F.col("batch_id") != batch_id).count()
+                n, room = fresh.count(), max(0, max_posts - stored["n"])
+                capped = n > room
+                fresh = fresh.orderBy(*order).limit(room) if capped else fresh
+                stored["n"] += min(n, room)
+            append_records(fresh, store, "posts", run_id, batch_id, order)
+            return _CAPPED if capped else None
         finally:
             rows.unpersist()
 
-    return _drain(keyed, handle, checkpoint, None)
+    conf = store.spark.conf
+    before = {k: conf.get(k, None) for k in STATE_CONF}
+    for k, v in STATE_CONF.items():
+        conf.set(k, v)
+    try:
+        return _drain(arrived, handle, checkpoint, should_stop)
+    finally:
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
 
 
 def ingest_batches(store: Store, run_id: str) -> DataFrame:
