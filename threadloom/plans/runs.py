@@ -51,6 +51,7 @@ from threadloom.sources.documents import (
     read_comments_progress,
     read_posts_progress,
 )
+from threadloom.sources.chunks import append_chunks, scan_chunks
 from threadloom.sources.store import Store, read_chunks, write_chunks
 from threadloom.streaming.arrival import known_arrivals
 from threadloom.streaming.ingest import ingest_comments, ingest_logs, ingest_posts, ingest_posts_stateful
@@ -352,6 +353,39 @@ def chunk_round_trip(spark, sf_dir):
     )
 
 
+def _lines_of(spark, sf_dir) -> DataFrame:
+    """Lineitem as lines of two runs; ``part`` deals them to three batches."""
+    fields = [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
+    value = _text("[", *[x for f in fields for x in (f, ",")][:-1], "]")
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_linestatus").alias("run_id"), value.alias("value"), (F.col("l_orderkey") % 3).alias("part"), *_LINE_ORDER
+    )
+
+
+_PLACES_SQL = """WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_linestatus ORDER BY l_orderkey % 3, {order}) - 1 AS pos FROM lineitem {rows})
+    SELECT l_linestatus AS run_id, CAST(pos // 700 + 1 AS BIGINT) AS chunk_no, CAST(pos % 700 + 1 AS BIGINT) AS line_no,
+      '[' || l_orderkey || ',' || l_linenumber || ',' || l_partkey || ',' || l_suppkey || ']' AS value FROM r"""
+
+
+@query("chunk_continue_round_trip", _PLACES_SQL.format(order=_LINE_ORDER_SQL, rows=""))
+def chunk_continue_round_trip(spark, sf_dir):
+    """Three batches continue each other's chunks; every line comes back with its place."""
+    lines, root = _lines_of(spark, sf_dir), f"{_landing(spark)}/runs"
+    for batch in range(3):
+        append_chunks(lines.filter(F.col("part") == batch), root, "posts", _LINE_ORDER, 700, batch)
+    return scan_chunks(spark, root).select("run_id", "chunk_no", "line_no", "value")
+
+
+@query("replay_that_shrinks", _PLACES_SQL.format(order=_LINE_ORDER_SQL, rows="WHERE l_orderkey % 3 <> 1 OR l_linenumber = 1"))
+def replay_that_shrinks(spark, sf_dir):
+    """The second of three batches is written again with fewer lines; the third one follows it again."""
+    lines, root = _lines_of(spark, sf_dir), f"{_landing(spark)}/runs"
+    shrunk = lines.filter((F.col("part") != 1) | (F.col("l_linenumber") == 1))
+    for rows, batch in ((lines, 0), (lines, 1), (lines, 2), (shrunk, 1), (shrunk, 2)):
+        append_chunks(rows.filter(F.col("part") == batch), root, "posts", _LINE_ORDER, 700, batch)
+    return scan_chunks(spark, root).select("run_id", "chunk_no", "line_no", "value")
+
+
 # ---------------------------------------------------------------- identity
 
 

@@ -49,10 +49,11 @@ def line_status(value: Column | str = "value") -> Column:
 
 
 def strict_lines(lines: DataFrame) -> DataFrame:
-    """Drop blank lines; fail the scan on a corrupt one, naming its file."""
+    """Drop blank lines; fail the scan on a corrupt one, naming its file and, where ``line_no`` is known, its line."""
     status = line_status("value")
+    place = F.concat("file", F.lit(", line "), F.col("line_no").cast("string")) if "line_no" in lines.columns else F.col("file")
     failure = F.raise_error(
-        F.concat(F.lit("not one JSON object, in "), F.col("file"), F.lit(": "), F.left("value", F.lit(80)))
+        F.concat(F.lit("not one JSON object, in "), place, F.lit(": "), F.left("value", F.lit(80)))
     ).cast("boolean")
     return lines.filter(F.when(status == "corrupt", failure).otherwise(status == "ok"))
 
