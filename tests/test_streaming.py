@@ -80,7 +80,8 @@ def test_crash_between_the_two_writes(site, monkeypatch):
     monkeypatch.setattr(store_module.Store, "write_batch", dies)
     with pytest.raises(Exception, match="executor gone"):
         site.ingest()
-    assert site.agree().raw_total == 3 and site.ids() == ["a", "b"]
+    # Raw rows of the batch are written, but not committed: both layers show the batch before.
+    assert site.agree().raw_total == 2 and site.ids() == ["a", "b"]
     monkeypatch.setattr(store_module.Store, "write_batch", real)
     site.ingest()
     assert site.ids() == ["a", "b", "c"]
@@ -88,27 +89,83 @@ def test_crash_between_the_two_writes(site, monkeypatch):
     assert check.counts_agree and check.ids_unique
 
 
-def test_crash_after_the_writes(site, monkeypatch):
-    """The batch is stored but never committed; its replay must not see itself as known."""
-    from threadloom.streaming import ingest as ingest_module
-
-    site.land("a", "b")
-    real = ingest_module.append_records
+def dies_after_commit(monkeypatch):
+    """The store has the batch, the stream's checkpoint has not."""
+    real = Store.commit
 
     def dies(*args):
         real(*args)
         raise RuntimeError("driver gone")
 
-    monkeypatch.setattr(ingest_module, "append_records", dies)
+    monkeypatch.setattr(Store, "commit", dies)
+    return lambda: monkeypatch.setattr(Store, "commit", real)
+
+
+def test_crash_after_the_writes(site, monkeypatch):
+    """The batch is stored but never committed by the stream; its replay must not see itself as known."""
+    site.land("a", "b")
+    mend = dies_after_commit(monkeypatch)
     with pytest.raises(Exception, match="driver gone"):
         site.ingest()
     assert site.ids() == ["a", "b"]
-    monkeypatch.setattr(ingest_module, "append_records", real)
+    mend()
     site.land("b", "c")
     site.ingest()
     assert site.ids() == ["a", "b", "c"] and site.agree().ids_unique
 
 
+def test_replay_that_shrinks(site, monkeypatch):
+    """A batch dies between its layers, and its replay has fewer posts, or none in a table that had some."""
+    from threadloom.streaming import ingest as ingest_module
+
+    site.land("a", "b")
+    site.ingest()
+    site.land("b", "c", "d", "e")
+    (site.root / "pages" / "page-0003.json").write_text("torn")
+    real, cut = Store.write_batch, ingest_module.unseen
+
+    def dies(self, table, df, run_id, batch_id):
+        if table == "posts":
+            raise RuntimeError("executor gone")
+        return real(self, table, df, run_id, batch_id)
+
+    monkeypatch.setattr(Store, "write_batch", dies)
+    with pytest.raises(Exception, match="executor gone"):
+        site.ingest()
+    monkeypatch.setattr(Store, "write_batch", real)
+    # Other known ids by now: the same batch finds less that is new.
+    monkeypatch.setattr(ingest_module, "unseen", lambda *args: cut(*args).filter("id <> 'd'"))
+    site.ingest()
+    check = site.agree()
+    assert site.ids() == ["a", "b", "c", "e"] and check.counts_agree and check.ids_agree and check.raw_total == 4
+    assert site.store.read("page_errors", "r").count() == 1
+
+
+def test_a_committed_batch_is_replaced_as_a_whole(site):
+    store = site.store
+    rows = lambda *ids: site.spark.createDataFrame([(i,) for i in ids], "post_id string")
+    errors = site.spark.createDataFrame([("b", "no tree")], "post_id string, error string")
+    for ids, bad in ((("a", "b"), errors), (("a",), errors.limit(0)), ((), errors.limit(0)), (("c",), errors)):
+        store.begin("comments", "r=1/x", 0)
+        store.write_batch("done_posts", rows(*ids), "r=1/x", 0)
+        store.write_batch("tree_errors", bad, "r=1/x", 0)
+        store.commit("comments", "r=1/x", 0)
+        assert sorted(r.post_id for r in store.read("done_posts", "r=1/x").collect()) == sorted(ids)
+        assert store.read("tree_errors", "r=1/x").count() == bad.count()
+    store.begin("comments", "r=1/x", 1)
+    store.write_batch("done_posts", rows("lost"), "r=1/x", 1)
+    again = Store(site.spark, store.root)
+    files = lambda: sorted((site.root / "store" / "done_posts").rglob("*.parquet"))
+    before = len(files())
+    again.compact()
+    assert [r.post_id for r in again.read("done_posts").collect()] == ["c"] and len(files()) < before
+    assert len(list((site.root / "store" / "commits").glob("*.json"))) == 1
+    again.begin("comments", "r=1/x", 1)
+    again.write_batch("done_posts", rows("d"), "r=1/x", 1)
+    again.commit("comments", "r=1/x", 1)
+    assert sorted(r.post_id for r in again.read("done_posts").collect()) == ["c", "d"]
+
+
 def test_stop_between_batches_and_resume(site):
     for ids in ("ab", "cd", "ef"):
         site.land(*ids)
@@ -223,19 +280,12 @@ def test_stateful_cap_stop_and_raised_cap(site):
 
 
 def test_stateful_crash_after_the_writes(site, monkeypatch):
-    from threadloom.streaming import ingest as ingest_module
-
     site.land("a", "b")
-    real = ingest_module.append_records
-
-    def dies(*args):
-        real(*args)
-        raise RuntimeError("driver gone")
-
-    monkeypatch.setattr(ingest_module, "append_records", dies)
+    mend = dies_after_commit(monkeypatch)
     with pytest.raises(Exception, match="driver gone"):
         stateful(site)
-    monkeypatch.setattr(ingest_module, "append_records", real)
+    assert site.ids() == ["a", "b"]
+    mend()
     site.land("b", "c")
     stateful(site)
     assert site.ids() == ["a", "b", "c"] and site.agree().ids_unique

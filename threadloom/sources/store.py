@@ -1,11 +1,20 @@
 """Tables of a store: where runs are kept and how batches are written.
 
-Every table is partitioned by ``run_id``; ingested tables also by ``batch_id``,
-so that writing a batch again replaces exactly what it wrote before.
+Every table is partitioned by ``run_id``; ingested tables also by ``batch_id`` and
+by ``try``, one value per attempt at a batch.  A batch writes all its tables under
+its own try and then commits that try in the log of its stream, which is one small
+file.  Readers look through the log, so rows of an attempt that died between two
+tables are not there, and an attempt with fewer rows, or with none in some table,
+replaces all of an earlier one.
 """
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
+from urllib.parse import quote
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from threadloom.functions.scalars import dedup_key
@@ -28,6 +37,14 @@ _SCHEMAS = {
     "journal": "name string, run_id string, event string, at timestamp, identity string, max_posts bigint",
 }
 _TEXT = ("raw_posts", "raw_comments")
+#: The tables that one stream writes together.
+STREAMS = {
+    "posts": ("raw_posts", "posts", "page_errors"),
+    "comments": ("raw_comments", "comments", "done_posts", "tree_errors", "line_errors"),
+    "logs": ("log_lines",),
+}
+_STREAM_OF = {t: stream for stream, tables in STREAMS.items() for t in tables}
+_COMMITS = "stream string, run_id string, batch_id bigint, try string, seq bigint"
 
 
 class Store:
@@ -36,14 +53,19 @@ class Store:
     def __init__(self, spark: SparkSession, root: str, chunk_size: int = DEFAULT_CHUNK_SIZE):
         self.spark, self.root = spark, root.rstrip("/")
         self.chunk_size = check_chunk_size(chunk_size)
+        self._tries: dict[tuple[str, str, int], str] = {}
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
+    def _hadoop(self, path: str):
+        """A path and its file system, which may be one that only Spark can reach."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return folder, folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def _exists(self, table: str) -> bool:
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(self.path(table))
-        return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder)
+        folder, files = self._hadoop(self.path(table))
+        return files.exists(folder)
 
     def _schema(self, table: str):
         if table == "posts":
@@ -53,29 +75,96 @@ class Store:
         return _SCHEMAS[table]
 
     def read(self, table: str, run_id: str | None = None) -> DataFrame:
-        """Table contents; empty with the right columns before the first write."""
+        """Committed contents; empty with the right columns before the first write."""
         schema = self._schema(table)
         if not self._exists(table):
             return self.spark.createDataFrame([], schema)
-        reader = self.spark.read.schema(schema)
+        stream = _STREAM_OF.get(table)
+        reader = self.spark.read.schema(f"{schema}, try string" if stream else schema)
         df = reader.text(self.path(table)) if table in _TEXT else reader.parquet(self.path(table))
-        return df if run_id is None else df.filter(F.col("run_id") == run_id)
+        if run_id is not None:
+            df = df.filter(F.col("run_id") == run_id)
+        if stream:
+            seen = self.commits().filter(F.col("stream") == stream).select("run_id", "batch_id", "try")
+            df = df.join(seen, ["run_id", "batch_id", "try"], "left_semi").select(*self.spark.createDataFrame([], schema).columns)
+        return df
 
     def write_batch(self, table: str, df: DataFrame, run_id: str, batch_id: int) -> None:
-        """Write one batch; a second write of the same batch replaces the first."""
-        out = df.withColumn("run_id", F.lit(run_id)).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        """Write one table of a batch; it counts once the batch is committed."""
+        key = (_STREAM_OF[table], run_id, batch_id)
+        own = self._tries.setdefault(key, uuid.uuid4().hex)
+        keys = {"run_id": F.lit(run_id), "batch_id": F.lit(batch_id).cast("bigint"), "try": F.lit(own)}
         writer = (
-            out.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
+            df.withColumns(keys)
+            .write.mode("append")
             .option("maxRecordsPerFile", self.chunk_size)
-            .partitionBy("run_id", "batch_id")
+            .partitionBy(*keys)
         )
         writer.text(self.path(table)) if table in _TEXT else writer.parquet(self.path(table))
 
+    # -------------------------------------------------------- commit log
+
+    def commits(self) -> DataFrame:
+        """``stream, run_id, batch_id, try`` of the attempts that count: the latest of each batch."""
+        if not self._exists("commits"):
+            return self.spark.createDataFrame([], _COMMITS).drop("seq")
+        rows = self.spark.read.schema(_COMMITS).json(self.path("commits")).filter("try is not null")
+        return rows.groupBy("stream", "run_id", "batch_id").agg(F.max_by("try", "seq").alias("try"))
+
+    def _put(self, name: str, rows: list[dict]) -> None:
+        path, files = self._hadoop(f"{self.path('commits')}/{name}.json")
+        out = files.create(path, True)
+        out.write("".join(json.dumps(r) + "\n" for r in rows).encode())
+        out.close()
+
+    def begin(self, stream: str, run_id: str, batch_id: int) -> None:
+        """Start an attempt at a batch; what an earlier attempt left uncommitted will not be read."""
+        self._tries[stream, run_id, batch_id] = uuid.uuid4().hex
+
+    def commit(self, stream: str, run_id: str, batch_id: int) -> None:
+        """From now on the tables of the batch hold what the current attempt wrote, and nothing else."""
+        own = self._tries.pop((stream, run_id, batch_id), None) or uuid.uuid4().hex
+        row = {"stream": stream, "run_id": run_id, "batch_id": batch_id, "try": own, "seq": time.time_ns()}
+        # One file per batch, so a batch that is done again writes over its own entry only.
+        self._put(f"{stream}-{quote(run_id, safe='')}-{batch_id}", [row])
+
+    def compact(self) -> None:
+        """Put the commit log into one file and delete the attempts that do not count.
+
+        Call it while nothing is being ingested: the rows of a running attempt would go too.
+        """
+        commits = self.commits()
+        if not self._exists("commits"):
+            return
+        folder, files = self._hadoop(self.path("commits"))
+        old = [s.getPath() for s in files.listStatus(folder)]
+        # One short row per batch of the store.
+        rows = [{**r.asDict(), "seq": time.time_ns()} for r in commits.collect()]
+        self._put(f"all-{uuid.uuid4().hex}", rows)
+        for path in old:
+            files.delete(path, False)
+        keep = {(r["stream"], r["run_id"], r["batch_id"], r["try"]) for r in rows}
+        for table, stream in _STREAM_OF.items():
+            if not self._exists(table):
+                continue
+            schema = f"{self._schema(table)}, try string"
+            reader = self.spark.read.schema(schema)
+            stored = reader.text(self.path(table)) if table in _TEXT else reader.parquet(self.path(table))
+            for r in stored.select("run_id", "batch_id", "try").distinct().collect():
+                if (stream, r["run_id"], r["batch_id"], r["try"]) not in keep:
+                    gone, _ = self._hadoop(f"{self.path(table)}/run_id={_escaped(r['run_id'])}/batch_id={r['batch_id']}/try={r['try']}")
+                    files.delete(gone, True)
+
     def append(self, table: str, df: DataFrame) -> None:
         df.write.mode("append").parquet(self.path(table))
 
 
+def _escaped(value: str) -> str:
+    """A partition value as Spark writes it into a path."""
+    marks = set('"#%\'*/:=?\\{}[]^') | {chr(c) for c in [*range(1, 32), 127]}
+    return "".join(f"%{ord(c):02X}" if c in marks else c for c in value)
+
+
 def _ddl(schema) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
 

@@ -1,8 +1,9 @@
 """Incremental ingest: landed pages and trees -> store, exactly once.
 
-Each micro-batch writes to partitions named by its batch id, and looks for
-known ids only in other batches.  Replaying a batch after a crash therefore
-writes the same rows to the same place, whatever step it died at.
+Each micro-batch writes its tables under an attempt of its own and then commits
+them all at once in the store's log; it looks for known ids only in other batches.
+Replaying a batch after a crash therefore replaces what it wrote, in all tables,
+whatever step it died at and however many rows it has this time.
 """
 
 from __future__ import annotations
@@ -124,6 +125,7 @@ def ingest_posts(
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        store.begin("posts", run_id, batch_id)
         checked = with_page_error(with_lines(batch))
         # Unusable pages are kept with their text: the file counts as read from now on.
         bad = checked.filter("page_error is not null").select("page", "payload", "page_error")
@@ -139,6 +141,7 @@ def ingest_posts(
             if after_raw:
                 after_raw(batch_id)
             append_records(fresh, store, "posts", run_id, batch_id, order)
+            store.commit("posts", run_id, batch_id)
         finally:
             fresh.unpersist()
 
@@ -173,6 +176,7 @@ def ingest_posts_stateful(
 
     def handle(batch: DataFrame, batch_id: int):
         rows = batch.persist()
+        store.begin("posts", run_id, batch_id)
         try:
             bad = rows.filter("page_error is not null").select("page", F.col("value").alias("payload"), "page_error")
             store.write_batch("page_errors", bad, run_id, batch_id)
@@ -185,6 +189,7 @@ def ingest_posts_stateful(
                 fresh = fresh.orderBy(*order).limit(room) if capped else fresh
                 stored["n"] += min(n, room)
             append_records(fresh, store, "posts", run_id, batch_id, order)
+            store.commit("posts", run_id, batch_id)
             return _CAPPED if capped else None
         finally:
             rows.unpersist()
@@ -232,6 +237,7 @@ def ingest_comments(
     stream = reader.load(landing).select("value", F.col("_metadata.file_name").alias("file"))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        store.begin("comments", run_id, batch_id)
         done = store.read("done_posts", run_id).filter(F.col("batch_id") != batch_id)
         lines = with_object(batch.filter(F.trim("value") != ""), "value", "post_id string, payload string", "line")
         lines = lines.withColumn("post_id", dedup_key("line.post_id")).withColumn("payload", F.col("line.payload"))
@@ -249,8 +255,9 @@ def ingest_comments(
             append_records(tree_nodes(flat), store, "comments", run_id, batch_id, [F.col("post_id"), F.col("pos")])
             store.write_batch("tree_errors", failed, run_id, batch_id)
             usable = trees.select("post_id").join(failed.select("post_id"), "post_id", "left_anti").filter("post_id is not null")
-            # Last: a post counts as done only once its comments are stored.
+            # A post counts as done only together with its comments.
             store.write_batch("done_posts", usable, run_id, batch_id)
+            store.commit("comments", run_id, batch_id)
         finally:
             flat.unpersist()
 
@@ -277,6 +284,8 @@ def ingest_logs(store: Store, landing: str, run_id: str, checkpoint: str) -> Ing
     def handle(batch: DataFrame, batch_id: int) -> None:
         numbered = batch.withColumn("row", F.monotonically_increasing_id())
         seq = F.struct(F.lit(batch_id).cast("bigint").alias("batch"), "file", "block", "row").alias("seq")
+        store.begin("logs", run_id, batch_id)
         store.write_batch("log_lines", parse_log_lines(numbered.select("value", seq)), run_id, batch_id)
+        store.commit("logs", run_id, batch_id)
 
     return _drain(stream, handle, checkpoint, None)
