@@ -203,6 +203,17 @@ def test_identity_columns(spark):
     assert safe_summary(specs.select("subreddit", F.lit("text").alias("output"))).columns == ["subreddit"]
 
 
+def test_spec_sections_and_texts(spark):
+    """A section that is no object, and text that is not exactly one object."""
+    sections = ("api", "output", "collection", "comments", "logging")
+    values = [5, None, "text", [], [{"level": "loud"}], True]
+    cases = {json.dumps({"subreddit": "a", s: v}): [f"{s}: object"] for s in sections for v in values}
+    texts = ['{"subreddit":"a"} x', '{"subreddit":"a"}{"subreddit":"b"}', "[]", "", "5", '{"subreddit":', None]
+    cases |= dict.fromkeys(texts, ["not a JSON object"])
+    rows = spec_violations(spark.createDataFrame([(v,) for v in cases], "value string")).collect()
+    assert {r.value: r.errors for r in rows} == cases
+
+
 def test_spec_checks(spark):
     def errors(**spec):
         base = {"subreddit": "py", **spec}

@@ -102,3 +102,18 @@ def test_redaction(spark):
         {"k": 5, "n": {"token": hidden, "x": 1.5}, "l": [{"password": hidden}, True], "secrets": [hidden, {"b": None}], "é": "é"},
         None, None, None, {"token": {"a": 1}},
     ]
+
+
+def test_redaction_keeps_what_is_written(spark):
+    """Half surrogates, long and large numbers, repeated keys and any depth; anything but one object is null."""
+    hidden, deep = '"***REDACTED***"', 20_000
+    cases = {
+        r'{"a":"\ud83d", "\u0074oken":"\ud83d"}': r'{"a":"\ud83d","\u0074oken":' + hidden + "}",
+        '{"x":1e400,"y":' + "9" * 5000 + ',"z":-0.0}': '{"x":1e400,"y":' + "9" * 5000 + ',"z":-0.0}',
+        '{"token":1,"token":[true,[null]],"b":{}}': '{"token":%s,"token":[%s,[%s]],"b":{}}' % ((hidden,) * 3),
+        '{"auth":' + "[" * deep + "7" + "]" * deep + "}": '{"auth":' + "[" * deep + hidden + "]" * deep + "}",
+        " {} ": "{}",
+        **dict.fromkeys(['{"a":NaN}', '{"a":1} {}', '{"a":1,}', '{"a" 1}', '{"a":[1}', '{"a":01}', '{"a":"\x01"}', '{"a":tru}', "{", "", "5", '{1:2}', '{"a":[,]}'], None),
+    }
+    rows = spark.createDataFrame([(v,) for v in cases], "v string").select("v", redact_json_map("v").alias("m")).collect()
+    assert {r.v: r.m for r in rows} == cases

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from threadloom.functions import scalars as S
+from threadloom.functions.jsonrows import with_object
 from threadloom.schemas import DOCUMENT_VERSION, FILTER_KEYS, LOG_LEVELS, MAX_PAGE_SIZE, MAX_TREE_LIMIT, SAFE_FIELDS, SAFE_OUTPUT_FIELDS
 
 def with_identity(specs: DataFrame) -> DataFrame:
@@ -230,27 +231,24 @@ def free_run_ids(wanted: DataFrame, existing: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------ spec checks
 
-_SPEC_JSON = (
-    "api struct<base_url variant>, subreddit variant, title variant, query variant, selftext variant, author variant, "
-    "after variant, before variant, limit variant, sort variant, max_posts variant, "
-    "output struct<raw_dir variant, processed_dir variant, checkpoint_dir variant, chunk_size variant>, "
-    "collection struct<throttle_qps variant, max_retries variant, timeout_secs variant, "
-    "backoff_base_secs variant, backoff_max_secs variant>, "
-    "comments struct<tree_limit variant, max_comment_posts variant, skip_empty_posts variant>, "
-    "logging struct<level variant, file variant>"
+_SECTIONS = ("api", "output", "collection", "comments", "logging")
+_SPEC_JSON = ", ".join(
+    f"{key} variant" for key in (*_SECTIONS, *"subreddit title query selftext author after before limit sort max_posts".split())
 )
 
 
 def spec_violations(specs: DataFrame, value: str = "value") -> DataFrame:
     """All violations of each request specification (JSON object) in ``errors``.
 
-    A missing key takes its default and is fine; an explicit null is checked.
+    A missing key or section takes its default and is fine; an explicit null is
+    checked.  A section that is no object has one violation, and its keys none.
+    Text that is not exactly one object has only that to say.
     """
-    s = F.from_json(value, _SPEC_JSON)
-    parsed = specs.withColumn("__s", s)
+    parsed = with_object(specs, value, _SPEC_JSON, "__s")
 
     def at(path: str) -> Column:
-        return F.col(f"__s.{path}")
+        section, _, key = path.partition(".")
+        return F.try_variant_get(F.col(f"__s.{section}"), f"$.{key}", "variant") if key else F.col(f"__s.{section}")
 
     def null(v: Column) -> Column:
         return F.coalesce(S.variant_type(v) == "VOID", F.lit(False))
@@ -279,7 +277,12 @@ def spec_violations(specs: DataFrame, value: str = "value") -> DataFrame:
     base_url, sort = at("api.base_url"), at("sort")
     is_url = F.coalesce(F.lower(S.variant_text(base_url)).rlike("^https?://"), F.lit(False))
     is_sort = S.variant_is_text(sort) & F.coalesce(S.variant_text(sort).isin("asc", "desc"), F.lit(False))
+
+    def section(name: str) -> Column:
+        return rule(name, lambda v: S.variant_type(v).startswith("OBJECT"), "object")
+
     rules = [
+        section("api"),
         rule("api.base_url", filled, filled_text),
         rule("api.base_url", lambda v: ~filled(v) | is_url, "http(s) address"),
         rule("subreddit", filled, filled_text, required=True),
@@ -299,20 +302,23 @@ def spec_violations(specs: DataFrame, value: str = "value") -> DataFrame:
             )
         )
         rules.append(rule(key, lambda v: ~S.variant_is_text(v) | filled(v), f"{filled_text} or null"))
+    rules.append(section("output"))
     for key in ("raw_dir", "processed_dir", "checkpoint_dir"):
         rules.append(rule(f"output.{key}", filled, filled_text))
     rules.append(rule("output.chunk_size", lambda v: null(v) | whole_in(v, 1), "positive integer"))
+    rules.append(section("collection"))
     for key in ("throttle_qps", "timeout_secs", "backoff_base_secs", "backoff_max_secs"):
         rules.append(rule(f"collection.{key}", positive, "positive number"))
     rules += [
         rule("collection.max_retries", lambda v: whole_in(v, 0), "integer >= 0"),
+        section("comments"),
         rule("comments.tree_limit", lambda v: whole_in(v, 1, MAX_TREE_LIMIT), f"integer 1-{MAX_TREE_LIMIT}"),
         rule("comments.max_comment_posts", lambda v: null(v) | whole_in(v, 1), "positive integer or null"),
         rule("comments.skip_empty_posts", lambda v: S.variant_type(v) == "BOOLEAN", "true or false"),
+        section("logging"),
         rule("logging.level", is_level, "one of " + ", ".join(LOG_LEVELS)),
         rule("logging.file", filled, filled_text),
     ]
     errors = F.filter(F.array(*rules), lambda r: r.isNotNull())
     unusable = F.array(F.lit("not a JSON object"))
-    is_object = F.ltrim(F.col(value)).startswith("{")
-    return parsed.withColumn("errors", F.when(is_object, errors).otherwise(unusable)).drop("__s")
+    return parsed.withColumn("errors", F.when(F.col("__s").isNotNull(), errors).otherwise(unusable)).drop("__s")

@@ -45,22 +45,53 @@ def redact_columns(df: DataFrame, pattern: str = SENSITIVE_KEY_PATTERN) -> DataF
     return df.select(*[_masked(F.col(f"`{f.name}`"), f.dataType, bool(compiled.search(f.name)), compiled).alias(f.name) for f in df.schema.fields])
 
 
-def _masker(pattern: str):
-    sensitive = re.compile(pattern, re.IGNORECASE)
+_JSON_TOKEN = re.compile(
+    r"""[\x20\t\n\r]*+(?:([\[\]{},:])|("[^"\\\x00-\x1f]*+(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^"\\\x00-\x1f]*+)*+")"""
+    r"""|(-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][-+]?[0-9]++)?|true|false|null))"""
+)
+
 
-    def masked(value, hide: bool):
-        if isinstance(value, dict):
-            return {k: masked(v, bool(sensitive.search(k))) for k, v in value.items()}
-        if isinstance(value, list):
-            return [masked(v, hide) for v in value]
-        return REDACTED if hide else value
+def _masker(pattern: str):
+    """JSON text -> the same tokens without white space, scalars under sensitive keys masked; None unless it is one object."""
+    sensitive, hidden = re.compile(pattern, re.IGNORECASE), json.dumps(REDACTED)
 
     def one(text: str | None) -> str | None:
-        try:
-            value = json.loads(text) if text is not None else None
-        except (ValueError, RecursionError):
-            return None
-        return json.dumps(masked(value, False), ensure_ascii=False, separators=(",", ":")) if isinstance(value, dict) else None
+        out: list[str] = []
+        open_: list[tuple[str, bool]] = []  # containers around, and whether the key above each is sensitive
+        at, expect, hide = 0, "object", False
+        while expect != "nothing":
+            token = _JSON_TOKEN.match(text, at)
+            if not token:
+                return None
+            at = token.end()
+            mark, string, other = token.groups()
+            found = mark or string or other
+            if mark and mark in "}]" and expect in ("comma", f"first {mark}"):
+                start, hide = open_.pop()
+                if start + mark not in ("{}", "[]"):
+                    return None
+                expect = "comma"
+            elif mark == "," and expect == "comma":
+                expect = "key" if open_[-1][0] == "{" else "value"
+                hide = open_[-1][1]
+            elif mark == ":" and expect == "colon":
+                expect = "value"
+            elif string and expect in ("key", "first }"):
+                expect, hide = "colon", bool(sensitive.search(json.loads(string)))
+            elif mark == "{" and expect in ("object", "value", "first ]"):
+                open_.append((mark, hide))
+                expect = "first }"
+            elif mark == "[" and expect in ("value", "first ]"):
+                open_.append((mark, hide))
+                expect = "first ]"
+            elif not mark and expect in ("value", "first ]"):
+                found, expect = hidden if hide else found, "comma"
+            else:
+                return None
+            out.append(found)
+            if not open_:
+                expect = "nothing"
+        return "".join(out) if not text[at:].strip(" \t\n\r") else None
 
     return one
 
@@ -68,9 +99,11 @@ def _masker(pattern: str):
 def redact_json_map(value: Column | str, pattern: str = SENSITIVE_KEY_PATTERN) -> Column:
     """Masked copy of a JSON object held as text, nested objects and lists included.
 
-    The rules are those of :func:`redact_columns`; values that are not masked keep
-    their types.  Anything but one object gives null: what cannot be read cannot be
-    shown.  JSON of unknown depth has no built-in walk, hence Python over Arrow batches.
+    The rules are those of :func:`redact_columns`.  What is not masked stays as it is
+    written, but for white space between tokens: numbers of any length, escapes (half
+    surrogates too), repeated keys, which are each masked, and any depth.  Anything but
+    one JSON object gives null: what cannot be read cannot be shown.  JSON of unknown
+    depth has no built-in walk, hence Python over Arrow batches.
     """
     one = _masker(pattern)
 

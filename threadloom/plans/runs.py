@@ -657,7 +657,8 @@ def run_ids(spark, sf_dir):
            || 'query: text or null | after: date text, epoch number or null'
          WHEN 'SMALL' THEN CASE WHEN p_size > 25 THEN 'output.chunk_size: positive integer | ' ELSE '' END
            || 'collection.throttle_qps: positive number | comments.skip_empty_posts: true or false'
-         ELSE 'not a JSON object' END AS errors FROM part""",
+         ELSE CASE p_size % 4 WHEN 0 THEN 'api: object | comments: object' WHEN 1 THEN 'output: object | logging: object'
+           ELSE 'not a JSON object' END END AS errors FROM part""",
 )
 def spec_checks(spark, sf_dir):
     size = F.col("p_size")
@@ -671,6 +672,9 @@ def spec_checks(spark, sf_dir):
             _text('{"subreddit":"a","output":{"chunk_size":', F.when(size > 25, F.lit("0")).otherwise(size.cast("string")),
                   '},"collection":{"throttle_qps":0,"max_retries":0},"comments":{"skip_empty_posts":null},"logging":{"level":"info"}}'),
         )
+        .when(size % 4 == 0, F.lit('{"subreddit":"a","api":[{"base_url":"x"}],"comments":"tree_limit"}'))
+        .when(size % 4 == 1, F.lit('{"subreddit":"a","output":5,"logging":null,"collection":{}}'))
+        .when(size % 4 == 2, F.lit('{"subreddit":"a"} x'))
         .otherwise(F.lit("[]"))
     )
     specs = table(spark, sf_dir, "part", spread=True).select("p_partkey", spec.alias("value"))
@@ -714,11 +718,13 @@ def masked_props(spark, sf_dir):
 @query(
     "redact_nested",
     """SELECT event_id, '{"n":{"token":"***REDACTED***","k":' || regexp_extract(props, '[0-9]+') || '},"l":[{"password":"***REDACTED***"},'
-      || event_id || '],"secrets":["***REDACTED***",{"id":true}]}' AS props FROM events""",
+      || event_id || '],"secrets":["***REDACTED***",{"id":true}],"h":"\\ud83d","big":[1e400,' || repeat('9', 40) || '],'
+      || '"token":"***REDACTED***","token":"***REDACTED***","deep":' || repeat('[', 60) || event_id || repeat(']', 60) || '}' AS props FROM events""",
 )
 def masked_nested(spark, sf_dir):
     number = F.regexp_extract("props", "[0-9]+", 0)
-    text = _text('{"n":{"token":"S","k":', number, '},"l":[{"password":"p"},', F.col("event_id"), '],"secrets":["a",{"id":true}]}')
+    text = _text('{"n":{"token":"S","k":', number, '},"l":[{"password":"p"},', F.col("event_id"), '],"secrets":["a",{"id":true}],',
+                 r'"h":"\ud83d", "big":[1e400, ' + "9" * 40 + '],"token":1e-3,"token" : null,"deep":' + "[" * 60, F.col("event_id"), "]" * 60 + "}")
     return table(spark, sf_dir, "events").select("event_id", redact_json_map(text).alias("props"))
 
 
