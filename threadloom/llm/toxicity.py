@@ -18,7 +18,6 @@ from __future__ import annotations
 import math
 import re
 import sys
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -35,10 +34,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Bounds of the training: labelled documents (by the hash of their id), terms of the lexicon, near words with a weight of their own.
 TRAINING_ROWS = 20_000
-TERMS = 2_000
+TERMS = 500
 NEAR_WORDS = 20_000
-#: A term stands in so many toxic training documents, and is surely so much likelier in them (log-odds less 1.64 standard errors).
-MIN_TOXIC_DOCS, MIN_LOG_ODDS, ERRORS = 3, 1.5, 1.64
+#: A term has so many contexts in toxic training documents, and is surely so much likelier in them (log-odds less 1.64 standard errors).
+MIN_TOXIC, MIN_LOG_ODDS, ERRORS = 3, 1.5, 1.64
 #: Below this weight a near word is no hit.
 LEAST_WEIGHT = 1.0
 THRESHOLD = 0.5
@@ -168,9 +167,9 @@ class Automaton:
 
 @dataclass
 class Lexicon:
-    """Terms with the training documents of either label that hold them, or words near them.
+    """Terms with their contexts in training documents of either label, and those of words near them.
 
-    ``near`` counts documents per ``(term, edits)``, ``words`` per near word; ``totals`` are all toxic and clean ones.
+    ``near`` counts per ``(term, edits)``, ``words`` per near word; ``totals`` are all toxic and clean texts.
     """
 
     terms: list[str]
@@ -307,47 +306,66 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return found.select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
 
 
-def _counted(names: str, of_text):
-    """``of_text`` gives the keys of a text; the result counts, per key, toxic and clean texts of a task."""
-    fields = names.split(", ")
+def _with_context(text: str) -> dict[str, str]:
+    """Every distinct word of a text and the words beside its first place."""
+    words = [w.rstrip(MARKS) for w in WORD.findall(text.lower())]
+    around: dict[str, str] = {}
+    for left, word, right in zip(["", *words], words, [*words[1:], ""]):
+        if word not in around:
+            around[word] = f"{left} {right}"
+    return around
+
+
+def _counted(names: list[str], of_word):
+    """``of_word`` gives the keys of a word; the result has, per key and context, whether toxic and clean texts of a task hold it."""
+    types = [pa.string(), pa.int32(), pa.int32()][: len(names)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = (Counter(), Counter())
+        seen: dict[tuple, list[bool]] = {}
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts[0 if toxic == 1 else 1].update(of_text(text))
-        keys = [*(counts[0] | counts[1])]
-        columns = [pa.array([k[i] for k in keys], t) for i, t in enumerate([pa.string(), pa.int32(), pa.int32()][: len(fields)])]
-        columns += [pa.array([c[k] for k in keys], pa.int64()) for c in counts]
-        yield pa.RecordBatch.from_arrays(columns, [*fields, "toxic", "clean"])
+                for word, context in _with_context(text).items():
+                    for key in of_word(word):
+                        seen.setdefault((*key, context), [False, False])[toxic != 1] = True
+        columns = [pa.array([k[i] for k in seen], t) for i, t in enumerate([*types, pa.string()])]
+        columns += [pa.array([v[i] for v in seen.values()], pa.bool_()) for i in (0, 1)]
+        yield pa.RecordBatch.from_arrays(columns, [*names, "context", "toxic", "clean"])
 
     return run
 
 
-def _counts(rows: DataFrame, names: str, types: str, of_text) -> DataFrame:
-    counted = rows.mapInArrow(_counted(names, of_text), f"{types}, toxic long, clean long")
-    return counted.groupBy(*names.split(", ")).agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+def _counts(rows: DataFrame, keys: str, of_word) -> DataFrame:
+    """Contexts per key in toxic and in clean texts.
+
+    A text counts once for a word, by the words beside its first place, so copies
+    of a text, and passages that many texts share, count once together.
+    """
+    names = [f.split()[0] for f in keys.split(", ")]
+    counted = rows.mapInArrow(_counted(names, of_word), f"{keys}, context string, toxic boolean, clean boolean")
+    each = counted.groupBy(*names, "context").agg(F.bool_or("toxic").alias("toxic"), F.bool_or("clean").alias("clean"))
+    return each.groupBy(*names).agg(F.count_if("toxic").alias("toxic"), F.count_if("clean").alias("clean"))
 
 
 def learned_lexicon(rows: DataFrame) -> Lexicon:
     """The words of toxic training documents with the strongest evidence, and how words near them are spread."""
-    totals = rows.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") != 1)).first()
+    # Equal texts count once here too.
+    totals = rows.agg(*(F.count_distinct(F.when((F.col("toxic") == 1) == y, F.xxhash64("text"))) for y in (True, False))).first()
     nt, nc = int(totals[0]), int(totals[1])
-    words = _counts(rows, "word", "word string", lambda text: {(w,) for w in words_of(text) if len(w) >= 3})
+    words = _counts(rows, "word string", lambda word: [(word,)] if len(word) >= 3 else [])
     odds = F.log(((F.col("toxic") + 0.5) / (nt + 1)) / ((F.col("clean") + 0.5) / (nc + 1)))
     error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    strong = words.filter((F.col("toxic") >= MIN_TOXIC_DOCS) & (odds - ERRORS * error >= MIN_LOG_ODDS))
-    # By evidence: log-odds times documents.
+    strong = words.filter((F.col("toxic") >= MIN_TOXIC) & (odds - ERRORS * error >= MIN_LOG_ODDS))
+    # By evidence: log-odds times contexts.
     chosen = strong.orderBy((odds * F.col("toxic")).desc(), "word").limit(TERMS).collect()
     lexicon = Lexicon([r["word"] for r in chosen], [(r["toxic"], r["clean"]) for r in chosen], (nt, nc))
     if not chosen:
         return lexicon
     plain = Lexicon(lexicon.terms, lexicon.counts, lexicon.totals)
 
-    def near(text: str) -> set:
-        return {(w, t, e) for w in words_of(text) if w not in plain.index for t, e in plain.automaton.near(w)}
+    def near(word: str) -> list:
+        return [] if word in plain.index else [(word, t, e) for t, e in plain.automaton.near(word)]
 
-    by_word = _counts(rows, "word, term, edits", "word string, term int, edits int", near).persist()
+    by_word = _counts(rows, "word string, term int, edits int", near).persist()
     try:
         # Bounded: a pair of a term and a distance, and a parameter.
         for r in by_word.groupBy("term", "edits").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).collect():
