@@ -14,7 +14,9 @@ import re
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
@@ -23,6 +25,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: A piece of a long text has about so many characters.
 PIECE_CHARS = 100_000
+#: Texts of about so many bytes are encoded before their rows go on.
+SLICE_BYTES = 1 << 20
 ENCODED = "n_tokens bigint, ids array<int>"
 DIGESTS = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
@@ -76,20 +80,35 @@ def decode(ids: list[int], rank_file: str, pattern: str) -> bytes:
     return encoding(rank_file, pattern).decode_bytes(ids)
 
 
-def _mapped(docs: DataFrame, text: str, added: str, row_of) -> DataFrame:
-    """``docs`` without ``text`` and with the columns ``added``, computed per text."""
+def _encoded(text: str, rank_file: str, pattern: str) -> Iterator[np.ndarray]:
+    """Ids of a whole text as arrays of four bytes an id, piece by piece."""
+    own = encoding(rank_file, pattern)
+    for piece in pieces(text):
+        yield own.encode_to_numpy(piece, disallowed_special=()).astype(np.int32)
+
+
+def _slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows of about ``SLICE_BYTES`` of text; a longer text is a run of its own."""
+    sizes = pc.binary_length(batch.column(batch.schema.get_field_index(text))).fill_null(0).to_numpy(zero_copy_only=False)
+    run = np.cumsum(sizes) // SLICE_BYTES
+    ends = [*np.flatnonzero(np.diff(run)) + 1, batch.num_rows]
+    for start, end in zip([0, *ends], ends):
+        yield batch.slice(start, end - start)
+
+
+def _mapped(docs: DataFrame, text: str, added: str, arrays_of) -> DataFrame:
+    """``docs`` without ``text`` and with the columns ``added``, which ``arrays_of`` gives for a list of texts."""
     names = [f.split()[0] for f in added.split(", ")]
-    kinds = [{"bigint": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}[f.split()[1]] for f in added.split(", ")]
     kept = [c for c in docs.columns if c not in (text, *names)]
     schema = docs.select(*kept).schema
     out = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [row_of(t or "") for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-            columns += [pa.array(list(v), kind) for v, kind in zip(zip(*rows) if rows else [()] * len(names), kinds)]
-            yield pa.RecordBatch.from_arrays(columns, [*kept, *names])
+            for part in _slices(batch, text) if batch.num_rows else ():
+                texts = [t or "" for t in part.column(part.schema.get_field_index(text)).to_pylist()]
+                columns = [part.column(part.schema.get_field_index(c)) for c in kept]
+                yield pa.RecordBatch.from_arrays([*columns, *arrays_of(texts)], [*kept, *names])
 
     return docs.select(*kept, text).mapInArrow(run, ", ".join(out))
 
@@ -98,25 +117,40 @@ def encode_docs(docs: DataFrame, rank_file: str, pattern: str, text: str = "text
     """``docs`` with ``n_tokens`` and ``ids`` in place of the text.
 
     A null text is empty and has no ids.  Columns named like a result are
-    replaced.  ``rank_file`` must be readable on every worker.
+    replaced, other columns stay.  A very long text is encoded in pieces, one
+    without a safe place to cut as a whole.  An empty table stays empty.
+    ``rank_file`` must be readable on every worker.
     """
 
-    def row_of(t: str):
-        ids = encode(t, rank_file, pattern)
-        return len(ids), ids
+    def arrays_of(texts: list[str]) -> list[pa.Array]:
+        ids = [np.concatenate([*_encoded(t, rank_file, pattern)]) for t in texts]
+        sizes = np.array([len(i) for i in ids], np.int64)
+        ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+        return [pa.array(sizes), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids)))]
 
-    return _mapped(docs, text, ENCODED, row_of)
+    return _mapped(docs, text, ENCODED, arrays_of)
 
 
 def token_digests(docs: DataFrame, rank_file: str, pattern: str, text: str = "text") -> DataFrame:
-    """``docs`` with ``n_tokens``, ``ids_sha256`` (of the ids, joined by blanks) and ``decoded_sha256`` (of the bytes that they decode to)."""
+    """``docs`` with ``n_tokens``, ``ids_sha256`` (of the ids, joined by blanks) and ``decoded_sha256`` (of the bytes that they decode to).
+
+    Rows and columns are treated as by :func:`encode_docs`; a long text is digested piece by piece.
+    """
+
+    def row_of(t: str) -> tuple[int, str, str]:
+        n, joined, decoded = 0, hashlib.sha256(), hashlib.sha256()
+        decimals = _decimals(rank_file, pattern)
+        for piece in _encoded(t, rank_file, pattern):
+            ids = piece.tolist()
+            joined.update(((" " if n and ids else "") + " ".join(map(decimals.__getitem__, ids))).encode())
+            decoded.update(decode(ids, rank_file, pattern))
+            n += len(ids)
+        return n, joined.hexdigest(), decoded.hexdigest()
 
-    def row_of(t: str):
-        ids = encode(t, rank_file, pattern)
-        joined = " ".join(map(_decimals(rank_file, pattern).__getitem__, ids)).encode()
-        return len(ids), hashlib.sha256(joined).hexdigest(), hashlib.sha256(decode(ids, rank_file, pattern)).hexdigest()
+    def arrays_of(texts: list[str]) -> list[pa.Array]:
+        return [pa.array(list(v), kind) for v, kind in zip(zip(*map(row_of, texts)), (pa.int64(), pa.string(), pa.string()))]
 
-    return _mapped(docs, text, DIGESTS, row_of)
+    return _mapped(docs, text, DIGESTS, arrays_of)
 
 
 def decode_docs(encoded: DataFrame, rank_file: str, pattern: str) -> DataFrame:
