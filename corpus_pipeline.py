@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from threadloom.llm import bpe, mixture, order_minhash, quality, secret_scan
 from threadloom.llm.common import Scratch, table
+from threadloom.session import configure
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: The rank file, as named in the installed package of public vocabularies.
@@ -65,7 +66,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each result written before the next stage reads it."""
-    docs = table(spark, sf_dir, "documents")
+    # Arrow batches are bounded by rows and bytes there.
+    docs = table(configure(spark), sf_dir, "documents")
     scratch = Scratch(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
         docs = scratch.write(stage(spark, docs, sf_dir), f"stage{k}")
