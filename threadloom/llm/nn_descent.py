@@ -34,14 +34,14 @@ class Settings:
     a local join makes to one node at most, ``trees`` and ``leaf`` of the first graph, ``least_change`` of all edges at
     which rounds end, ``beam`` of the search, ``entries`` of a query into a band of norms that it is not in."""
 
-    neighbours: int = 40
+    neighbours: int = 56
     reverse: int = 24
     offers: int = 10
     trees: int = 3
     leaf: int = 64
     least_change: float = 0.01
     max_rounds: int = 12
-    beam: int = 32
+    beam: int = 40
     entries: int = 64
     seed: int = 5
 
@@ -114,42 +114,78 @@ def _leaves(bands: dict[int, Band], s: Settings):
     return run
 
 
-def _local_join(keep: int):
-    """Rows with a list ``members`` of ``(id, short, least, fresh)`` -> ``(node, id, near)`` better than a node's ``least``."""
+#: Rows of lists that a worker unpacks at once.
+SLICE_ROWS = 128
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for at in range(0, batch.num_rows, SLICE_ROWS):
+        yield batch.slice(at, SLICE_ROWS)
+
+
+def _places(sizes: np.ndarray) -> np.ndarray:
+    """Number of the list that each entry of consecutive lists of these sizes is in."""
+    return np.repeat(np.arange(len(sizes)), sizes)
+
+
+def _sizes(lists: pa.Array) -> np.ndarray:
+    return lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+
+
+def _best(group: np.ndarray, ids: np.ndarray, near: np.ndarray, keep: int) -> np.ndarray:
+    """Places of the best ``keep`` entries of each group, best first, ties to the smaller id; an id counts once, in its first place."""
+    order = np.lexsort((np.arange(len(ids)), ids, group))
+    once = order[np.r_[True, (group[order][1:] != group[order][:-1]) | (ids[order][1:] != ids[order][:-1])]] if len(order) else order
+    ranked = once[np.lexsort((ids[once], -near[once], group[once]))]
+    starts = np.r_[True, group[ranked][1:] != group[ranked][:-1]] if len(ranked) else np.zeros(0, bool)
+    first = np.flatnonzero(starts)
+    rank = np.arange(len(ranked)) - np.repeat(first, np.diff(np.r_[first, len(ranked)]))
+    return ranked[rank < keep]
+
+
+def _local_join(keep: int, best: int):
+    """Rows with a list ``members`` of ``(id, short, least, fresh)`` -> ``(node, id, near)`` better than a node's ``least``.
+
+    A list offers at most ``keep`` others to a node, and a slice of lists the ``best`` of these, so a node that stands
+    in very many lists gets no more than that from each slice.
+    """
+
+    def joined(lists: pa.Array) -> tuple:
+        flat = lists.flatten()
+        ids, least, fresh = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("id", "least", "fresh"))
+        x = np.frombuffer(b"".join(flat.field("short").to_pylist()), np.float16).reshape(len(flat), -1).astype(np.float32)
+        ends = np.concatenate([[0], np.cumsum(_sizes(lists))])
+        out: list[tuple] = [(ids[:0], ids[:0], x[:0, 0])]
+        for a, b in zip(ends[:-1], ends[1:]):
+            if not fresh[a:b].any():
+                continue
+            # A neighbour in both directions comes twice: once is enough, fresh if either is.
+            own, first, place = np.unique(ids[a:b], return_index=True, return_inverse=True)
+            new = np.zeros(len(own), bool)
+            np.logical_or.at(new, place, fresh[a:b])
+            v, limit = x[a:b][first], least[a:b][first]
+            near = v @ v.T
+            np.fill_diagonal(near, -np.inf)
+            want = (near > limit[:, None]) & (new[:, None] | new[None, :])
+            np.fill_diagonal(want, False)
+            if len(own) > keep:
+                top = np.where(want, near, -np.inf)
+                want &= top >= np.partition(top, -keep, axis=1)[:, -keep, None]
+            i, j = np.nonzero(want)
+            out.append((own[i], own[j], near[i, j]))
+        return tuple(np.concatenate([o[k] for o in out]) for k in range(3))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(batch.schema.get_field_index("members"))
-            flat = lists.flatten()
-            if not len(flat):
-                continue
-            ids = flat.field("id").to_numpy(zero_copy_only=False)
-            least = flat.field("least").to_numpy(zero_copy_only=False)
-            fresh = flat.field("fresh").to_numpy(zero_copy_only=False)
-            x = np.frombuffer(b"".join(flat.field("short").to_pylist()), np.float16).reshape(len(flat), -1).astype(np.float32)
-            ends = np.concatenate([[0], np.cumsum([len(m) for m in lists])])
-            out: list[tuple] = [(ids[:0], ids[:0], x[:0, 0])]
-            for a, b in zip(ends[:-1], ends[1:]):
-                if not fresh[a:b].any():
+            for part in _slices(batch):
+                lists = part.column(part.schema.get_field_index("members"))
+                if not len(lists.flatten()):
                     continue
-                # A neighbour in both directions comes twice: once is enough, fresh if either is.
-                own, first, place = np.unique(ids[a:b], return_index=True, return_inverse=True)
-                new = np.zeros(len(own), bool)
-                np.logical_or.at(new, place, fresh[a:b])
-                v, limit = x[a:b][first], least[a:b][first]
-                near = v @ v.T
-                np.fill_diagonal(near, -np.inf)
-                want = (near > limit[:, None]) & (new[:, None] | new[None, :])
-                np.fill_diagonal(want, False)
-                if len(own) > keep:
-                    best = np.where(want, near, -np.inf)
-                    want &= best >= np.partition(best, -keep, axis=1)[:, -keep, None]
-                i, j = np.nonzero(want)
-                out.append((own[i], own[j], near[i, j]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([o[k] for o in out]), kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float32()))],
-                ["node", "id", "near"],
-            )
+                node, ids, near = joined(lists)
+                kept = _best(node, ids, near, best)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(v[kept], kind) for v, kind in zip((node, ids, near), (pa.int64(), pa.int64(), pa.float32()))], ["node", "id", "near"]
+                )
 
     return run
 
@@ -159,18 +195,21 @@ def _merge(keep: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, short, ids, nears, found = (batch.column(batch.schema.get_field_index(c)) for c in ("node", "short", "ids", "nears", "found"))
-            rows: list[tuple] = []
-            for have, near, more in zip(ids.to_pylist(), nears.to_pylist(), found.to_pylist()):
-                best = dict(zip(have or [], near or []))
-                known = set(best)
-                for m in more or []:
-                    if m["id"] not in best:
-                        best[m["id"]] = m["near"]
-                top = sorted(best.items(), key=lambda e: (-e[1], e[0]))[:keep]
-                rows.append(([i for i, _ in top], [s for _, s in top], [i not in known for i, _ in top]))
-            columns = [pa.array([r[k] for r in rows], pa.list_(kind)) for k, kind in enumerate((pa.int64(), pa.float32(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([node, short, *columns], ["node", "short", "ids", "nears", "fresh"])
+            for part in _slices(batch):
+                node, short, ids, nears, found = (part.column(part.schema.get_field_index(c)) for c in ("node", "short", "ids", "nears", "found"))
+                had, more = _sizes(ids), _sizes(found)
+                offered = found.flatten()
+                group = np.concatenate([_places(had), _places(more)])
+                name = np.concatenate([ids.flatten().to_numpy(zero_copy_only=False), offered.field("id").to_numpy(zero_copy_only=False)]).astype(np.int64)
+                near = np.concatenate([nears.flatten().to_numpy(zero_copy_only=False), offered.field("near").to_numpy(zero_copy_only=False)]).astype(np.float32)
+                # Known neighbours stand first, so an id that is known keeps its place there.
+                kept = _best(group, name, near, keep)
+                ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(group[kept], minlength=part.num_rows))]), pa.int32())
+                columns = [
+                    pa.ListArray.from_arrays(ends, pa.array(v, kind))
+                    for v, kind in ((name[kept], pa.int64()), (near[kept], pa.float32()), (kept >= had.sum(), pa.bool_()))
+                ]
+                yield pa.RecordBatch.from_arrays([node, short, *columns], ["node", "short", "ids", "nears", "fresh"])
 
     return run
 
@@ -180,8 +219,15 @@ MEMBER = ("id", "short", "least", "fresh")
 
 
 def _improved(members: DataFrame, graph: DataFrame, keep: int, offers: int) -> DataFrame:
-    """One local join: ``members`` has a bounded list per row; the graph with what it finds."""
-    found = members.select("members").mapInArrow(_local_join(offers), "node bigint, id bigint, near float")
+    """One local join: ``members`` has a bounded list per row; the graph with what it finds.
+
+    Of all offers to a node its best ``keep`` different ones go on, so the list that is
+    merged is bounded too; more could not enter its list.  One shuffle by node serves all of it.
+    """
+    found = members.select("members").mapInArrow(_local_join(offers, keep), "node bigint, id bigint, near float")
+    once = found.repartition("node").groupBy("node", "id").agg(F.max("near").alias("near"))
+    best = Window.partitionBy("node").orderBy(F.desc("near"), "id")
+    found = once.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= keep)
     found = found.groupBy("node").agg(F.collect_list(F.struct("id", "near")).alias("found"))
     return graph.join(found, "node", "left").select("node", "short", "ids", "nears", "found").mapInArrow(_merge(keep), GRAPH)
 
@@ -234,17 +280,17 @@ def neighbour_graph(nodes: DataFrame, scratch: Scratch, s: Settings = Settings()
 def _near_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A query's short vector and a list of nodes of one band with theirs -> ``(query, band, node, near)``."""
     for batch in batches:
-        queries, bands, shorts, lists = (batch.column(batch.schema.get_field_index(c)) for c in ("query", "band", "q", "reached"))
-        flat = lists.flatten()
-        if not len(flat):
-            continue
-        n = [len(x) for x in lists]
-        q = np.frombuffer(b"".join(shorts.to_pylist()), np.float16).reshape(len(n), -1).astype(np.float32)
-        v = np.frombuffer(b"".join(flat.field("short").to_pylist()), np.float16).reshape(len(flat), -1).astype(np.float32)
-        # The last component only levels lengths; against a query it must not count.
-        near = np.einsum("ij,ij->i", np.repeat(q[:, :-1], n, axis=0), v[:, :-1])
-        ids, member = (pa.array(np.repeat(c.to_numpy(zero_copy_only=False), n)) for c in (queries, bands))
-        yield pa.RecordBatch.from_arrays([ids, member, flat.field("node"), pa.array(near, pa.float32())], ["query", "band", "node", "near"])
+        for part in _slices(batch):
+            queries, bands, shorts, lists = (part.column(part.schema.get_field_index(c)) for c in ("query", "band", "q", "reached"))
+            flat, n = lists.flatten(), _sizes(lists)
+            if not len(flat):
+                continue
+            q = np.frombuffer(b"".join(shorts.to_pylist()), np.float16).reshape(len(n), -1).astype(np.float32)
+            v = np.frombuffer(b"".join(flat.field("short").to_pylist()), np.float16).reshape(len(flat), -1).astype(np.float32)
+            # The last component only levels lengths; against a query it must not count.
+            near = np.einsum("ij,ij->i", np.repeat(q[:, :-1], n, axis=0), v[:, :-1])
+            ids, member = (pa.array(np.repeat(c.to_numpy(zero_copy_only=False), n)) for c in (queries, bands))
+            yield pa.RecordBatch.from_arrays([ids, member, flat.field("node"), pa.array(near, pa.float32())], ["query", "band", "node", "near"])
 
 
 def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

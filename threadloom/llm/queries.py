@@ -192,7 +192,7 @@ def op7_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors found for every 20th one."""
-    return nn_descent.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return nn_descent.nearest(table(configure(spark), sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
 #: The rules of the query: fixed values.
