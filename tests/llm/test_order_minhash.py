@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from hypothesis import given, settings, strategies as st
 
 from llm_helpers import SF, prose, read
@@ -80,6 +81,23 @@ def test_hot_group_and_mixed_buckets(spark, monkeypatch):
     assert got == brute(rows) and len({got[i] for i in range(120)}) == 1
 
 
+@pytest.mark.parametrize("n", [100, 400])
+def test_shared_passages_cost_no_pairs(spark, monkeypatch, n):
+    """Texts that share a half without being near meet once each with a leader, and not with each other."""
+    aligned, plain = [], om.linked
+
+    def counted(pairs, texts):
+        aligned.append(pairs.count())
+        return plain(pairs, texts)
+
+    monkeypatch.setattr(om, "linked", counted)
+    half = prose(8, 60)
+    rows = [(i, half + " " + prose(1000 + i, 60)) for i in range(n)] + [(n + i, half + " " + prose(1000 + i, 59)) for i in range(5)]
+    got = {x.doc_id: x.class_id for x in om.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i for i in range(n)} | {n + i: i for i in range(5)}
+    assert sum(aligned) <= om.BANDS * n
+
+
 def test_components(spark):
     links = [(bytes([a]), bytes([b])) for a, b in [(1, 2), (2, 3), (3, 4), (9, 4), (20, 21), (22, 21)]]
     from threadloom.llm.common import Scratch

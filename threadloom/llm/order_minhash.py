@@ -10,7 +10,6 @@ the two.  Near texts are linked, and linked texts form one class.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import sys
 import zlib
@@ -34,6 +33,16 @@ SAMPLED = 3
 SMALL_BUCKET = 64
 LEADERS = 16
 
+
+
+class _Kept(dict):
+    """What a worker computes once; it travels empty."""
+
+    def __reduce__(self):
+        return dict, ()
+
+
+_KEPT = _Kept()
 _BASE = 0x9E3779B97F4A7C13
 _ODD = np.array([0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -44,29 +53,23 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-@functools.lru_cache(maxsize=2)
 def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, for texts of up to 2**bits bytes."""
-    up, down = (np.full(1 << bits, base, np.uint64) for base in (_BASE, pow(_BASE, -1, 2**64)))
-    up[0] = down[0] = 1
-    up, down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-    return up, down
+    """Powers of the base and of its inverse modulo 2**64, for texts of up to 2**bits bytes; those of the longest text so far are kept."""
+    if _KEPT.get("bits", -1) < bits:
+        up, down = (np.full(1 << bits, base, np.uint64) for base in (_BASE, pow(_BASE, -1, 2**64)))
+        up[0] = down[0] = 1
+        _KEPT.update(bits=bits, powers=(np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)))
+    return _KEPT["powers"]
 
 
-@functools.lru_cache(maxsize=1)
-def _word_bytes() -> np.ndarray:
-    """Which bytes of UTF-8 belong to words: ASCII letters and digits, and all others beyond ASCII."""
-    return np.array([chr(b).isalnum() or b >= 128 for b in range(256)])
-
-
-@functools.lru_cache(maxsize=1)
-def _blanked() -> bytes:
-    return bytes(b if inside else 32 for b, inside in enumerate(_word_bytes()))
+#: Which bytes of UTF-8 belong to words: ASCII letters and digits, and all others beyond ASCII.
+_WORD_BYTES = np.array([chr(b).isalnum() or b >= 128 for b in range(256)])
+_BLANKED = bytes(b if inside else 32 for b, inside in enumerate(_WORD_BYTES))
 
 
 def packed(text: str) -> bytes:
     """The words of a text, compressed: all that its k-mers need, in about a third of its bytes."""
-    return zlib.compress(b" ".join(text.lower().encode("utf-8", "replace").translate(_blanked()).split()), 6)
+    return zlib.compress(b" ".join(text.lower().encode("utf-8", "replace").translate(_BLANKED).split()), 6)
 
 
 def unpacked(words: bytes) -> str:
@@ -75,7 +78,7 @@ def unpacked(words: bytes) -> str:
 
 def word_hashes(text: str) -> np.ndarray:
     raw = np.frombuffer(text.lower().encode("utf-8", "replace"), np.uint8)
-    inside = _word_bytes()[raw]
+    inside = _WORD_BYTES[raw]
     turns = np.flatnonzero(np.diff(np.concatenate([[0], inside.view(np.int8), [0]])))
     starts, ends = turns[::2], turns[1::2]
     up, down = _powers(max(16, len(raw).bit_length()))
@@ -239,16 +242,48 @@ def _labelled_members(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(own, "text_key", "left").withColumn("component", F.coalesce("component", "text_key"))
 
 
+def _kmer_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for key, words in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("text_key", "packed"))):
+            own = pa.array(labelled(kmers(unpacked(words))).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array([key], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)], ["text_key", "kmers"])
+
+
+def rare_kmers(texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(bucket, text_key, n_kmers, onward)``: the shared k-mers by which a text can be found by one that is near to it.
+
+    All texts order their labelled k-mers alike, by the number of texts that hold
+    them, rarest first.  ``onward`` counts the k-mers of a text from this one on.
+    Two texts share at most the smaller ``onward`` of their first common k-mer, so it
+    must be enough for the similarity: a text that has more k-mers of its own than
+    a near one may lack has no row at all, however long the passages are that it
+    shares with others.
+    """
+    sets = scratch.write(texts.select("text_key", "packed").mapInArrow(_kmer_sets, "text_key binary, kmers array<bigint>"), "sets")
+    each = sets.select("text_key", F.size("kmers").alias("n_kmers"), F.explode("kmers").alias("bucket"))
+    held = each.groupBy("bucket").agg(F.count("*").alias("holders")).filter("holders > 1")
+    own = Window.partitionBy("text_key")
+    ranked = each.join(held, "bucket").withColumn("onward", F.row_number().over(own.orderBy(F.desc("holders"), F.desc("bucket"))))
+    return ranked.filter(F.col("onward") >= SIMILARITY * F.col("n_kmers") - 1e-6).select("bucket", "text_key", "n_kmers", "onward")
+
+
+def _enough(onward: Column, other: Column, n: Column, m: Column) -> Column:
+    """Whether so many k-mers in common can be ``SIMILARITY`` of those of two texts with ``n`` and ``m``."""
+    return F.least(onward, other) * (1 + SIMILARITY) >= SIMILARITY * (n + m) - 1e-6
+
+
 def text_classes(sketches: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """``(node, component)`` for the texts of ``sketches`` that are near to another text.
 
     Equal texts are one text here.  Every bucket first compares its texts with one
     leader, so a bucket of any size costs one comparison per text.  A bucket whose
-    texts are then all in one component is done.  In the others, texts of different
+    texts are then all in one component is done.  The texts of the others are put
+    into new buckets, one for each of their rare k-mers (``rare_kmers``), in which two
+    texts that are near must meet.  There, texts of different
     components are compared: all of them where at most ``SMALL_BUCKET`` are left,
     else some leaders with all others, twice as many each round; a leader is then
     done and leaves its bucket.  Rounds go on until no bucket holds two components with a pair that was
-    not compared, so the classes are those of all pairs that share a band.
+    not compared, so no pair that shares a band and is near is lost.
     """
     distinct = sketches.groupBy("text_key").agg(F.first("bands").alias("bands"), F.first("n_kmers").alias("n_kmers"))
     in_buckets = distinct.select("text_key", "n_kmers", F.explode(F.array_distinct("bands")).alias("bucket"))
@@ -264,29 +299,46 @@ def text_classes(sketches: DataFrame, docs: DataFrame, scratch: Scratch) -> Data
     pairs = others.filter(_alike("n_kmers", "leader_kmers")).select(F.col("leader").alias("a"), F.col("text_key").alias("b")).distinct()
     tested = scratch.write(pairs, "tested0")
     links = scratch.write(linked(tested, texts), "links0")
-    # Two texts in a bucket have met by now.
-    rest = scratch.write(others.filter("n > 2").select("bucket", "text_key", "n_kmers"), "rest")
     labels, number = components(links, scratch), 0
+
+    # Two texts in a bucket have met by now; a leader has met all others.
+    rest = _labelled_members(others.filter("n > 2").select("bucket", "text_key"), labels)
+    mixed = rest.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least != most")
+    open_texts = scratch.write(rest.join(mixed, "bucket", "left_semi").select("text_key").distinct(), "open")
+    scratch.drop("members")
+    rest = scratch.write(rare_kmers(texts.join(open_texts, "text_key", "left_semi"), scratch), "rest")
+    scratch.drop("sets", "open")
     while True:
         number += 1
-        within = Window.partitionBy("bucket")
         # The rows of one component in a bucket are counted before they meet.
-        parts = _labelled_members(rest, labels).groupBy("bucket", "component").agg(F.count("*").alias("of_component"))
-        parts = parts.withColumn("left", F.sum("of_component").over(within)).withColumn("parts", F.count("*").over(within)).filter("parts > 1")
-        now = scratch.write(_labelled_members(rest, labels).join(parts.drop("parts"), ["bucket", "component"]), "now")
+        named = _labelled_members(rest, labels)
+        parts = named.groupBy("bucket", "component").agg(
+            F.count("*").alias("of_component"), F.max(_enough(F.col("onward"), F.col("onward"), F.col("n_kmers"), F.col("n_kmers"))).alias("as_shorter")
+        )
+        # Of two texts the shorter one needs the longer rest of common k-mers.
+        left = parts.groupBy("bucket").agg(F.sum("of_component").alias("left"), F.count("*").alias("parts"), F.max("as_shorter").alias("as_shorter"))
+        left = left.filter("parts > 1 and as_shorter").select("bucket", "left")
+        now = scratch.write(named.join(parts.drop("as_shorter"), ["bucket", "component"]).join(left, "bucket"), "now")
         if not now.limit(1).count():
+            scratch.drop("now", "rest", "texts", *(f"{name}{k}" for name in ("tested", "links") for k in range(number)))
             return labels
         # Leaders come from the smallest components of their bucket, because a component with nothing left beside it is done.
-        rank = F.row_number().over(within.orderBy("of_component", "component", "text_key"))
-        leads = now.withColumn("rank", rank).filter((F.col("rank") <= LEADERS << min(number - 1, 20)) | (F.col("left") <= SMALL_BUCKET))
-        leads = leads.select("bucket", F.col("text_key").alias("lead"), F.col("n_kmers").alias("lead_kmers"), F.col("component").alias("lead_component"))
-        apart = now.join(leads, "bucket").filter(F.col("component") != F.col("lead_component")).filter(_alike("n_kmers", "lead_kmers"))
-        pairs = apart.select(F.least("lead", "text_key").alias("a"), F.greatest("lead", "text_key").alias("b")).distinct()
+        # The first of each task are chosen before the shuffle, so no task ranks a whole bucket.
+        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("of_component", "component", "text_key"))
+        first = now.filter(F.col("left") > SMALL_BUCKET).withColumn("rank", rank).filter(F.col("rank") <= LEADERS << min(number - 1, 20)).drop("rank")
+        leads = scratch.write(now.filter(F.col("left") <= SMALL_BUCKET).unionByName(first), "leads").select(
+            "bucket", *(F.col(c).alias(f"lead_{c}") for c in ("text_key", "component", "n_kmers", "onward"))
+        )
+        apart = F.col("component") != F.col("lead_component")
+        enough = _enough(F.col("onward"), F.col("lead_onward"), F.col("n_kmers"), F.col("lead_n_kmers"))
+        met = now.join(leads, "bucket").filter(apart & enough & _alike("n_kmers", "lead_n_kmers"))
+        pairs = met.select(F.least("lead_text_key", "text_key").alias("a"), F.greatest("lead_text_key", "text_key").alias("b")).distinct()
         fresh = scratch.write(pairs.join(tested, ["a", "b"], "left_anti"), f"tested{number}")
         links = links.unionByName(scratch.write(linked(fresh, texts), f"links{number}"))
         tested = tested.unionByName(fresh)
-        done = leads.select("bucket", F.col("lead").alias("text_key"))
-        rest = scratch.write(now.select("bucket", "text_key", "n_kmers").join(done, ["bucket", "text_key"], "left_anti"), "rest")
+        done = leads.select("bucket", F.col("lead_text_key").alias("text_key"))
+        rest = scratch.write(now.select("bucket", "text_key", "n_kmers", "onward").join(done, ["bucket", "text_key"], "left_anti"), "rest")
+        scratch.drop("leads")
         labels = components(links, scratch)
 
 
