@@ -54,6 +54,15 @@ def test_versions_stay(spark):
     assert [shards.stored_map(spark, folder, v).first().shard for v in (1, 2)] == [0, 3]
 
 
+def test_one_id_with_most_rows(spark):
+    """Repeated and null ids do not bend the law."""
+    docs = spark.range(8000).selectExpr("case when id % 4 = 0 then id when id % 4 = 1 then null else 7 end doc_id", "concat('text ', id) text")
+    rows, load = shards.shard(docs, shared_folder(spark, "maps")).collect(), Counter()
+    for r in rows:
+        load[r.shard] += r["size"]
+    assert len(rows) == 8000 and gapless(rows) and max(load.values()) - min(load.values()) <= 0.02 * sum(load.values()) / 16
+
+
 def test_odd_rows(spark, odd_docs, odd_rows, no_docs):
     rows = shards.shard(odd_docs, shared_folder(spark, "maps"), 3, 32).collect()
     assert len(rows) == len(odd_rows) and gapless(rows)
