@@ -28,6 +28,20 @@ def test_named_parts_go():
     assert main_text(page) == "One link & co x. Next\n\nShort.\n\na\n\nb\n\nLast"
 
 
+def test_names_that_belong_to_the_article():
+    kept = (
+        '<h2 id="search-algorithms">A</h2>', '<h2 id="comments-on-method">B</h2>', '<p id="notice-period">C</p>', '<section id="related-work"><p>D</p></section>',
+        '<div class="side-by-side">E</div>', '<div class="section-header">F</div>', '<figure class="share-price">G</figure>',
+    )
+    gone = (
+        '<div class="share-buttons">x</div>', '<section id="comments">x</section>', '<div class="relatedPosts">x</div>', '<div class="ad-slot-2">x</div>',
+        '<div class="cookie-notice">x</div>', '<p class="notice">x</p>',
+    )
+    for tag in ("article", "main"):
+        page = f"<body><{tag}><p>Start of it all.</p>" + "".join(kept) + "".join(gone) + f"<p>End.</p></{tag}></body>"
+        assert main_text(page) == "\n\n".join(["Start of it all.", *"ABCDEFG", "End."])
+
+
 def test_regions_without_an_article():
     page = (
         "<body><div><a href=1>aaa</a> <a href=2>bbb</a> <a>ccc</a></div><div><h2>A head</h2><p>" + "Long text of the page. " * 5

@@ -69,12 +69,23 @@ NOT_CONTENT = re.compile(
     r"head|header|masthead|notices?|cookies?|consent|gdpr|alerts?|popup|modal|overlay|newsletter|subscribe|signup|login|share|"
     r"sharing|social|related|recommend\w*|comment\w*|disqus|respond|reply|replies|widgets?|search\w*|pagination|pager|toolbar)"
 )
+#: Words that only say what sort of box it is: inside an article a name of others than these and listed words is the author's own.
+BOX_WORDS = frozenset(
+    "area article articles bar block body bottom box btn button buttons card cards container content count entry extra form global group "
+    "icon icons inner item items left link links list lists main now outer page panel post posts primary right row secondary site slot "
+    "stories story this title top unit user users wrap wrapper".split()
+)
 ONLY_STATES = frozenset("has with no without open closed enabled disabled".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 
 
-def _named_away(tag: str, attributes: dict) -> bool:
-    """Whether the element's own marks say that it is no content."""
+def _named_away(tag: str, attributes: dict, inside: bool) -> bool:
+    """Whether the element's own marks say that it is no content.
+
+    A class or id does if its first or last word is listed.  ``inside`` an article all of
+    its words must be listed, box words or numbers, as ids there are often made
+    from a heading.  The id of a heading or paragraph says nothing anywhere.
+    """
     if tag in DROPPED:
         return True
     if tag in NEVER_BY_CLASS:
@@ -83,10 +94,12 @@ def _named_away(tag: str, attributes: dict) -> bool:
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style") or ""):
         return True
-    for name in f"{attributes.get('class') or ''} {attributes.get('id') or ''}".split():
+    own_id = "" if tag == "p" or tag in HEADINGS else attributes.get("id") or ""
+    for name in f"{attributes.get('class') or ''} {own_id}".split():
         parts = [x for x in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if x]
         if parts and not ONLY_STATES & set(parts) and (NOT_CONTENT.fullmatch(parts[0]) or NOT_CONTENT.fullmatch(parts[-1])):
-            return True
+            if not inside or all(x in BOX_WORDS or x.isdecimal() or NOT_CONTENT.fullmatch(x) for x in parts):
+                return True
     return False
 
 
@@ -130,7 +143,7 @@ class Lines(HTMLParser):
                 self.lines[-1][2] += 1
                 self.new_line() if tag == "hr" else self.lines[-1][0].append(" ")
             return
-        away = _named_away(tag, dict(attrs)) if attrs else tag in DROPPED
+        away = _named_away(tag, dict(attrs), self.around[-1] > 0) if attrs else tag in DROPPED
         self.open.append((tag, away))
         self.dropped += away
         self.links += tag == "a"
