@@ -334,12 +334,14 @@ def text_classes(sketches: DataFrame, docs: DataFrame, scratch: Scratch) -> Data
         met = now.join(leads, "bucket").filter(apart & enough & _alike("n_kmers", "lead_n_kmers"))
         pairs = met.select(F.least("lead_text_key", "text_key").alias("a"), F.greatest("lead_text_key", "text_key").alias("b")).distinct()
         fresh = scratch.write(pairs.join(tested, ["a", "b"], "left_anti"), f"tested{number}")
-        links = links.unionByName(scratch.write(linked(fresh, texts), f"links{number}"))
+        found = scratch.write(linked(fresh, texts), f"links{number}")
+        links = links.unionByName(found)
         tested = tested.unionByName(fresh)
         done = leads.select("bucket", F.col("lead_text_key").alias("text_key"))
         rest = scratch.write(now.select("bucket", "text_key", "n_kmers", "onward").join(done, ["bucket", "text_key"], "left_anti"), "rest")
         scratch.drop("leads")
-        labels = components(links, scratch)
+        if found.limit(1).count():
+            labels = components(links, scratch)
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
