@@ -103,12 +103,23 @@ def comment_progress(runs: DataFrame, posts: DataFrame, comments: DataFrame, not
         runs.select("run_id").distinct().join(considered, "run_id", "left").join(stored, "run_id", "left")
         .join(saved, "run_id", "left")
     )
+    return progress_status(joined)
+
+
+def progress_status(joined: DataFrame) -> DataFrame:
+    """The status rule of :func:`comment_progress` over one row per run.
+
+    Columns: ``run_id``, ``posts_considered``; ``has_saved`` and the three saved
+    counts; ``stored_posts``, ``stored_comments``.  Others stay.
+    """
+    used = ("posts_considered", "stored_posts", "stored_comments", "has_saved", "posts_completed", "posts_skipped_empty", "comments_collected")
+    rest = [c for c in joined.columns if c not in used]
     has_saved = F.coalesce("has_saved", F.lit(False))
     total = F.coalesce("posts_considered", F.lit(0))
     finished = F.col("posts_completed") + F.col("posts_skipped_empty")
     has_data = F.coalesce("stored_comments", F.lit(0)) > 0
     return joined.select(
-        "run_id",
+        *rest,
         F.when(has_saved, F.when((total > 0) & (finished >= total), "complete").otherwise("in_progress"))
         .when(has_data, "unknown")
         .otherwise("not_started")

@@ -72,7 +72,10 @@ def start(store: Store, spec: dict, fresh: bool = False) -> dict:
 
 
 def resume(store: Store, spec: dict) -> dict:
-    """Run id of the collection to continue; filters and sort must be as stored."""
+    """Run id of the collection to continue; filters and sort must be as stored.
+
+    Another ``max_posts`` than before is the collection's cap from now on.
+    """
     made = _spec_row(store, spec).take(1)[0]
     known = _state_of(store, made["name"]) if made["name"] else None
     if not known:
@@ -83,6 +86,8 @@ def resume(store: Store, spec: dict) -> dict:
         raise CollectionError(f"collection {known['name']!r} was stored with another {differs[0]}")
     if not known["run_id"]:
         raise CollectionError(f"collection {known['name']!r} has no run id")
+    if "max_posts" in spec and spec["max_posts"] != known["max_posts"]:
+        _record(store, known["name"], known["run_id"], "cap", stored, spec["max_posts"])
     return {"name": known["name"], "run_id": known["run_id"]}
 
 

@@ -8,8 +8,9 @@ whatever step it died at and however many rows it has this time.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -20,17 +21,21 @@ from threadloom.operators.tree import flatten_trees, tree_errors, tree_nodes
 from threadloom.operators.progress import done_ids
 from threadloom.sources.lines import parse_log_lines
 from threadloom.sources.payloads import explode_pages, with_page_error
-from threadloom.sources.store import Store, append_records, stored_keys
+from threadloom.sources.store import Store, append_records, stored_done, stored_keys
 from threadloom.streaming.arrival import STATE_CONF, first_arrivals
 
 
 @dataclass(frozen=True)
 class IngestResult:
-    """Batches that are done, whether the run was asked to stop, and whether it stopped at its cap."""
+    """Batches that are done, whether the run was asked to stop, and whether it stopped at its cap.
+
+    ``session`` is the name of the call in the store's log.
+    """
 
     batches: int
     stopped: bool
     capped: bool = False
+    session: str = field(default="", compare=False)
 
 
 #: What a handler returns when the cap cut its batch short: the batch stays open.
@@ -41,7 +46,9 @@ class _Stopped(Exception):
     pass
 
 
-def _drain(stream: DataFrame, handle, checkpoint: str, should_stop: Callable[[], bool] | None) -> IngestResult:
+def _drain(
+    stream: DataFrame, handle, checkpoint: str, should_stop: Callable[[], bool] | None, session: str = ""
+) -> IngestResult:
     """Process everything that has landed, batch by batch, until done or asked to stop.
 
     A stop is honoured between batches: the finished batch is committed and the
@@ -71,7 +78,7 @@ def _drain(stream: DataFrame, handle, checkpoint: str, should_stop: Callable[[],
         # The query reports our own stop as a failed batch; anything else is real.
         if not done["stop"] or _Stopped.__name__ not in str(exc):
             raise
-    return IngestResult(done["batches"], done["stop"] and not done["capped"], done["capped"])
+    return IngestResult(done["batches"], done["stop"] and not done["capped"], done["capped"], session)
 
 
 # ------------------------------------------------------------------ posts
@@ -124,6 +131,8 @@ def ingest_posts(
     that cannot be used go to ``page_errors``.  ``after_raw`` is called between reading a batch and writing it (for tests).
     """
 
+    session = uuid.uuid4().hex
+
     def handle(batch: DataFrame, batch_id: int) -> None:
         store.begin("posts", run_id, batch_id)
         checked = with_page_error(with_lines(batch))
@@ -141,11 +150,11 @@ def ingest_posts(
             if after_raw:
                 after_raw(batch_id)
             append_records(fresh, store, "posts", run_id, batch_id, order)
-            store.commit("posts", run_id, batch_id)
+            store.commit("posts", run_id, batch_id, session)
         finally:
             fresh.unpersist()
 
-    return _drain(page_stream(store.spark, landing, files_per_batch, page_per_line), handle, checkpoint, should_stop)
+    return _drain(page_stream(store.spark, landing, files_per_batch, page_per_line), handle, checkpoint, should_stop, session)
 
 
 def ingest_posts_stateful(
@@ -173,6 +182,7 @@ def ingest_posts_stateful(
     arrived = first_arrivals(with_post_key(explode_pages(pages, keep_errors=True)).withColumn("id", F.when(F.col("page_error").isNull(), F.col("id"))))
     order = [F.col("page"), F.col("block"), F.col("line")]
     stored: dict[str, int] = {}
+    session = uuid.uuid4().hex
 
     def handle(batch: DataFrame, batch_id: int):
         rows = batch.persist()
@@ -189,7 +199,7 @@ def ingest_posts_stateful(
                 fresh = fresh.orderBy(*order).limit(room) if capped else fresh
                 stored["n"] += min(n, room)
             append_records(fresh, store, "posts", run_id, batch_id, order)
-            store.commit("posts", run_id, batch_id)
+            store.commit("posts", run_id, batch_id, session)
             return _CAPPED if capped else None
         finally:
             rows.unpersist()
@@ -199,7 +209,7 @@ def ingest_posts_stateful(
     for k, v in STATE_CONF.items():
         conf.set(k, v)
     try:
-        return _drain(arrived, handle, checkpoint, should_stop)
+        return _drain(arrived, handle, checkpoint, should_stop, session)
     finally:
         for k, v in before.items():
             conf.unset(k) if v is None else conf.set(k, v)
@@ -223,14 +233,19 @@ def ingest_comments(
     wanted: DataFrame | None = None,
     files_per_batch: int | None = None,
     should_stop: Callable[[], bool] | None = None,
+    skip_empty: bool = True,
 ) -> IngestResult:
     """Flatten, normalize and store landed comment trees, once per post.
 
     Landed files are JSON lines ``{"post_id", "payload"}``.  Posts already done
-    are skipped; ``wanted`` (a column ``id``) limits the posts.  An unusable
+    are skipped, with ``skip_empty`` also the run's posts that say they have no
+    comments: those are noted first (see :func:`note_empty_posts`); ``wanted`` (a column ``id``) limits the posts.  An unusable
     payload goes to ``tree_errors`` and leaves its post open.  A line that is not
     such an object, or names no post, goes to ``line_errors`` with its text.
     """
+    session = uuid.uuid4().hex
+    if skip_empty:
+        note_empty_posts(store, run_id, session)
     reader = store.spark.readStream.format("text")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -238,7 +253,7 @@ def ingest_comments(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         store.begin("comments", run_id, batch_id)
-        done = store.read("done_posts", run_id).filter(F.col("batch_id") != batch_id)
+        done = stored_done(store, run_id, batch_id)
         lines = with_object(batch.filter(F.trim("value") != ""), "value", "post_id string, payload string", "line")
         lines = lines.withColumn("post_id", dedup_key("line.post_id")).withColumn("payload", F.col("line.payload"))
         unusable = F.col("post_id").isNull() | F.col("payload").isNull()
@@ -257,11 +272,35 @@ def ingest_comments(
             usable = trees.select("post_id").join(failed.select("post_id"), "post_id", "left_anti").filter("post_id is not null")
             # A post counts as done only together with its comments.
             store.write_batch("done_posts", usable, run_id, batch_id)
-            store.commit("comments", run_id, batch_id)
+            store.commit("comments", run_id, batch_id, session)
         finally:
             flat.unpersist()
 
-    return _drain(stream, handle, checkpoint, should_stop)
+    return _drain(stream, handle, checkpoint, should_stop, session)
+
+
+def note_empty_posts(store: Store, run_id: str, session: str | None = None) -> None:
+    """Note the stored posts that say they have no comments, so that they count as done.
+
+    A batch of posts is looked at once, and again only when it was replaced.  A
+    post that is done already, or has no usable id, is not noted.
+    """
+    events = store.events().filter(F.col("run_id") == run_id)
+    posts = events.filter("stream = 'posts'").select("batch_id", F.col("try").alias("of"))
+    looked = events.filter("stream = 'skips'").select("batch_id", "of")
+    # One short row per batch of posts since the last call.
+    fresh = {r["batch_id"]: r["of"] for r in posts.join(looked, ["batch_id", "of"], "left_anti").collect()}
+    if not fresh:
+        return
+    here = F.col("batch_id").isin(list(fresh))
+    empty = store.read("posts", run_id).filter(here & (F.col("num_comments") == 0))
+    empty = empty.select(dedup_key("id").alias("post_id"), "batch_id").filter("post_id is not null")
+    known = store.read("done_posts", run_id).select("post_id").unionByName(
+        store.read("skipped_posts", run_id).filter(~here).select("post_id")
+    )
+    noted = empty.groupBy("post_id").agg(F.min("batch_id").alias("batch_id"))
+    noted = noted.join(done_ids(known), F.col("post_id") == F.col("__done"), "left_anti")
+    store.write_derived("skipped_posts", noted, run_id, fresh, session)
 
 
 def ingest_both(posts: Callable[[], IngestResult], comments: Callable[[], IngestResult]) -> tuple:
