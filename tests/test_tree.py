@@ -192,3 +192,10 @@ def test_half_surrogates_and_any_depth(spark):
     got = {r.post_id: r for r in flat.groupBy("post_id").agg(F.count("*").alias("n"), F.max("depth").alias("depth"), F.max("error").alias("error"), F.max("node").alias("node")).collect()}
     assert got["deep"].n == depth and got["deep"].depth == depth - 1 and got["deep"].error is None
     assert got["odd"].error is None and "half ? emoji" in got["odd"].node and got["bad"].error is not None
+
+
+def test_words_that_are_no_json_are_refused_at_every_depth(spark):
+    deep = '{"data":' + "[" * 5000 + "NaN" + "]" * 5000 + "}"
+    rows = [("flat", '{"data":[NaN]}'), ("deep", deep), ("inf", '{"data":[{"kind":"t1","data":{"id":"a","score":-Infinity}}]}')]
+    flat = flatten_trees(spark.createDataFrame(rows, "post_id string, payload string")).collect()
+    assert sorted((r.post_id, r.error) for r in flat) == [(p, "not readable: ValueError") for p in ("deep", "flat", "inf")]

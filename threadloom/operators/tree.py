@@ -208,9 +208,14 @@ def _parse_deep(text: str):
             raise ValueError(f"unexpected text at {at}")
 
 
+def _refuse(name: str):
+    raise ValueError(f"{name} is no JSON")
+
+
 def _parse(text: str):
+    """A JSON value; ``NaN`` and ``Infinity`` are refused at every depth."""
     try:
-        return json.loads(text)
+        return json.loads(text, parse_constant=_refuse)
     except RecursionError:
         return _parse_deep(text)
 
