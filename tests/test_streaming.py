@@ -409,3 +409,26 @@ def test_collection_life(site):
         "name string, mismatch string, posts_run string, comments_run string, identity string, max_posts int")
     copy_old_progress(site.store, migratable(old, current(site.store)))
     assert resume(site.store, {**spec, "subreddit": "old"})["run_id"] == "oldrun" and resume(site.store, spec) == again
+
+
+def test_ids_cost_the_state_no_call_each(site):
+    """Ten thousand posts of which some have no id: a call per id took about a millisecond each, and posts without an id left no trace."""
+    page = lambda n: json.dumps({"data": [{"id": f"i{n % 9000}", "created_utc": n}, {"id": None, "created_utc": n}]})
+    (site.root / "pages").mkdir()
+    (site.root / "pages" / "a.json").write_text("\n".join(page(n) for n in range(10_000)))
+    stateful(site, files_per_batch=None, page_per_line=True)
+    posts = site.store.read("posts", "r")
+    assert posts.filter("id is null").count() == 10_000 and posts.filter("id is not null").count() == 9_000
+    assert posts.filter("id is not null").agg(F.max("created_utc")).first()[0] == 8999.0
+    state = site.spark.read.format("statestore").load(str(site.root / "p"))
+    kept_keys = [r[0] for r in state.select("key.key").collect()]
+    assert sum(not k.startswith("\0") for k in kept_keys) == 9_000 == known_arrivals(site.spark, str(site.root / "p")).count()
+    assert sum(k.startswith("\0") for k in kept_keys) <= 4096
+
+
+def test_first_arrivals_plan_calls_no_python_per_id(spark):
+    from threadloom.streaming.arrival import first_arrivals
+
+    stream = spark.readStream.format("rate").load().selectExpr("cast(value as string) id", "'p' page", "0L block")
+    plan = first_arrivals(stream)._jdf.queryExecution().logical().toString()
+    assert "TransformWithState" not in plan and "Deduplicate" in plan

@@ -888,7 +888,7 @@ def stream_first_arrivals(spark, sf_dir):
         _event_pages(spark, sf_dir, F.col("user_id")).select("value").write.mode("append").text(f"{landed}/pages")
         ingest_posts_stateful(store, f"{landed}/pages", "run", f"{landed}/progress", page_per_line=True)
     arrivals = known_arrivals(spark, f"{landed}/progress")
-    return arrivals.join(arrivals.agg(F.count(F.lit(1)).alias("known"))).select("id", "known")
+    return arrivals.select("id", F.lit(arrivals.count()).cast("bigint").alias("known"))
 
 
 @query(

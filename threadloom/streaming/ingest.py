@@ -22,7 +22,7 @@ from threadloom.operators.progress import done_ids
 from threadloom.sources.lines import parse_log_lines
 from threadloom.sources.payloads import explode_pages, with_page_error
 from threadloom.sources.store import Store, append_records, stored_done, stored_keys
-from threadloom.streaming.arrival import STATE_CONF, first_arrivals
+from threadloom.streaming.arrival import STATE_CONF, first_arrivals, write_arrivals
 
 
 @dataclass(frozen=True)
@@ -190,7 +190,7 @@ def ingest_posts_stateful(
         try:
             bad = rows.filter("page_error is not null").select("page", F.col("value").alias("payload"), "page_error")
             store.write_batch("page_errors", bad, run_id, batch_id)
-            fresh, capped = rows.filter("page_error is null").drop("id", "page_error"), False
+            fresh, capped = rows.filter("page_error is null").drop("id", "key", "page_error"), False
             if max_posts is not None:
                 if not stored:  # once per call; a batch that is read again does not count itself
                     stored["n"] = store.read("posts", run_id).filter(F.col("batch_id") != batch_id).count()
@@ -198,6 +198,8 @@ def ingest_posts_stateful(
                 capped = n > room
                 fresh = fresh.orderBy(*order).limit(room) if capped else fresh
                 stored["n"] += min(n, room)
+            if not capped:  # else the batch stays open, and the state does not know it
+                write_arrivals(rows, checkpoint, batch_id)
             append_records(fresh, store, "posts", run_id, batch_id, order)
             store.commit("posts", run_id, batch_id, session)
             return _CAPPED if capped else None
