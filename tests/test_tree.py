@@ -199,3 +199,25 @@ def test_words_that_are_no_json_are_refused_at_every_depth(spark):
     rows = [("flat", '{"data":[NaN]}'), ("deep", deep), ("inf", '{"data":[{"kind":"t1","data":{"id":"a","score":-Infinity}}]}')]
     flat = flatten_trees(spark.createDataFrame(rows, "post_id string, payload string")).collect()
     assert sorted((r.post_id, r.error) for r in flat) == [(p, "not readable: ValueError") for p in ("deep", "flat", "inf")]
+
+
+def test_quarantine_walks_the_trees_once(spark):
+    from threadloom.operators.normalize import quarantined
+
+    trees = spark.createDataFrame(
+        [("good", '{"data":[{"kind":"t1","data":{"id":"a"}}]}'), ("node", '{"data":[{"kind":"t1"},{"data":5}]}'), ("tree", '{"data":5}'), ("none", None)],
+        "post_id string, payload string",
+    )
+    found = quarantined(flatten_trees(trees))
+    assert sorted(map(tuple, found.collect())) == [("node", "node"), ("node", "node"), ("none", "tree"), ("tree", "tree")]
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_tasks_over_a_large_scan_stay_short(spark, tmp_path, monkeypatch):
+    """A scan with a split per core kept one task per core however many rows it had."""
+    from threadloom.sources import spread
+
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    monkeypatch.setattr(spread, "ROWS_PER_TASK", 10)
+    dealt = spread.spread_scan(spark.read.parquet(str(tmp_path / "t")))
+    assert dealt.rdd.getNumPartitions() == 100 and dealt.distinct().count() == 1000

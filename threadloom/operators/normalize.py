@@ -133,6 +133,16 @@ def unusable_nodes(nodes: DataFrame, node: str = "node") -> DataFrame:
     return nodes.filter(read_object(node, _NODE_JSON)["data"].isNull())
 
 
+def quarantined(flat: DataFrame) -> DataFrame:
+    """``post_id, what`` of flattened trees that cannot be used: ``tree`` for a payload, ``node`` for a node without ``data``.
+
+    One pass over the trees, where ``tree_errors`` and :func:`unusable_nodes` beside each other walk them twice.
+    """
+    what = F.when(F.col("error").isNotNull(), "tree").when(read_object("node", _NODE_JSON)["data"].isNull(), "node")
+    # Exploded so that a node is parsed once, as in normalize_comments.
+    return flat.select("post_id", F.explode(F.array(what)).alias("what")).filter("what is not null")
+
+
 def project_fields(df: DataFrame, fields: str | list[str] | None) -> DataFrame:
     """Only the named fields (list or comma-separated); blank or empty keeps all."""
     names = fields.split(",") if isinstance(fields, str) else list(fields or [])

@@ -20,6 +20,9 @@ from threadloom.session import ensure_checkpoint_dir
 # The tree walk travels to the workers as code, so they need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# Made once: the library makes a new one for every call with options.
+_ENCODERS = {ascii_only: json.JSONEncoder(ensure_ascii=ascii_only) for ascii_only in (False, True)}
+
 _ROWS_PER_BATCH, _CHARS_PER_BATCH = 5_000, 64_000_000
 _FLAT_SCHEMA = (
     "post_id string, pos int, depth int, path array<string>, ords array<int>, node string, raw string, error string"
@@ -65,7 +68,7 @@ def _walk(nodes: list) -> Iterator[tuple]:
         data = node.get("data")
         if isinstance(data, dict):
             own = _path_id(data)
-            below = path + (own,) if own else path
+            below = path + (_storable(own),) if own else path
             children = [(c, depth + 1, below, ords + (i,)) for i, c in enumerate(_replies(data))]
             stack.extend(reversed(children))
 
@@ -80,7 +83,7 @@ def _without_replies(node: dict) -> dict:
 def _dump(value, ascii_only: bool = False) -> str:
     """JSON text of a value of any depth, as the library writes it."""
     try:
-        return json.dumps(value, ensure_ascii=ascii_only)
+        return _ENCODERS[ascii_only].encode(value)
     except RecursionError:
         return _dump_deep(value, {}, ascii_only)
 
@@ -131,7 +134,7 @@ def _raws() -> Callable[[dict, int], str]:
             return _storable(top[places[id(node)]])
         try:
             top, places = "", {}
-            return _storable(json.dumps(node, ensure_ascii=False))
+            return _storable(_ENCODERS[False].encode(node))
         except RecursionError:
             top = _dump_deep(node, places)
             return _storable(top)
@@ -212,22 +215,23 @@ def _refuse(name: str):
     raise ValueError(f"{name} is no JSON")
 
 
-def _parse(text: str):
+def _parse(text: str, decoder: json.JSONDecoder):
     """A JSON value; ``NaN`` and ``Infinity`` are refused at every depth."""
     try:
-        return json.loads(text, parse_constant=_refuse)
+        return decoder.decode(text)
     except RecursionError:
         return _parse_deep(text)
 
 
 def _flatten_batches(keep_raw: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = json.JSONDecoder(parse_constant=_refuse)
         for batch in batches:
             rows: list[tuple] = []
             size = 0
             for post_id, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
-                    tree = _parse(payload)
+                    tree = _parse(payload, decoder)
                     nodes = tree["data"] if isinstance(tree, dict) else None
                     error = None if isinstance(nodes, list) else "no list under data"
                 except (TypeError, ValueError, KeyError, RecursionError) as exc:
@@ -239,7 +243,7 @@ def _flatten_batches(keep_raw: bool):
                 for pos, (node, depth, path, ords) in enumerate(_walk(nodes)):
                     raw = raws(node, depth) if keep_raw else None
                     text = _storable(_dump(_without_replies(node)))
-                    rows.append((post_id, pos, depth, tuple(map(_storable, path)), ords, text, raw, None))
+                    rows.append((post_id, pos, depth, path, ords, text, raw, None))
                     size += len(text) + len(raw or "") + 16 * depth
                     if len(rows) >= _ROWS_PER_BATCH or size >= _CHARS_PER_BATCH:
                         yield _as_batch(rows)

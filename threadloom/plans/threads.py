@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from threadloom.operators.integrity import comment_stats, posts_with_comments
-from threadloom.operators.normalize import normalize_comments, unusable_nodes
+from threadloom.operators.normalize import normalize_comments, quarantined
 from threadloom.operators.tree import (
     collapsed_ids,
     collapsed_remainder,
     flatten_trees,
     rebuild_paths,
     subtree,
-    tree_errors,
     tree_nodes,
 )
 from threadloom.plans.registry import query, table
@@ -95,10 +94,7 @@ def flatten_threads(spark, sf_dir):
 )
 def tree_quarantine(spark, sf_dir):
     """Payloads that are no tree, and nodes that cannot be normalized."""
-    flat = flatten_trees(order_trees(spark, sf_dir))
-    return tree_errors(flat).select("post_id", F.lit("tree").alias("what")).unionByName(
-        unusable_nodes(tree_nodes(flat)).select("post_id", F.lit("node").alias("what"))
-    )
+    return quarantined(flatten_trees(order_trees(spark, sf_dir)))
 
 
 @query(
