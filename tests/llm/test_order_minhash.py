@@ -7,6 +7,7 @@ from hypothesis import given, settings, strategies as st
 
 from llm_helpers import SF, prose, read
 from threadloom.llm import order_minhash as om
+from threadloom.llm.common import Scratch
 from threadloom.llm.queries import QUERIES
 
 
@@ -121,3 +122,35 @@ def test_sketch_of_long_text_goes_in_steps(monkeypatch):
     seq = om.kmers(prose(5, 3000))
     whole = om.sketch(seq)
     assert np.array_equal(whole, om.sketch(seq.copy())) and len(whole) == om.BANDS
+
+
+def test_parity_never_parts_near_texts():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        a = rng.integers(0, 400, int(rng.integers(1, 300)), np.uint64)
+        b = np.delete(a, rng.integers(0, len(a), len(a) // 15)) if rng.random() < 0.5 else rng.permutation(a)
+        bits = sum(int(x).bit_count() for x in (om.parity(om.labelled(a)) ^ om.parity(om.labelled(b))).view(np.uint64))
+        left = set(om.labelled(a).tolist()) ^ set(om.labelled(b).tolist())
+        assert bits <= len(left)
+        if om.similarity(a, b) >= om.SIMILARITY:
+            assert bits * (1 + om.SIMILARITY) <= (1 - om.SIMILARITY) * (len(a) + len(b)) + 1e-6
+
+
+def test_many_links_between_two_components_count_once(spark, monkeypatch):
+    """Rounds of links went through all links again; now the work follows the components that they join."""
+    scratch = Scratch(spark, "test")
+    key = lambda i: bytes([i])
+    frame = lambda pairs: spark.createDataFrame([(key(a), key(b)) for a, b in pairs], "a binary, b binary")
+    labels = om.components(frame([(1, i) for i in range(2, 20)] + [(30, i) for i in range(31, 50)]), scratch)
+    sizes, real = [], om.components
+
+    def counted(links, *rest):
+        sizes.append(links.count())
+        return real(links, *rest)
+
+    monkeypatch.setattr(om, "components", counted)
+    labels = om.merged(labels, frame([(i, j) for i in range(1, 20) for j in range(30, 50)] + [(60, 61), (61, 62), (40, 5)]), scratch)
+    labels = om.merged(labels, frame([(62, 70), (2, 3)]), scratch)
+    want = {key(i): key(1) for i in (*range(1, 20), *range(30, 50))} | {key(i): key(60) for i in (60, 61, 62, 70)}
+    assert {bytes(r.node): bytes(r.component) for r in labels.collect()} == want and labels.count() == len(want)
+    assert sizes == [3, 1]

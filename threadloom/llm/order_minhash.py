@@ -29,9 +29,12 @@ K = 5
 SIMILARITY = 0.8
 BANDS = 16
 SAMPLED = 3
-#: A bucket with at most so many texts left is finished in one round; a larger one takes some leaders, twice as many each round.
+#: A bucket with at most so many texts left is finished in one round; a larger one takes some leaders, four times as many each round.
 SMALL_BUCKET = 64
 LEADERS = 16
+#: Bits of a text in which the parity of its k-mers is kept, as columns of 64.
+PARITY_BITS = 256
+_PARITY = [f"parity{i}" for i in range(PARITY_BITS // 64)]
 
 
 
@@ -216,32 +219,56 @@ def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(_near, "a binary, b binary")
 
 
-def components(links: DataFrame, scratch: Scratch) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch, name: str = "labels") -> DataFrame:
     """``(node, component)`` of every linked node: the smallest node that it reaches.
 
     A round takes the smallest label among a node's neighbours and then the label of
     that label, so long chains shrink by half; rounds end when no label changes.
     """
     both = scratch.write(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both_ways")
-    labels = scratch.write(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    labels = scratch.write(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), name)
     while True:
         around = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         nearer = labels.join(around, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         onward = labels.select(F.col("node").alias("component"), F.col("component").alias("next"))
         moved = nearer.join(onward, "component").select("node", "old", F.least("component", "next").alias("component"))
-        moved = scratch.write(moved, "moved")
-        changed = moved.filter("component != old").limit(1).count()
-        labels = scratch.write(moved.select("node", "component"), "labels")
-        if not changed:
-            scratch.drop("moved", "both_ways")
+        moved = scratch.write(moved, name)
+        labels = moved.select("node", "component")
+        if not moved.filter("component != old").limit(1).count():
+            scratch.drop("both_ways")
             return labels
 
 
+def merged(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """``labels`` after more links: each pair of components counts once, however many links join it."""
+    ends = links
+    for c in ("a", "b"):
+        ends = ends.join(labels.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")), c, "left").withColumn(f"of_{c}", F.coalesce(f"of_{c}", c))
+    joined = ends.filter("of_a != of_b").select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b")).distinct()
+    moves = components(joined, scratch, "moves")
+    onward = moves.select(F.col("node").alias("component"), F.col("component").alias("next"))
+    known = labels.join(onward, "component", "left").select("node", F.coalesce("next", "component").alias("component"))
+    return scratch.write(known.unionByName(moves.join(labels, "node", "left_anti")), "classes")
+
+
 def _labelled_members(members: DataFrame, labels: DataFrame) -> DataFrame:
     own = labels.withColumnRenamed("node", "text_key")
     return members.join(own, "text_key", "left").withColumn("component", F.coalesce("component", "text_key"))
 
 
+def parity(own: np.ndarray) -> np.ndarray:
+    """Labelled k-mers as bits: each turns one of them, so two texts differ in at most as many bits as in k-mers."""
+    turns = np.bincount((_mix(own) % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS)
+    return np.packbits(turns & 1).view(np.int64)
+
+
+def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys, texts = (batch.column(batch.schema.get_field_index(c)) for c in ("text_key", "packed"))
+        bits = np.array([parity(labelled(kmers(unpacked(words)))) for words in texts.to_pylist()], np.int64).reshape(-1, len(_PARITY))
+        yield pa.RecordBatch.from_arrays([keys, *(pa.array(column) for column in bits.T.copy())], ["text_key", *_PARITY])
+
+
 def _kmer_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for key, words in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("text_key", "packed"))):
@@ -272,6 +299,12 @@ def _enough(onward: Column, other: Column, n: Column, m: Column) -> Column:
     return F.least(onward, other) * (1 + SIMILARITY) >= SIMILARITY * (n + m) - 1e-6
 
 
+def _differ_little() -> Column:
+    """Whether the parities leave it open that two texts are near: their k-mers without a match are then at most one in nine of all."""
+    bits = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"lead_{c}"))) for c in _PARITY[1:]), F.bit_count(F.col(_PARITY[0]).bitwiseXOR(F.col(f"lead_{_PARITY[0]}"))))
+    return bits * (1 + SIMILARITY) <= (1 - SIMILARITY) * (F.col("n_kmers") + F.col("lead_n_kmers")) + 1e-6
+
+
 def text_classes(sketches: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """``(node, component)`` for the texts of ``sketches`` that are near to another text.
 
@@ -281,8 +314,9 @@ def text_classes(sketches: DataFrame, docs: DataFrame, scratch: Scratch) -> Data
     into new buckets, one for each of their rare k-mers (``rare_kmers``), in which two
     texts that are near must meet.  There, texts of different
     components are compared: all of them where at most ``SMALL_BUCKET`` are left,
-    else some leaders with all others, twice as many each round; a leader is then
-    done and leaves its bucket.  Rounds go on until no bucket holds two components with a pair that was
+    else some leaders with all others, four times as many each round; a leader is then
+    done and leaves its bucket.  Only pairs whose parities differ little are aligned, so
+    a large group of texts that share much and are not near makes few pairs.  Rounds go on until no bucket holds two components with a pair that was
     not compared, so no pair that shares a band and is near is lost.
     """
     distinct = sketches.groupBy("text_key").agg(F.first("bands").alias("bands"), F.first("n_kmers").alias("n_kmers"))
@@ -298,15 +332,16 @@ def text_classes(sketches: DataFrame, docs: DataFrame, scratch: Scratch) -> Data
     others = members.filter(F.col("text_key") != F.col("leader"))
     pairs = others.filter(_alike("n_kmers", "leader_kmers")).select(F.col("leader").alias("a"), F.col("text_key").alias("b")).distinct()
     tested = scratch.write(pairs, "tested0")
-    links = scratch.write(linked(tested, texts), "links0")
-    labels, number = components(links, scratch), 0
+    labels, number = components(scratch.write(linked(tested, texts), "links0"), scratch), 0
 
     # Two texts in a bucket have met by now; a leader has met all others.
     rest = _labelled_members(others.filter("n > 2").select("bucket", "text_key"), labels)
     mixed = rest.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least != most")
     open_texts = scratch.write(rest.join(mixed, "bucket", "left_semi").select("text_key").distinct(), "open")
     scratch.drop("members")
-    rest = scratch.write(rare_kmers(texts.join(open_texts, "text_key", "left_semi"), scratch), "rest")
+    unsettled = texts.join(open_texts, "text_key", "left_semi")
+    bits = scratch.write(unsettled.select("text_key", "packed").mapInArrow(_parities, ", ".join(["text_key binary", *(f"{c} bigint" for c in _PARITY)])), "bits")
+    rest = scratch.write(rare_kmers(unsettled, scratch), "rest")
     scratch.drop("sets", "open")
     while True:
         number += 1
@@ -318,30 +353,29 @@ def text_classes(sketches: DataFrame, docs: DataFrame, scratch: Scratch) -> Data
         # Of two texts the shorter one needs the longer rest of common k-mers.
         left = parts.groupBy("bucket").agg(F.sum("of_component").alias("left"), F.count("*").alias("parts"), F.max("as_shorter").alias("as_shorter"))
         left = left.filter("parts > 1 and as_shorter").select("bucket", "left")
-        now = scratch.write(named.join(parts.drop("as_shorter"), ["bucket", "component"]).join(left, "bucket"), "now")
+        now = scratch.write(named.join(parts.drop("as_shorter"), ["bucket", "component"]).join(left, "bucket").join(bits, "text_key"), "now")
         if not now.limit(1).count():
-            scratch.drop("now", "rest", "texts", *(f"{name}{k}" for name in ("tested", "links") for k in range(number)))
+            scratch.drop("now", "rest", "texts", "bits", *(f"{name}{k}" for name in ("tested", "links") for k in range(number)))
             return labels
         # Leaders come from the smallest components of their bucket, because a component with nothing left beside it is done.
         # The first of each task are chosen before the shuffle, so no task ranks a whole bucket.
         rank = F.row_number().over(Window.partitionBy("bucket").orderBy("of_component", "component", "text_key"))
-        first = now.filter(F.col("left") > SMALL_BUCKET).withColumn("rank", rank).filter(F.col("rank") <= LEADERS << min(number - 1, 20)).drop("rank")
+        first = now.filter(F.col("left") > SMALL_BUCKET).withColumn("rank", rank).filter(F.col("rank") <= LEADERS << min(2 * (number - 1), 20)).drop("rank")
         leads = scratch.write(now.filter(F.col("left") <= SMALL_BUCKET).unionByName(first), "leads").select(
-            "bucket", *(F.col(c).alias(f"lead_{c}") for c in ("text_key", "component", "n_kmers", "onward"))
+            "bucket", *(F.col(c).alias(f"lead_{c}") for c in ("text_key", "component", "n_kmers", "onward", *_PARITY))
         )
         apart = F.col("component") != F.col("lead_component")
         enough = _enough(F.col("onward"), F.col("lead_onward"), F.col("n_kmers"), F.col("lead_n_kmers"))
-        met = now.join(leads, "bucket").filter(apart & enough & _alike("n_kmers", "lead_n_kmers"))
+        met = now.join(leads, "bucket").filter(apart & enough & _alike("n_kmers", "lead_n_kmers") & _differ_little())
         pairs = met.select(F.least("lead_text_key", "text_key").alias("a"), F.greatest("lead_text_key", "text_key").alias("b")).distinct()
         fresh = scratch.write(pairs.join(tested, ["a", "b"], "left_anti"), f"tested{number}")
         found = scratch.write(linked(fresh, texts), f"links{number}")
-        links = links.unionByName(found)
         tested = tested.unionByName(fresh)
         done = leads.select("bucket", F.col("lead_text_key").alias("text_key"))
         rest = scratch.write(now.select("bucket", "text_key", "n_kmers", "onward").join(done, ["bucket", "text_key"], "left_anti"), "rest")
         scratch.drop("leads")
         if found.limit(1).count():
-            labels = components(links, scratch)
+            labels = merged(labels, found, scratch)
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
