@@ -1,9 +1,11 @@
+import itertools
 import random
 from collections import defaultdict
 
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from llm_helpers import SF, prose, read
 from threadloom.llm import order_minhash as om
@@ -154,3 +156,27 @@ def test_many_links_between_two_components_count_once(spark, monkeypatch):
     want = {key(i): key(1) for i in (*range(1, 20), *range(30, 50))} | {key(i): key(60) for i in (60, 61, 62, 70)}
     assert {bytes(r.node): bytes(r.component) for r in labels.collect()} == want and labels.count() == len(want)
     assert sizes == [3, 1]
+
+
+def test_a_pair_is_made_in_its_first_common_bucket(spark):
+    """Near copies of one text share many rare k-mers; each near pair must come out of the buckets once, and none be lost."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for _ in range(30):
+        own = list(base)
+        own[rng.randrange(len(own))] = f"x{rng.randrange(40)}"
+        texts.append(" ".join(own))
+    near = {
+        tuple(sorted((om.text_key(x, ""), om.text_key(y, ""))))
+        for x, y in itertools.combinations({om.text_key(s, ""): s for s in map(om.kmers, texts)}.values(), 2)
+        if om.similarity(x, y) >= om.SIMILARITY
+    }
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    scratch = Scratch(spark, "first-common")
+    rest = om.rare_kmers(om.keyed(docs, [], "packed").dropDuplicates(["text_key"]), scratch)
+    leads = rest.select("bucket", *(F.col(c).alias(f"lead_{c}") for c in ("text_key", "earlier")))
+    met = rest.join(leads, "bucket").filter("lead_text_key < text_key")
+    every, first = ([(bytes(r[0]), bytes(r[1])) for r in rows.select("lead_text_key", "text_key").collect()] for rows in (met, met.filter(om._first_here())))
+    assert near and near <= set(every) == set(first)
+    assert len(every) > 2 * len(set(every)) and len(first) == len(set(first))

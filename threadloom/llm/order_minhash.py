@@ -33,9 +33,10 @@ SAMPLED = 3
 SMALL_BUCKET = 64
 LEADERS = 16
 #: Bits of a text in which the parity of its k-mers is kept, as columns of 64.
-PARITY_BITS = 256
+PARITY_BITS = 512
 _PARITY = [f"parity{i}" for i in range(PARITY_BITS // 64)]
-
+#: A text takes so many of its rarer k-mers into the bucket of a k-mer, so that a pair that met there already is not made again.
+EARLIER = 16
 
 
 class _Kept(dict):
@@ -277,21 +278,24 @@ def _kmer_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def rare_kmers(texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(bucket, text_key, n_kmers, onward)``: the shared k-mers by which a text can be found by one that is near to it.
+    """``(bucket, text_key, n_kmers, onward, earlier)``: the shared k-mers by which a text can be found by one that is near to it.
 
     All texts order their labelled k-mers alike, by the number of texts that hold
     them, rarest first.  ``onward`` counts the k-mers of a text from this one on.
     Two texts share at most the smaller ``onward`` of their first common k-mer, so it
     must be enough for the similarity: a text that has more k-mers of its own than
     a near one may lack has no row at all, however long the passages are that it
-    shares with others.
+    shares with others.  ``earlier`` has the buckets of the text just before this one,
+    ``EARLIER`` at most.
     """
     sets = scratch.write(texts.select("text_key", "packed").mapInArrow(_kmer_sets, "text_key binary, kmers array<bigint>"), "sets")
     each = sets.select("text_key", F.size("kmers").alias("n_kmers"), F.explode("kmers").alias("bucket"))
     held = each.groupBy("bucket").agg(F.count("*").alias("holders")).filter("holders > 1")
     own = Window.partitionBy("text_key")
     ranked = each.join(held, "bucket").withColumn("onward", F.row_number().over(own.orderBy(F.desc("holders"), F.desc("bucket"))))
-    return ranked.filter(F.col("onward") >= SIMILARITY * F.col("n_kmers") - 1e-6).select("bucket", "text_key", "n_kmers", "onward")
+    kept = ranked.filter(F.col("onward") >= SIMILARITY * F.col("n_kmers") - 1e-6)
+    earlier = F.collect_list("bucket").over(own.orderBy("onward").rowsBetween(1, EARLIER))
+    return kept.select("bucket", "text_key", "n_kmers", "onward", earlier.alias("earlier"))
 
 
 def _enough(onward: Column, other: Column, n: Column, m: Column) -> Column:
@@ -305,6 +309,11 @@ def _differ_little() -> Column:
     return bits * (1 + SIMILARITY) <= (1 - SIMILARITY) * (F.col("n_kmers") + F.col("lead_n_kmers")) + 1e-6
 
 
+def _first_here() -> Column:
+    """Whether two texts of a bucket have no common bucket before it, as far as their rows tell; in their very first one that holds."""
+    return ~F.arrays_overlap("earlier", "lead_earlier")
+
+
 def text_classes(sketches: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """``(node, component)`` for the texts of ``sketches`` that are near to another text.
 
@@ -316,7 +325,8 @@ def text_classes(sketches: DataFrame, docs: DataFrame, scratch: Scratch) -> Data
     components are compared: all of them where at most ``SMALL_BUCKET`` are left,
     else some leaders with all others, four times as many each round; a leader is then
     done and leaves its bucket.  Only pairs whose parities differ little are aligned, so
-    a large group of texts that share much and are not near makes few pairs.  Rounds go on until no bucket holds two components with a pair that was
+    a large group of texts that share much and are not near makes few pairs, and a
+    pair is made in the first bucket that both have, not in each of those that follow.  Rounds go on until no bucket holds two components with a pair that was
     not compared, so no pair that shares a band and is near is lost.
     """
     distinct = sketches.groupBy("text_key").agg(F.first("bands").alias("bands"), F.first("n_kmers").alias("n_kmers"))
@@ -362,17 +372,17 @@ def text_classes(sketches: DataFrame, docs: DataFrame, scratch: Scratch) -> Data
         rank = F.row_number().over(Window.partitionBy("bucket").orderBy("of_component", "component", "text_key"))
         first = now.filter(F.col("left") > SMALL_BUCKET).withColumn("rank", rank).filter(F.col("rank") <= LEADERS << min(2 * (number - 1), 20)).drop("rank")
         leads = scratch.write(now.filter(F.col("left") <= SMALL_BUCKET).unionByName(first), "leads").select(
-            "bucket", *(F.col(c).alias(f"lead_{c}") for c in ("text_key", "component", "n_kmers", "onward", *_PARITY))
+            "bucket", *(F.col(c).alias(f"lead_{c}") for c in ("text_key", "component", "n_kmers", "onward", "earlier", *_PARITY))
         )
         apart = F.col("component") != F.col("lead_component")
         enough = _enough(F.col("onward"), F.col("lead_onward"), F.col("n_kmers"), F.col("lead_n_kmers"))
-        met = now.join(leads, "bucket").filter(apart & enough & _alike("n_kmers", "lead_n_kmers") & _differ_little())
+        met = now.join(leads, "bucket").filter(apart & enough & _alike("n_kmers", "lead_n_kmers") & _differ_little() & _first_here())
         pairs = met.select(F.least("lead_text_key", "text_key").alias("a"), F.greatest("lead_text_key", "text_key").alias("b")).distinct()
         fresh = scratch.write(pairs.join(tested, ["a", "b"], "left_anti"), f"tested{number}")
         found = scratch.write(linked(fresh, texts), f"links{number}")
         tested = tested.unionByName(fresh)
         done = leads.select("bucket", F.col("lead_text_key").alias("text_key"))
-        rest = scratch.write(now.select("bucket", "text_key", "n_kmers", "onward").join(done, ["bucket", "text_key"], "left_anti"), "rest")
+        rest = scratch.write(now.select("bucket", "text_key", "n_kmers", "onward", "earlier").join(done, ["bucket", "text_key"], "left_anti"), "rest")
         scratch.drop("leads")
         if found.limit(1).count():
             labels = merged(labels, found, scratch)
