@@ -31,7 +31,7 @@ BANDS = 16
 SAMPLED = 3
 #: A bucket with at most so many texts left is finished in one round; a larger one takes some leaders, four times as many each round.
 SMALL_BUCKET = 64
-LEADERS = 16
+LEADERS = 64
 #: Bits of a text in which the parity of its k-mers is kept, as columns of 64.
 PARITY_BITS = 512
 _PARITY = [f"parity{i}" for i in range(PARITY_BITS // 64)]
@@ -226,11 +226,13 @@ def components(links: DataFrame, scratch: Scratch, name: str = "labels") -> Data
     A round takes the smallest label among a node's neighbours and then the label of
     that label, so long chains shrink by half; rounds end when no label changes.
     """
-    both = scratch.write(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both_ways")
-    labels = scratch.write(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), name)
+    # Each node is its own neighbour too, so that one grouping sees its label and those around it.
+    ends = F.explode(F.array(*(F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x in "ab" for y in "ab"))).alias("end")
+    both = scratch.write(links.select(ends).select("end.*").distinct(), "both_ways")
+    labels = scratch.write(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")), name)
     while True:
-        around = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        nearer = labels.join(around, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
+        around = both.join(labels.select(F.col("node").alias("b"), "component"), "b")
+        nearer = around.groupBy(F.col("a").alias("node")).agg(F.max(F.when(F.col("a") == F.col("b"), F.col("component"))).alias("old"), F.min("component").alias("component"))
         onward = labels.select(F.col("node").alias("component"), F.col("component").alias("next"))
         moved = nearer.join(onward, "component").select("node", "old", F.least("component", "next").alias("component"))
         moved = scratch.write(moved, name)
