@@ -107,3 +107,20 @@ def test_old_files_and_strict_scan_names_the_line(spark, tmp_path):
         strict_lines(lines).collect()
     assert strict_lines(lines.filter("chunk_no < 10")).count() == 3
     assert scan_chunks(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_runs_are_not_dealt_to_one_task_each(spark, tmp_path, monkeypatch):
+    """The place where a run goes on was joined by sorting all rows of the run in one task."""
+    placed = []
+    real = chunks.assign_chunks
+    monkeypatch.setattr(chunks, "assign_chunks", lambda *a: placed.append(real(*a)) or placed[-1])
+    rows = spark.range(3000).select(F.concat(F.lit("r"), (F.col("id") % 2).cast("string")).alias("run_id"), F.col("id").cast("string").alias("value"), "id")
+    for batch in range(2):
+        append_chunks(rows, str(tmp_path), "posts", ["id"], 700, batch)
+    assert len(placed) == 2
+    for df in placed:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin [run_id#" in plan and "SortMergeJoin [run_id#" not in plan
+    got = scan_chunks(spark, str(tmp_path)).orderBy("run_id", "chunk_no", "line_no").collect()
+    assert [r.value for r in got] == [str(k) for run in (0, 1) for _ in range(2) for k in range(run, 3000, 2)]
+    assert {(r.chunk_no, r.line_no) for r in got if r.run_id == "r1"} == {(k // 700 + 1, k % 700 + 1) for k in range(3000)}

@@ -13,9 +13,9 @@ def with_position(
 ) -> DataFrame:
     """Add the 0-based position of each row in ``order``, per ``within`` group.
 
-    The rows are dealt into sorted ranges over (group, order) and written to the
-    checkpoint folder once.  Each range is numbered on its own, and the counts of
-    earlier ranges are added, so no task holds more than one range even when one
+    The rows are dealt into sorted ranges over (group, order), numbered there and
+    written to the checkpoint folder once.  A row then needs the place where its group
+    starts in its range, and the counts of earlier ranges, which are added, so no task holds more than one range even when one
     group has most of the rows.  Spark sizes the ranges: as many as
     ``spark.sql.shuffle.partitions`` at most, fewer for little data.  Written
     rows keep counts and numbers consistent when a lost executor forces a rerun.
@@ -27,24 +27,25 @@ def with_position(
     ensure_checkpoint_dir(df.sparkSession)
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     group = [F.col(c) for c in within]
-    dealt = df.repartitionByRange(*group, *order_cols).withColumn("__range", F.spark_partition_id()).checkpoint()
-    counts = dealt.groupBy("__range", *group).agg(F.count(F.lit(1)).alias("__n"))
+    sorted_ranges = df.repartitionByRange(*group, *order_cols).sortWithinPartitions(*group, *order_cols)
+    # The upper bits of such an id are the range, the lower 33 the place in it.
+    dealt = sorted_ranges.withColumn("__at", F.monotonically_increasing_id()).checkpoint()
+    dealt = dealt.withColumn("__range", F.shiftright("__at", 33))
+    counts = dealt.groupBy("__range", *group).agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
     # One row per range (and group), so this window is small by construction.
     before = Window.partitionBy(*(group or [F.lit(0)])).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(
         F.col("__range").alias("__r"),
         *[F.col(c).alias(f"__g{i}") for i, c in enumerate(within)],
-        F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"),
+        (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__start"),
     )
     same = F.col("__range") == F.col("__r")
     for i, c in enumerate(within):
         same = same & F.col(c).eqNullSafe(F.col(f"__g{i}"))
-    inner = Window.partitionBy("__range", *group).orderBy(*order_cols)
-    numbered = dealt.withColumn("__rn", F.row_number().over(inner) - 1)
     return (
-        numbered.join(starts, same)
-        .withColumn(name, F.col("__start") + F.col("__rn"))
-        .drop("__range", "__rn", "__r", "__start", *[f"__g{i}" for i in range(len(within))])
+        dealt.join(starts, same)
+        .withColumn(name, F.col("__start") + F.col("__at"))
+        .drop("__range", "__at", "__r", "__start", *[f"__g{i}" for i in range(len(within))])
     )
 
 

@@ -22,7 +22,9 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -195,6 +197,17 @@ class Written(WriterCommitMessage):
     chunks: list[tuple[str, int, int, str, str]]
 
 
+def _stretches(*columns: pa.Array) -> Iterator[tuple[int, int]]:
+    """Start and end of the rows in a row that are equal in all columns."""
+    n = len(columns[0])
+    if n:
+        new = np.zeros(n - 1, bool)
+        for column in columns:
+            new |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero(new) + 1).tolist(), n]
+        yield from zip(edges, edges[1:])
+
+
 class ChunkWriter(DataSourceArrowWriter):
     """Rows ``run_id, chunk_no, line_no, value``, each chunk whole and in order in one task."""
 
@@ -225,7 +238,10 @@ class ChunkWriter(DataSourceArrowWriter):
                 done[-1] = (*now, lines, *done[-1][3:])
 
         for batch in iterator:
-            for run, n, line, value in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("run_id", "chunk_no", "line_no", "value"))):
+            runs, numbers, places, values = (batch.column(batch.schema.get_field_index(c)) for c in ("run_id", "chunk_no", "line_no", "value"))
+            values = pc.replace_substring(pc.fill_null(values, ""), "\n", " ")
+            for start, end in _stretches(runs, numbers):
+                run, n = runs[start].as_py(), numbers[start].as_py()
                 if (run, n) != now:
                     close()
                     now, folder, lines = (run, n), f"{root}/{run}/{self.kind}", 0
@@ -239,10 +255,11 @@ class ChunkWriter(DataSourceArrowWriter):
                             for text, _ in zip(_lines(old), range(kept)):
                                 out.write(text + b"\n")
                                 lines += 1
-                if line != lines + 1:
-                    raise ValueError(f"line {line} of chunk {n} of {run} follows line {lines}")
-                out.write((value or "").replace("\n", " ").encode() + b"\n")
-                lines += 1
+                got, wanted = places[start:end].to_numpy(zero_copy_only=False), np.arange(lines + 1, lines + 1 + end - start)
+                if len(wrong := np.flatnonzero(got != wanted)):
+                    raise ValueError(f"line {got[wrong[0]]} of chunk {n} of {run} follows line {wanted[wrong[0]] - 1}")
+                out.write("\n".join([*values[start:end].to_pylist(), ""]).encode())
+                lines += end - start
         close()
 
     def commit(self, messages: list[Written]) -> None:
@@ -301,7 +318,9 @@ def stored_slots(spark: SparkSession, root: str, kind: str, runs: list[str], chu
         last = max(known, default=0)
         fill = known.get(last, 0)
         slots.append((run, last + 1, 0) if not last or fill >= chunk_size else (run, last, fill))
-    return spark.createDataFrame(slots, "run_id string, start_no bigint, start_fill bigint")
+    # An Arrow table is a relation whose size Spark knows, so joining it does not deal all rows to one task per run.
+    names = {"run_id": pa.string(), "start_no": pa.int64(), "start_fill": pa.int64()}
+    return spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(zip(*slots) if slots else [()] * 3, names.values())], list(names)))
 
 
 def append_chunks(records: DataFrame, root: str, kind: str, order: list[Column | str], chunk_size: int, batch: int) -> None:
