@@ -172,3 +172,14 @@ def test_processed_scan(spark, tmp_path):
     assert (p.run_id, p.chunk_no, p.id, p.score, p.created_utc) == ("r", 1, "a", 3, 5.0)
     c = scan_processed_runs(spark, str(tmp_path), "comments").first()
     assert (c.chunk_no, c.comment_id, c.path, c.collapsed_children) == (0, "c", ["r"], [])
+
+
+def test_a_search_page_is_parsed_once(spark, tmp_path):
+    """The check of a page was expanded to a parse at every use, in the filter and in the column."""
+    write(tmp_path / "pages", '{"data":[{"id":1},"{}",{"a":"x"}]}', "[1]", '{"data":{"a":[]}}', '{"data":null}', "{}")
+    pages = spark.read.text(str(tmp_path)).withColumnRenamed("value", "payload")
+    for found, rows in ((page_errors(pages), 3), (explode_pages(pages, keep_errors=True), 5)):
+        assert found._jdf.queryExecution().executedPlan().toString().count("parseJson") == 1
+        assert found.count() == rows
+    good = explode_pages(pages.filter("payload like '%[{%'"))
+    assert [(r.pos, r.value) for r in good.collect()] == [(0, '{"id":1}'), (2, '{"a":"x"}')]

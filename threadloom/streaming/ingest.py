@@ -20,7 +20,7 @@ from threadloom.operators.dedup import first_seen, unseen
 from threadloom.operators.tree import flatten_trees, tree_errors, tree_nodes
 from threadloom.operators.progress import done_ids
 from threadloom.sources.lines import parse_log_lines
-from threadloom.sources.payloads import explode_pages, with_page_error
+from threadloom.sources.payloads import explode_pages
 from threadloom.sources.store import Store, append_records, stored_done, stored_keys
 from threadloom.streaming.arrival import STATE_CONF, first_arrivals, write_arrivals
 
@@ -110,8 +110,10 @@ def with_lines(batch: DataFrame) -> DataFrame:
 _PAGE_ORDER = ("page", "block", "line", "pos")
 
 
-def with_post_key(items: DataFrame) -> DataFrame:
-    return items.withColumn("id", F.get_json_object("value", "$.id"))
+def page_items(pages: DataFrame) -> DataFrame:
+    """Post objects of pages with their ``id``, and unusable pages with their text and ``page_error`` and no id."""
+    items = explode_pages(pages, keep_errors=True)
+    return items.withColumn("id", F.when(F.col("page_error").isNull(), F.get_json_object("value", "$.id")))
 
 
 def ingest_posts(
@@ -135,24 +137,25 @@ def ingest_posts(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         store.begin("posts", run_id, batch_id)
-        checked = with_page_error(with_lines(batch))
-        # Unusable pages are kept with their text: the file counts as read from now on.
-        bad = checked.filter("page_error is not null").select("page", "payload", "page_error")
-        store.write_batch("page_errors", bad, run_id, batch_id)
-        items = with_post_key(explode_pages(checked.filter("page_error is null")))
         order = [F.col(c) for c in _PAGE_ORDER]
-        fresh = unseen(first_seen(items, order), stored_keys(store, run_id, batch_id))
-        if max_posts is not None:
-            kept = store.read("posts", run_id).filter(F.col("batch_id") != batch_id).count()
-            fresh = fresh.orderBy(*order).limit(max(0, max_posts - kept))
-        fresh = fresh.drop("id").persist()
+        # Unusable pages are rows without an id, so a page is parsed once for all tables.
+        rows = first_seen(page_items(with_lines(batch)), order).persist()
+        fresh = unseen(rows.filter("page_error is null"), stored_keys(store, run_id, batch_id)).drop("id", "page_error")
         try:
+            # They are kept with their text: the file counts as read from now on.
+            bad = rows.filter("page_error is not null").select("page", F.col("value").alias("payload"), "page_error")
+            store.write_batch("page_errors", bad, run_id, batch_id)
+            if max_posts is not None:
+                kept = store.read("posts", run_id).filter(F.col("batch_id") != batch_id).count()
+                fresh = fresh.orderBy(*order).limit(max(0, max_posts - kept))
+            fresh = fresh.persist()
             if after_raw:
                 after_raw(batch_id)
             append_records(fresh, store, "posts", run_id, batch_id, order)
             store.commit("posts", run_id, batch_id, session)
         finally:
             fresh.unpersist()
+            rows.unpersist()
 
     return _drain(page_stream(store.spark, landing, files_per_batch, page_per_line), handle, checkpoint, should_stop, session)
 
@@ -178,8 +181,7 @@ def ingest_posts_stateful(
     first posts and stays open, so with a higher cap the posts that were cut off are
     taken up again, without landing again.
     """
-    pages = with_page_error(page_stream(store.spark, landing, files_per_batch, page_per_line))
-    arrived = first_arrivals(with_post_key(explode_pages(pages, keep_errors=True)).withColumn("id", F.when(F.col("page_error").isNull(), F.col("id"))))
+    arrived = first_arrivals(page_items(page_stream(store.spark, landing, files_per_batch, page_per_line)))
     order = [F.col("page"), F.col("block"), F.col("line")]
     stored: dict[str, int] = {}
     session = uuid.uuid4().hex
