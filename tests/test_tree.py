@@ -221,3 +221,17 @@ def test_tasks_over_a_large_scan_stay_short(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(spread, "ROWS_PER_TASK", 10)
     dealt = spread.spread_scan(spark.read.parquet(str(tmp_path / "t")))
     assert dealt.rdd.getNumPartitions() == 100 and dealt.distinct().count() == 1000
+
+
+def test_only_the_kinds_asked_for_are_written(spark):
+    """The remainder needs the placeholders only; every node was written, sent and parsed again for it."""
+    more = '{"kind":"more","data":{"children":["x"],"parent_id":"t1_b"}}'
+    payload = '{"data":[{"kind":"t1","data":{"id":"a","replies":{"data":{"children":[{"kind":["more"]},%s]}}}},{"kind":"m\\u006fre","data":{}},{"data":"more"}]}' % more
+    trees = spark.createDataFrame([("p", payload), ("bad", "{}")], "post_id string, payload string")
+    some, everything = flatten_trees(trees, kinds=["more"]), flatten_trees(trees)
+    assert sorted((r.pos, r.depth, r.path) for r in some.filter("error is null").collect()) == [(2, 1, ["a"]), (3, 0, [])]
+    assert [r.post_id for r in some.filter("error is not null").collect()] == ["bad"]
+    wanted = everything.filter("error is null and pos in (2, 3) or error is not null")
+    assert sorted(map(str, some.collect())) == sorted(map(str, wanted.collect()))
+    with pytest.raises(ValueError):
+        flatten_trees(trees, keep_raw=True, kinds=["more"])

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from threadloom.operators.integrity import comment_stats, posts_with_comments
 from threadloom.operators.normalize import normalize_comments, quarantined
 from threadloom.operators.tree import (
+    PLACEHOLDERS,
     collapsed_ids,
     collapsed_remainder,
     flatten_trees,
@@ -125,7 +126,7 @@ def flatten_chains(spark, sf_dir):
        FROM orders WHERE o_orderstatus <> 'P'""",
 )
 def remainder(spark, sf_dir):
-    return collapsed_remainder(normalize_comments(tree_nodes(flatten_trees(order_trees(spark, sf_dir)))))
+    return collapsed_remainder(normalize_comments(tree_nodes(flatten_trees(order_trees(spark, sf_dir), kinds=PLACEHOLDERS))))
 
 
 @query(
@@ -134,7 +135,7 @@ def remainder(spark, sf_dir):
        UNION ALL SELECT CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR) FROM orders WHERE o_orderstatus <> 'P'""",
 )
 def remainder_ids(spark, sf_dir):
-    c = normalize_comments(tree_nodes(flatten_trees(order_trees(spark, sf_dir))))
+    c = normalize_comments(tree_nodes(flatten_trees(order_trees(spark, sf_dir), kinds=PLACEHOLDERS)))
     return collapsed_ids(c).select("post_id", "child_id")
 
 
