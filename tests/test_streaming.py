@@ -9,6 +9,7 @@ from threadloom.operators.progress import pending_posts
 from threadloom.sources.store import Store
 from threadloom.operators.collections import migratable
 from threadloom.streaming.collection import CollectionError, copy_old_progress, current, reset, resume, start
+from threadloom.streaming import ingest
 from threadloom.streaming.arrival import known_arrivals
 from threadloom.streaming.ingest import (
     IngestResult,
@@ -221,6 +222,28 @@ def stateful(site, **kw):
     return ingest_posts_stateful(site.store, str(site.root / "pages"), "r", str(site.root / "p"), **{"files_per_batch": 1, **kw})
 
 
+def test_tree_lines_are_read_once_for_all_tables(site, monkeypatch):
+    read = site.spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def counted(value):
+        read.add(1)
+        return True
+
+    real = ingest.with_object
+    monkeypatch.setattr(ingest, "with_object", lambda df, *rest: real(df.filter(counted("value")), *rest))
+    good = [json.dumps({"post_id": f"p{i}", "payload": json.dumps({"data": [{"kind": "t1", "data": {"id": f"c{i}"}}]})}) for i in range(3)]
+    (site.root / "trees").mkdir()
+    (site.root / "trees" / "a.jsonl").write_text("\n".join([*good, '{"post_id": "p9"', '{"payload": "x"}']))
+    wanted = site.spark.createDataFrame([("p0",), ("p1",)], "id string")
+    ingest_comments(site.store, str(site.root / "trees"), "r", str(site.root / "c"), wanted=wanted)
+    errors = {(r.value, r.error) for r in site.store.read("line_errors").collect()}
+    assert errors == {('{"post_id": "p9"', "not one JSON object"), ('{"payload": "x"}', "no post id or no payload")}
+    assert sorted(r.post_id for r in site.store.read("done_posts").collect()) == ["p0", "p1"]
+    assert sorted(r.comment_id for r in site.store.read("comments").collect()) == ["c0", "c1"]
+    assert read.value == 5
+
+
 def test_stateful_dedup(site):
     site.land("a", "b", None, None)
     site.land("b", "c", None)

@@ -235,3 +235,20 @@ def test_only_the_kinds_asked_for_are_written(spark):
     assert sorted(map(str, some.collect())) == sorted(map(str, wanted.collect()))
     with pytest.raises(ValueError):
         flatten_trees(trees, keep_raw=True, kinds=["more"])
+
+
+def test_writer_of_nodes_is_made_once_and_writes_as_the_library(monkeypatch):
+    made = []
+    real = tree_module.json.encoder.c_make_encoder
+    monkeypatch.setattr(tree_module.json.encoder, "c_make_encoder", lambda *a: made.append(a) or real(*a))
+    values = [
+        {"a": 1, "b": [True, None, 1.5, -0.0, 1e300, float("inf"), 10**40], "c": {"d": "\u00e9\ud83d\u2028\"\\\n\x00", "": {}}},
+        {"é": [], "x": [[{}], "é"]}, [], {}, ["a", 2],
+    ]
+    for ascii_only in (False, True):
+        encoder = tree_module._Encoder(ascii_only)
+        texts = [encoder.encode(v) for v in values]
+        assert len(made) == 1
+        assert texts == [tree_module.json.JSONEncoder(ensure_ascii=ascii_only).encode(v) for v in values]
+        assert [encoder.encode(v) for v in ("é", 5, None, 0.1)] == [tree_module.json.dumps(v, ensure_ascii=ascii_only) for v in ("é", 5, None, 0.1)]
+        made.clear()

@@ -77,38 +77,33 @@ def normalize_comments(nodes: DataFrame, node: str = "node", site_base: str = SI
     # Exploded for the same reason as in with_object: one parse per node.
     parsed = nodes.select("*", F.explode(F.array(read_object(node, _NODE_JSON))).alias("__n")).filter("__n.data is not null")
     parsed = _with_types(parsed.select("*", F.col("__n.data").alias("__d")), "__d", ("score", "created_utc"))
+    # What several fields are made of is computed once per row, and rules for odd values only where there is a value.
+    parsed = parsed.select(
+        "*",
+        _text_only(F.col("__n.kind")).alias("__kind"),
+        S.blank_to_null(F.col("__d.id")).alias("__id"),
+        F.when(F.col("__d.parent_id").isNotNull(), S.variant_text(F.col("__d.parent_id"))).alias("__parent"),
+        F.when(F.col("__d.permalink").isNotNull(), _text_only(F.col("__d.permalink"))).alias("__link"),
+    )
     created = _typed("__d", "created_utc")
-    d = {
-        name: F.col(f"__n.data.{name}")
-        for name in (
-            "id",
-            "parent_id",
-            "subreddit",
-            "author",
-            "body",
-            "score",
-            "created_utc",
-            "permalink",
-            "children",
-            "count",
-        )
-    }
-    kind = _text_only(F.col("__n.kind"))
-    comment_id = S.blank_to_null(d["id"])
-    parent_id = S.bare_id(S.variant_text(d["parent_id"]))
+    d = {name: F.col(f"__d.{name}") for name in ("parent_id", "subreddit", "author", "body", "children", "count")}
+    kind, comment_id = F.col("__kind"), F.col("__id")
+    parent_id = F.when(F.col("__parent").isNotNull(), S.bare_id(F.col("__parent")))
     is_more = F.coalesce(kind == "more", F.lit(False))
     children = F.filter(
         F.transform(F.coalesce(d["children"], F.array()), lambda c: F.coalesce(c, F.lit("null"))),
         lambda c: S.trim_ws(c) != "",
     )
     count = F.when(S.variant_type(d["count"]) == "BIGINT", F.try_variant_get(d["count"], "$", "bigint"))
+    parent_kind = F.when(parent_id == F.col("post_id"), "post").otherwise(
+        S.parent_kind(F.col("__parent"), S.variant_is_text(d["parent_id"]))
+    )
+    link = S.comment_permalink(F.col("__link"), d["subreddit"], F.col("post_id"), comment_id, kind, site_base)
     comment = {
         "comment_id": comment_id,
         "post_id": F.col("post_id"),
         "parent_id": parent_id,
-        "parent_kind": F.when(parent_id == F.col("post_id"), "post").otherwise(
-            S.parent_kind(S.variant_text(d["parent_id"]), S.variant_is_text(d["parent_id"]))
-        ),
+        "parent_kind": F.when(F.col("__parent").isNotNull(), parent_kind),
         "kind": kind,
         "depth": F.col("depth").cast("int"),
         "path": F.col("path"),
@@ -118,9 +113,7 @@ def normalize_comments(nodes: DataFrame, node: str = "node", site_base: str = SI
         "score": S.strict_int(*_typed("__d", "score")),
         "created_utc": S.cursor_ts(*created),
         "created_iso": S.iso_utc(S.json_number(*created)),
-        "permalink": S.comment_permalink(
-            _text_only(d["permalink"]), d["subreddit"], F.col("post_id"), comment_id, kind, site_base
-        ),
+        "permalink": F.when(F.col("__link").isNotNull() | d["subreddit"].isNotNull(), link),
         "collapsed_children": F.when(is_more, children).otherwise(F.array().cast("array<string>")),
         "collapsed_count": F.when(is_more, F.coalesce(count, F.size(children).cast("bigint"))),
     }

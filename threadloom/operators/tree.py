@@ -6,6 +6,7 @@ import json
 import re
 import sys
 from collections.abc import Callable, Iterable, Iterator
+from json import encoder as json_encoder
 from json.decoder import scanstring
 
 import pyarrow as pa
@@ -20,8 +21,30 @@ from threadloom.session import ensure_checkpoint_dir
 # The tree walk travels to the workers as code, so they need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Made once: the library makes a new one for every call with options.
-_ENCODERS = {ascii_only: json.JSONEncoder(ensure_ascii=ascii_only) for ascii_only in (False, True)}
+
+class _Encoder:
+    """``json.dumps`` of objects and lists, its writer made once: the library makes a new one for every call."""
+
+    def __init__(self, ascii_only: bool):
+        self.library = json.JSONEncoder(ensure_ascii=ascii_only)
+        self.writer = None
+
+    def encode(self, value) -> str:
+        if not isinstance(value, (dict, list)) or json_encoder.c_make_encoder is None:
+            return self.library.encode(value)
+        if self.writer is None:
+            quote = json_encoder.encode_basestring_ascii if self.library.ensure_ascii else json_encoder.encode_basestring
+            # Parsed JSON cannot hold itself, so objects that are open need no marks.
+            self.writer = json_encoder.c_make_encoder(
+                None, self.library.default, quote, None, self.library.key_separator, self.library.item_separator, False, False, True
+            )
+        return "".join(self.writer(value, 0))
+
+    def __reduce__(self):
+        return _Encoder, (self.library.ensure_ascii,)
+
+
+_ENCODERS = {ascii_only: _Encoder(ascii_only) for ascii_only in (False, True)}
 
 _ROWS_PER_BATCH, _CHARS_PER_BATCH = 5_000, 64_000_000
 _FLAT_SCHEMA = (
@@ -49,9 +72,8 @@ def _path_id(data: dict) -> str | None:
     return (text[3:] if text[:3] in ("t1_", "t3_") else text) or None
 
 
-def _replies(data: dict) -> list | None:
-    listing = data.get("replies")
-    inner = listing.get("data") if isinstance(listing, dict) else None
+def _replies(listing: dict) -> list | None:
+    inner = listing.get("data")
     children = inner.get("children") if isinstance(inner, dict) else None
     return children if isinstance(children, list) else None
 
@@ -66,7 +88,8 @@ def _walk(nodes: list) -> Iterator[tuple]:
             continue
         yield node, depth, path, ords
         data = node.get("data")
-        children = _replies(data) if isinstance(data, dict) else None
+        listing = data.get("replies") if isinstance(data, dict) else None
+        children = _replies(listing) if isinstance(listing, dict) else None
         if children:
             own = _path_id(data)
             below = path + (_storable(own),) if own else path
@@ -218,6 +241,10 @@ def _refuse(name: str):
 def _parse(text: str, decoder: json.JSONDecoder):
     """A JSON value; ``NaN`` and ``Infinity`` are refused at every depth."""
     try:
+        if text[:1] == "{":  # most are an object and nothing else: no search for white space around it
+            value, end = decoder.raw_decode(text)
+            if end == len(text):
+                return value
         return decoder.decode(text)
     except RecursionError:
         return _parse_deep(text)

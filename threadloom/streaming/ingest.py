@@ -229,6 +229,18 @@ def ingest_batches(store: Store, run_id: str) -> DataFrame:
 # --------------------------------------------------------------- comments
 
 
+def tree_lines(batch: DataFrame) -> DataFrame:
+    """Landed tree lines as ``post_id, payload, file``, and unusable lines as ``file, value, error`` without the rest."""
+    lines = with_object(batch.filter(F.trim("value") != ""), "value", "post_id string, payload string", "line")
+    post_id, payload = F.col("post_id"), F.col("line.payload")
+    error = F.when(F.col("line").isNull(), "not one JSON object").when(post_id.isNull() | payload.isNull(), "no post id or no payload")
+    lines = lines.withColumn("post_id", dedup_key("line.post_id")).withColumn("error", error)
+    good = F.col("error").isNull()
+    return lines.select(
+        F.when(good, post_id).alias("post_id"), F.when(good, payload).alias("payload"), "file", F.when(~good, F.col("value")).alias("value"), "error"
+    )
+
+
 def ingest_comments(
     store: Store,
     landing: str,
@@ -258,18 +270,16 @@ def ingest_comments(
     def handle(batch: DataFrame, batch_id: int) -> None:
         store.begin("comments", run_id, batch_id)
         done = stored_done(store, run_id, batch_id)
-        lines = with_object(batch.filter(F.trim("value") != ""), "value", "post_id string, payload string", "line")
-        lines = lines.withColumn("post_id", dedup_key("line.post_id")).withColumn("payload", F.col("line.payload"))
-        unusable = F.col("post_id").isNull() | F.col("payload").isNull()
-        reason = F.when(F.col("line").isNull(), "not one JSON object").otherwise("no post id or no payload")
-        store.write_batch("line_errors", lines.filter(unusable).select("file", "value", reason.alias("error")), run_id, batch_id)
-        trees = first_seen(lines.filter(~unusable).select("post_id", "payload", "file"), [F.col("file"), F.col("payload")], "post_id")
+        # Unusable lines are rows without a post id, so a line is parsed once for all tables.
+        rows = first_seen(tree_lines(batch), [F.col("file"), F.col("payload")], "post_id").persist()
+        trees = rows.filter("error is null").select("post_id", "payload")
         trees = trees.join(done_ids(done), F.col("post_id") == F.col("__done"), "left_anti")
         if wanted is not None:
             asked = wanted.select(dedup_key("id").alias("__want")).distinct()
             trees = trees.join(asked, F.col("post_id") == F.col("__want"), "left_semi")
-        flat = flatten_trees(trees, keep_raw=True).persist()
+        flat = flatten_trees(trees, keep_raw=True).drop("ords").persist()
         try:
+            store.write_batch("line_errors", rows.filter("error is not null").select("file", "value", "error"), run_id, batch_id)
             failed = tree_errors(flat)
             append_records(tree_nodes(flat), store, "comments", run_id, batch_id, [F.col("post_id"), F.col("pos")])
             store.write_batch("tree_errors", failed, run_id, batch_id)
@@ -279,6 +289,7 @@ def ingest_comments(
             store.commit("comments", run_id, batch_id, session)
         finally:
             flat.unpersist()
+            rows.unpersist()
 
     return _drain(stream, handle, checkpoint, should_stop, session)
 
