@@ -244,6 +244,15 @@ def test_tree_lines_are_read_once_for_all_tables(site, monkeypatch):
     assert read.value == 5
 
 
+def test_tables_not_yet_written_cost_no_task(site):
+    ids = site.spark.range(5).select(F.col("id").cast("string").alias("post_id"))
+    for none in (site.store.read("done_posts", "r"), site.store.events().select(F.col("run_id").alias("post_id"))):
+        left = ids.join(none, "post_id", "left_anti")
+        assert left.count() == 5
+        plan = left._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "LogicalRDD" not in plan
+
+
 def test_stateful_dedup(site):
     site.land("a", "b", None, None)
     site.land("b", "c", None)

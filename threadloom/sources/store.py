@@ -75,6 +75,10 @@ class Store:
         folder, files = self._hadoop(self.path(table))
         return files.exists(folder)
 
+    def _empty(self, schema: str) -> DataFrame:
+        """No rows, and known to be none before anything runs: joins and unions with it are planned away."""
+        return self.spark.createDataFrame([], schema).limit(0)
+
     def _schema(self, table: str):
         if table == "posts":
             return f"{_ddl(POST)}, page string, pos int, {_KEYS}"
@@ -86,7 +90,7 @@ class Store:
         """Committed contents; empty with the right columns before the first write."""
         schema = self._schema(table)
         if not self._exists(table):
-            return self.spark.createDataFrame([], schema)
+            return self._empty(schema)
         stream = _STREAM_OF.get(table)
         df = self._attempts(table) if stream else self.spark.read.schema(schema).parquet(self.path(table))
         if run_id is not None:
@@ -125,7 +129,7 @@ class Store:
     def events(self) -> DataFrame:
         """The attempts that count, with ``rows`` per table, ``session`` (the call that wrote them) and ``seq`` (ns since 1970)."""
         if not self._exists("commits"):
-            return self.spark.createDataFrame([], _COMMITS)
+            return self._empty(_COMMITS)
         rows = self.spark.read.schema(_COMMITS).json(self.path("commits")).filter("try is not null")
         entry = F.struct("try", "seq", "session", "of", "rows")
         latest = rows.groupBy("stream", "run_id", "batch_id").agg(F.max_by(entry, "seq").alias("e"))
